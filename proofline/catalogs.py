@@ -137,6 +137,24 @@ SELECTOR_CALLS = (
     r"(?:\b(?:Cipher|Signature|MessageDigest|KeyGenerator|KeyPairGenerator|SSLContext)\s*\.\s*getInstance"
     r"|\b(?:createHash|createHmac|ECGenParameterSpec|generateKeyPairSync))\s*\(\s*$"
 )
+# Java statements that declare rather than call, and nested MAC construction.
+JAVA_FIELD = r"^\s*(?:(?:public|private|protected|static|final|volatile|transient)\s+)*[\w<>\[\].,?]+\s+\w+\s*$"
+JAVA_DECLARATION = (
+    r"^(?:(?:public|private|protected|static|final|synchronized|abstract|native|default)\s+)+"
+    r"(?:[\w<>\[\].,?]+\s+)?\w+\s*\([^;]*\)\s*(?:throws\s+[^{}]+)?(?:\{|\{\s*\})?\s*$"
+)
+JAVA_DIGEST_CONSTRUCTOR = (
+    r"(?i)^(?:SHA1|SHA256|SHA512|MD5)Digest\s*\([^;{}]*\)\s*(?:throws\s+[^{}]+)?(?:\{|\{\s*\})?\s*$"
+)
+JAVA_INTERFACE_METHOD = (
+    r"^(?!(?:return|new|throw|yield)\b)[\w<>\[\].,?]+\s+\w+\s*\([^;{}]*\)\s*"
+    r"(?:throws\s+[^{}]+)?(?:\{|\{\s*\})?\s*$"
+)
+JAVA_NESTED_MAC = r"\b(?:Old)?HMac\s*\("
+NAMED_CONSTANT = (
+    r"(?i)^\s*(?:(?:public|private|protected|static|final|const|let|var|volatile|transient)\s+)*"
+    r"(?:[\w<>\[\].,?]+\s+)?%(name)s\s*=(?!.*%(name)s)"
+)
 KEY_SIZE_RULES = {
     "AES": (r"\bKeyGenerator\s*\.\s*getInstance\(\s*[\"']AES[\"']\s*\)\s*\.\s*init\(\s*(128|192|256)\s*\)",),
     "RSA": (r"\bRSA\.generate\(\s*(1024|2048|3072|4096|8192)\s*[,)]",
