@@ -81,6 +81,68 @@ SELECT doc_id, concat('c-', CAST(doc_id % 990 AS VARCHAR)) AS corpus_id, lang AS
        CASE doc_id % 9 WHEN 0 THEN 'RSA' WHEN 1 THEN 'ECDSA' WHEN 2 THEN 'AES' WHEN 3 THEN 'SHA-256' WHEN 4 THEN 'HMAC' WHEN 5 THEN 'Ed25519' WHEN 6 THEN 'ML-KEM' WHEN 7 THEN 'ML-DSA' ELSE 'ChaCha20' END AS algorithm_family,
        md5(text) AS commit_sha, doc_id % 40 AS line_start, (doc_id * 3) % 41 AS line_end, doc_id % 2 = 0 AS positive,
        CASE WHEN doc_id % 50 = 0 THEN 'bad_op' ELSE 'encrypt' END AS operation FROM documents""",
+    "v_code": """
+SELECT doc_id, concat('repositories/', source, '/app/f', CAST(doc_id AS VARCHAR), CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.java' ELSE '.go' END) AS path,
+       doc_id % 3 AS lang_key, CAST(floor(doc_id / 3) AS BIGINT) % 6 AS snippet_key,
+       concat(CASE doc_id % 3
+         WHEN 0 THEN CASE CAST(floor(doc_id / 3) AS BIGINT) % 6
+           WHEN 0 THEN concat('import hashlib', chr(10), 'hashlib.sha256(b"x")')
+           WHEN 1 THEN concat('from Crypto.Cipher import AES', chr(10), 'AES.new(k, AES.MODE_GCM)')
+           WHEN 2 THEN concat('import hmac, hashlib', chr(10), 'hmac.new(k, m, hashlib.sha512)')
+           WHEN 3 THEN concat('def f(hashlib):', chr(10), '  return hashlib.md5(b"x")')
+           WHEN 4 THEN concat('import ssl as s', chr(10), 's.SSLContext()')
+           ELSE concat('def broken(:', chr(10), '  pass') END
+         WHEN 1 THEN CASE CAST(floor(doc_id / 3) AS BIGINT) % 6
+           WHEN 0 THEN 'Cipher.getInstance("AES/GCM/NoPadding");'
+           WHEN 1 THEN 'String u = "AES"; KeyGenerator.getInstance("AES").init(256);'
+           WHEN 2 THEN 'private AES engine'
+           WHEN 3 THEN 'MessageDigest.getInstance("SHA-256");'
+           WHEN 4 THEN 'public void md5Hex(String s) {'
+           ELSE 'SSLContext c = SSLContext.getInstance("TLSv1.3");' END
+         ELSE CASE CAST(floor(doc_id / 3) AS BIGINT) % 6
+           WHEN 0 THEN 'c := ecdh.P256()'
+           WHEN 1 THEN 'cfg := tls.Config{}'
+           WHEN 2 THEN concat('x := getattr(obj,', chr(10), 'kyber)', chr(10), 'y := mlkem.New()')
+           WHEN 3 THEN 'AES = 1'
+           WHEN 4 THEN 'a, b := chacha20poly1305.New(k)'
+           ELSE '// RSA only in a comment' END END,
+         chr(10), CASE doc_id % 3 WHEN 0 THEN concat('# ', replace(text, chr(10), concat(chr(10), '# '))) ELSE concat('/* ', text, ' */') END) AS content
+FROM documents""",
+    "v_manifests": """
+SELECT p_partkey AS row_id, p_partkey % 6 AS format_key, p_size % 4 AS name_key,
+       concat('repositories/m', CAST(p_partkey AS VARCHAR), '/', CASE p_partkey % 6 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'pom.xml' WHEN 2 THEN 'package-lock.json'
+              WHEN 3 THEN 'Gemfile.lock' WHEN 4 THEN 'go.sum' ELSE 'Cargo.lock' END) AS path,
+       CASE p_partkey % 6
+         WHEN 0 THEN concat('# ', p_name, chr(10), '-r base.txt', chr(10), CASE p_size % 4 WHEN 0 THEN 'Cryptography==41' WHEN 1 THEN 'PyJWT[crypto]>=2' WHEN 2 THEN 'cryptography-impostor==1' ELSE 'Argon2_CFFI ; extra' END,
+                            chr(10), chr(10), CASE p_size % 4 WHEN 0 THEN 'cryptography' WHEN 1 THEN 'pyotp # mfa' WHEN 2 THEN 'left-pad' ELSE 'argon2.cffi' END)
+         WHEN 1 THEN CASE p_size % 4
+           WHEN 0 THEN '<project xmlns="http://maven.apache.org/POM/4.0.0"><parent><groupId>java.security</groupId><artifactId>p</artifactId></parent><dependencies><dependency><groupId>org.bouncycastle</groupId><artifactId>bcprov</artifactId></dependency><dependency><groupId>org.bouncycastle</groupId><artifactId>bcpkix</artifactId></dependency></dependencies></project>'
+           WHEN 1 THEN '<project><dependencies><dependency><groupId>evil.org.bouncycastle.fake</groupId><artifactId>fake</artifactId></dependency></dependencies></project>'
+           WHEN 2 THEN '<!DOCTYPE project><project><dependencies><dependency><groupId>javax.crypto</groupId><artifactId>jce</artifactId></dependency></dependencies></project>'
+           ELSE '<project><build><plugins><plugin><groupId>org.bouncycastle</groupId><artifactId>plugin</artifactId></plugin></plugins></build><dependencies><dependency><groupId>Javax.Crypto</groupId><artifactId>jce</artifactId></dependency></dependencies></project>' END
+         WHEN 2 THEN CASE p_size % 4
+           WHEN 0 THEN '{"lockfileVersion": 3, "packages": {"": {}, "node_modules/crypto-js": {"version": "4.2"}}, "dependencies": {"node_modules/crypto-js": {"version": "1.0"}, "Elliptic": {"version": "6.5"}}}'
+           WHEN 1 THEN '{"lockfileVersion": 1, "dependencies": {"jose": {"version": "5.0"}}}'
+           WHEN 2 THEN '{"lockfileVersion": 2, "packages": {"node_modules/left-pad": {"version": "1.3"}}}'
+           ELSE '{"lockfileVersion": 3, "packages": {' END
+         WHEN 3 THEN concat('GEM', chr(10), '  specs:', chr(10), CASE p_size % 4 WHEN 0 THEN '    bcrypt (3.1.20)' WHEN 1 THEN '    openssl (3.2.0)' WHEN 2 THEN 'bcrypt (3.1.20)' ELSE '    rake (13.0)' END, chr(10), '      rbnacl (>= 1)')
+         WHEN 4 THEN concat(CASE p_size % 4 WHEN 0 THEN 'golang.org/x/crypto v0.21.0 h1:aa=' WHEN 1 THEN 'filippo.io/ed25519 v1.1.0/go.mod h1:bb=' WHEN 2 THEN 'github.com/golang-jwt/jwt/v5 v5.0.0 h1:cc=' ELSE 'golang.org/x/crypto' END, chr(10), 'github.com/google/tink/go v1.7.0 h1:dd=')
+         ELSE concat('version = 3', chr(10), '[[package]]', chr(10), 'name = "', CASE p_size % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'sha2' WHEN 2 THEN 'serde' ELSE 'ed25519_dalek' END, '"', chr(10), 'version = "0.1"', chr(10), chr(10),
+                     '[[package]]', chr(10), 'name = "rustls"', chr(10), 'version = "0.23"') END AS content
+FROM part""",
+    "v_pem": """
+SELECT doc_id, concat('certs/c', CAST(doc_id AS VARCHAR), '.pem') AS path, doc_id % 4 AS pem_key,
+       concat(text, chr(10), CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('-----BEGIN CERTIFICATE-----', chr(10), 'MIIBAAEC', chr(10), '-----END CERTIFICATE-----')
+         WHEN 2 THEN concat('-----BEGIN CERTIFICATE-----', chr(10), 'MIIBAAEC', chr(10), '-----END CERTIFICATE-----', chr(10), '-----BEGIN CERTIFICATE-----', chr(10), 'AAECAwQF', chr(10), '-----END CERTIFICATE-----')
+         ELSE '-----BEGIN CERTIFICATE----- truncated' END) AS content
+FROM documents""",
+    "v_certs": """
+SELECT p_partkey AS finding_order, concat('certs/', p_brand, '/c', CAST(p_partkey AS VARCHAR), '.pem') AS path,
+       CASE p_size % 5 WHEN 0 THEN 'rsa' WHEN 1 THEN 'ec' WHEN 2 THEN 'ed25519' WHEN 3 THEN 'dsa' ELSE 'X448PublicKey' END AS key_type,
+       CASE p_size % 5 WHEN 0 THEN 2048 WHEN 1 THEN 256 WHEN 3 THEN 1024 ELSE NULL END AS key_size,
+       CASE p_partkey % 5 WHEN 0 THEN '1.3.6.1.5.5.7.3.1' WHEN 1 THEN '1.3.6.1.5.5.7.3.3' WHEN 2 THEN 'emailProtection' WHEN 3 THEN '1.3.6.1.5.5.7.3.2,codeSigning' ELSE '' END AS eku_text,
+       concat('certs/s', CAST(p_partkey % 300 AS VARCHAR), '.crt') AS component, CASE p_partkey % 2 WHEN 0 THEN '2026-01-01' ELSE '2027-01-01' END AS not_after
+FROM part""",
     "v_audit": """
 SELECT event_id AS id, ts AS timestamp, concat('user', CAST(user_id AS VARCHAR)) AS actor_subject, event_type AS action, props AS details FROM events""",
 }
