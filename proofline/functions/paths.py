@@ -39,13 +39,13 @@ def extension(path: Column | str) -> Column:
 
 
 def component(path: Column | str, markers: Sequence[str] = COMPONENT_MARKERS) -> Column:
-    """The part after the first marker present (markers tried in order), else the parent directory."""
-    parts = F.split(normalise(path), "/")
-    candidates = []
-    for marker in markers:
-        at = F.array_position(parts, F.lit(marker)).cast("int")
-        candidates.append(F.when((at > 0) & (at < F.size(parts)), F.try_element_at(parts, at + 1)))
-    parent = F.when(F.size(parts) > 1, filled(F.element_at(parts, -2)))
+    """The part after the first marker present (markers tried in order), else the parent directory.
+
+    Expects a normalised path. One short pattern per marker keeps this cheap inside wide projections.
+    """
+    path = column(path)
+    candidates = [filled(F.regexp_extract(path, f"(?:^|/){m}/([^/]+)", 1)) for m in markers]
+    parent = filled(F.regexp_extract(path, "([^/]+)/[^/]+$", 1))
     return F.coalesce(*candidates, parent, F.lit(DEFAULT_COMPONENT))
 
 

@@ -25,7 +25,7 @@ def with_spans(evidence: DataFrame) -> DataFrame:
 
 def group_spans(spans: DataFrame, collectors: Sequence[str] = COLLECTORS) -> DataFrame:
     """One row per (file, algorithm, position, semantic anchor, kind)."""
-    grouped = spans.groupBy(*GROUP_KEY).agg(
+    grouped = spans.groupBy(F.xxhash64(*GROUP_KEY).alias("_hash"), *GROUP_KEY).agg(
         F.count(F.lit(1)).alias("evidence_count"),
         F.min(F.struct("category", "confidence", "usage"))["usage"].alias("usage"),
         *source_columns(collectors), *context_aggregates(), *preferred_category(),

@@ -34,7 +34,7 @@ def risk_distribution(t: Tables) -> DataFrame:
 
 @query("c01_component", "SELECT component, count(*) AS records FROM v_evidence GROUP BY component")
 def c01(t: Tables) -> DataFrame:
-    return t.view("v_evidence").groupBy(paths.component("location").alias("component")).agg(F.count(F.lit(1)).alias("records"))
+    return t.view("v_evidence").groupBy(paths.component(paths.normalise("location")).alias("component")).agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("c02_usage", """

@@ -232,6 +232,15 @@ FROM (SELECT s.*, data_lifetime_years + migration_time_years AS mosca_window_yea
 _TABLE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
 
 
+SPREAD = ("v_evidence", "v_code")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Spread an input with fewer splits than cores; an input with enough splits is left as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 class Tables:
     """The test tables and derived views of one folder."""
 
@@ -248,7 +257,7 @@ class Tables:
         return self.spark.sql(text.replace("VARCHAR", "STRING"))
 
     def view(self, name: str) -> DataFrame:
-        return self.sql(VIEWS[name])
+        return spread(self.sql(VIEWS[name])) if name in SPREAD else self.sql(VIEWS[name])
 
     def lines(self) -> DataFrame:
         return self.table("documents").selectExpr("doc_id", "posexplode(split(text, '\\n')) AS (i, line)")
