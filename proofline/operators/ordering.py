@@ -48,13 +48,13 @@ def rank_in_group(frame: DataFrame, group: Sequence[str], order: Sequence[Column
     """1-based position inside each group (and the group size); a hot group is sorted by many tasks."""
     ranked = global_rank(frame, [*[F.col(g) for g in group], *order], "_position")
     spans = ranked.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(
-        F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_size")
+        F.min("_position").alias("_group_start"), F.count(F.lit(1)).alias("_group_size")
     )
     match = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-    joined = ranked.join(spans, match).withColumn(name, F.col("_position") - F.col("_first") + 1)
+    joined = ranked.join(spans, match).withColumn(name, F.col("_position") - F.col("_group_start") + 1)
     if size:
-        joined = joined.withColumn(size, F.col("_size"))
-    return joined.drop("_position", "_first", "_size", *[f"_{g}" for g in group])
+        joined = joined.withColumn(size, F.col("_group_size"))
+    return joined.drop("_position", "_group_start", "_group_size", *[f"_{g}" for g in group])
 
 
 def page(frame: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 50) -> DataFrame:
