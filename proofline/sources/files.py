@@ -6,8 +6,11 @@ routing use the path only, so Spark never reads the content of a pruned file.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,54 @@ from proofline.functions import paths
 from proofline.functions.lookup import text_array
 
 
-def read_tree(spark: SparkSession, root: str, max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
-    """Every file below ``root``; oversized files keep their length but their content is never decoded."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    local = F.regexp_replace("path", r"^file:/+", "/")
-    text = F.when(F.col("length") <= max_bytes, F.decode("content", "utf-8"))
-    return raw.select(F.url_decode(F.replace(local, F.lit("+"), F.lit("%2B"))).alias("path"), "length", text.alias("content"))
+def list_tree(root: str, profile: str = "source", max_files: int = C.MAX_FILES) -> list[tuple[str, int, bool]]:
+    """(path, length, is_link) of every file below ``root``, never entering an excluded or linked directory.
+
+    Spark's own file readers skip names that start with ``_`` or ``.``, so the tree is listed here. A
+    tree has at most ``max_files`` files, which bounds what the driver holds; larger inputs come as a
+    files table.
+    """
+    system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+    local, excluded = isinstance(system, fs.LocalFileSystem), set(excluded_dirs(profile))
+    rows: list[tuple[str, int, bool]] = []
+    folders = [base]
+    while folders:
+        for entry in system.get_file_info(fs.FileSelector(folders.pop())):
+            link = local and os.path.islink(entry.path)
+            if entry.type == fs.FileType.Directory:
+                if entry.base_name not in excluded and not link:
+                    folders.append(entry.path)
+                continue
+            rows.append((entry.path, entry.size or 0, link))
+            if len(rows) > max_files:
+                raise ValueError(f"file count exceeds the configured limit of {max_files}")
+    return rows
+
+
+def read_tree(spark: SparkSession, root: str, profile: str = "source", max_files: int = C.MAX_FILES,
+              max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
+    """Files table of a tree. Executors open only files that are in scope, not linked and not oversized."""
+    listed = spark.createDataFrame(list_tree(root, profile, max_files), "path string, length long, is_link boolean")
+    spread = listed.repartition(spark.sparkContext.defaultParallelism)
+    wanted = spread.withColumn(
+        "_read", (F.size(handlers("path")) > 0) & ~F.col("is_link") & (F.col("length") <= max_bytes)
+    )
+    remote = root.split("://")[0] + "://" if "://" in root else ""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = fs.FileSystem.from_uri(root)[0] if remote else fs.LocalFileSystem()
+        for batch in batches:
+            for path, length, link, read in batch.itertuples(index=False):
+                text = None
+                if read:
+                    try:
+                        with system.open_input_stream(path) as stream:
+                            text = stream.read().decode("utf-8", errors="replace")
+                    except OSError:
+                        pass  # stays null: an unreadable file
+                yield pd.DataFrame([(path, length, link, text)], columns=["path", "length", "is_link", "content"])
+
+    return wanted.mapInPandas(load, "path string, length long, is_link boolean, content string")
 
 
 def excluded_dirs(profile: str = "source") -> tuple[str, ...]:
