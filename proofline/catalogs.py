@@ -128,6 +128,31 @@ JAVA_HASH_RULES = {
         r"\bMessageDigest\s*\.\s*getInstance\s*\(\s*[\"']MD5[\"']",
         r"\bapr1Crypt\s*\(", r"\bmd5Crypt\s*\(", r"\bshaCrypt\s*\("),
 }
+# Lower-case text of which a match of the algorithm's patterns always holds at least one; lines without
+# any are passed over before a pattern is tried.
+RULE_MARKS = {
+    "AES": ("aes", "evp_cipher_ctx", "crypto.createcipheriv", "crypto.createdecipheriv", "crypto.subtle.", "gcm.new"),
+    "RSA": ("rsa", "crypto.generatekeypair"),
+    "ECDSA": ("ecdsa", "ellipticcurve", "secp", "prime256v1", "node-forge", "generatekeypairsync", "getinstance", "ec_key",
+              "ec_group_new_curve", "crypto.createecdh"),
+    "ECDH": ("ecdh", "evp_pkey_derive"),
+    "DH": ("dh", "diffiehellman", "diffie-hellman", "evp_pkey_derive_init"),
+    "DSA": ("dsa",),
+    "SHA-256": ("256",),
+    "SHA-512": ("512",),
+    "SHA-1": ("sha1", "sha-1", "sha_digest_length", "sha_1"),
+    "MD5": ("md5", "apache", "apr1crypt", "shacrypt"),
+    "BLAKE2": ("blake2",),
+    "Ed25519": ("ed25519",),
+    "PBKDF2": ("pbkdf2",),
+    "scrypt": ("scrypt",),
+    "HKDF": ("hkdf",),
+    "ML-KEM": ("ml-kem", "mlkem", "kyber"),
+    "ML-DSA": ("ml-dsa", "mldsa", "dilithium", "ml_dsa"),
+    "TLS": ("tls", "https://", "ssl", "x509.certificate"),
+    "ChaCha20": ("chacha", "tweetnacl"),
+    "HMAC": ("hmac", "javax.crypto.mac", "mac.getinstance"),
+}
 RULE_CONFIDENCE = 0.82
 DYNAMIC_MARKERS = (
     "import_module(", "getattr(", "base64.b64decode", "_load_crypto_module(", "_load_and_encrypt(",

@@ -66,6 +66,21 @@ def confidence_reasons(kinds: Column | str, conflict: Column | str) -> Column:
     return F.when(F.coalesce(count, F.lit(0)) <= 0, F.array(F.lit("no evidence"))).otherwise(scored)
 
 
+def confidence_of_kind(kind: Column | str, conflict: Column | str) -> Column:
+    """``confidence`` for evidence of one kind: no arrays, so it stays in generated code."""
+    strength = lookup(C.KIND_STRENGTH, kind, C.KIND_STRENGTH["unknown"])
+    penalty = F.when(column(conflict), F.lit(0.20)).otherwise(F.lit(0.0))
+    scored = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(strength - penalty, 4)))
+    return F.when(F.coalesce(column(kind), F.lit("")) == "", F.lit(0.0)).otherwise(scored)
+
+
+def reasons_of_kind(kind: Column | str, conflict: Column | str) -> Column:
+    averages = {k: f"avg={v:.2f}" for k, v in C.KIND_STRENGTH.items()}
+    lines = [F.lit("1 evidence kind(s)"), lookup(averages, kind, averages["unknown"]), F.lit("+bonus=0.00")]
+    listed = F.when(column(conflict), F.array(*lines, F.lit("-0.20 operation conflict"))).otherwise(F.array(*lines))
+    return F.when(F.coalesce(column(kind), F.lit("")) == "", F.array(F.lit("no evidence"))).otherwise(listed)
+
+
 def base_algorithm(algorithm: Column | str) -> Column:
     """Algorithm without a numeric suffix; a suffix that starts with a letter stays."""
     return F.trim(F.regexp_replace(column(algorithm), r"[-_]\d+.*$", ""))
@@ -158,16 +173,16 @@ def risk_reasons(algorithm: Column, vulnerable: Column, confirmed: Column, capab
     )
     named = F.coalesce(F.nullif(algorithm, F.lit("")), F.lit("Algorithm"))
     exposure_line = F.when(
-        vulnerable, F.format_string("%s (%s) is vulnerable to large-scale quantum attacks", algorithm, note)
-    ).otherwise(F.format_string("%s has no modeled Shor-algorithm exposure", named))
-    verb = F.when(overlap, F.lit("overlaps")).otherwise(F.lit("does not overlap"))
+        vulnerable, F.concat(algorithm, F.lit(" ("), note, F.lit(") is vulnerable to large-scale quantum attacks"))
+    ).otherwise(F.concat(named, F.lit(" has no modeled Shor-algorithm exposure")))
+    verb = F.when(overlap, F.lit("y overlaps ")).otherwise(F.lit("y does not overlap "))
     return F.array(
         exposure_line,
-        F.format_string("Mosca window %dy %s %dy threat horizon", window, verb, horizon),
-        F.format_string("Data sensitivity is %s", sensitivity),
-        F.format_string("Business criticality is %s", criticality),
-        F.format_string("Exposure is %s", exposure),
-        F.format_string("Migration effort is %s", effort),
+        F.concat(F.lit("Mosca window "), window.cast("string"), verb, horizon.cast("string"), F.lit("y threat horizon")),
+        F.concat(F.lit("Data sensitivity is "), sensitivity),
+        F.concat(F.lit("Business criticality is "), criticality),
+        F.concat(F.lit("Exposure is "), exposure),
+        F.concat(F.lit("Migration effort is "), effort),
     )
 
 

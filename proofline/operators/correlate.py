@@ -87,9 +87,11 @@ def source_summary(collectors: Sequence[str]) -> dict[str, Column]:
         F.array(*[F.struct(F.lit(c).alias("source"), F.col(f"_by_{c}").alias("confidence")) for c in names]),
         lambda p: p["confidence"].isNotNull(),
     )
+    held = [F.when(F.col(f"_by_{c}").isNotNull(), F.lit(c)) for c in names]
+    present = [F.when(h.isNotNull(), 1).otherwise(0) for h in held]
     return {
-        "sources": F.transform(pairs, lambda p: p["source"]),
-        "source_count": F.size(pairs),
+        "sources": F.split(F.concat_ws(",", *held), ","),
+        "source_count": sum(present[1:], present[0]),
         "confidence_by_source": F.map_from_entries(pairs),
     }
 
@@ -117,6 +119,7 @@ def context_summary() -> dict[str, Column]:
         "library": value("library", F.lit("")),
         "protocol": value("protocol", F.lit("")),
         "key_size": value("key_size", F.lit(None).cast("int")),
+        "context_conflict": clash("library") | clash("protocol") | clash("key_size"),
         "conflict_fields": F.array_compact(F.array(*[F.when(clash(n), F.lit(n)) for n in CONTEXT_FIELDS])),
     }
 
@@ -186,8 +189,8 @@ def findings(evidence: DataFrame, collectors: Sequence[str] = COLLECTORS) -> Dat
         kept.join(clashes, ["location", "operation_anchor"], "left")
         .withColumn("operation_conflict", F.coalesce("_clash", F.lit(False)))
         .withColumn("conflicting_operation", F.when(F.col("operation_conflict"), named))
-        .withColumn("conflict", F.col("operation_conflict") | (F.size("conflict_fields") > 0))
-        .drop("_clash", "has_direct")
+        .withColumn("conflict", F.col("operation_conflict") | F.col("context_conflict"))
+        .drop("_clash", "has_direct", "context_conflict")
     )
 
 

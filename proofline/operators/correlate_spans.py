@@ -143,7 +143,7 @@ def findings(evidence: DataFrame, collectors: Sequence[str] = COLLECTORS) -> Dat
         "sources", "source_count", "confidence_by_source",
         span_confidence(F.col("confidence_by_source"), F.col("ambiguous_matches")).alias("confidence"),
         "library", "protocol", "key_size", "conflict_fields",
-        (F.size("conflict_fields") > 0).alias("conflict"),
+        F.col("context_conflict").alias("conflict"),
         E.span_operation_anchor("line_start", "column_start", "semantic_anchor").alias("operation_anchor"),
         E.span_anchor("location", "line_start", "column_start").alias("span_anchor"),
         F.nullif(note, F.lit("")).alias("moved_line_note"),

@@ -15,10 +15,13 @@ CONTEXT_FIELDS = tuple(C.RISK_DEFAULTS)
 
 def with_confidence(found: DataFrame, kinds: str | None = None) -> DataFrame:
     """Adds ``confidence`` and ``confidence_reasons``; the finding's own kind is its one kind by default."""
-    held = F.array("evidence_kind") if kinds is None else F.col(kinds)
+    if kinds is None:
+        return found.withColumns({
+            "confidence": S.confidence_of_kind("evidence_kind", "conflict"),
+            "confidence_reasons": S.reasons_of_kind("evidence_kind", "conflict"),
+        })
     return found.withColumns({
-        "confidence": S.confidence(held, "conflict"),
-        "confidence_reasons": S.confidence_reasons(held, "conflict"),
+        "confidence": S.confidence(kinds, "conflict"), "confidence_reasons": S.confidence_reasons(kinds, "conflict"),
     })
 
 
@@ -45,17 +48,16 @@ def with_context(found: DataFrame, context: DataFrame | None = None, on: Sequenc
 def assess(found: DataFrame) -> DataFrame:
     """Vulnerability, overlap, priority, label, advice and explanation; expects the context fields."""
     defaults = C.RISK_DEFAULTS
-    sensitivity = S.level("data_sensitivity", defaults["data_sensitivity"])
-    criticality = S.level("business_criticality", defaults["business_criticality"])
-    exposure = S.level("exposure", defaults["exposure"])
-    effort = S.level("migration_effort", defaults["migration_effort"])
-    horizon = S.horizon_years("threat_horizon_years")
+    levels = {f"_{n}": S.level(n, defaults[n]) for n in ("data_sensitivity", "business_criticality", "exposure", "migration_effort")}
     first = found.withColumns({
+        **levels, "_horizon": S.horizon_years("threat_horizon_years"),
         "quantum_vulnerable": S.quantum_vulnerable("algorithm"),
         "mosca_window_years": S.mosca_window("data_lifetime_years", "migration_time_years"),
         "confirmed_use": S.confirmed_use("evidence_kind"),
         "capability_only": S.capability_only("evidence_kind"),
     })
+    sensitivity, criticality, exposure, effort = (F.col(n) for n in levels)
+    horizon = F.col("_horizon")
     second = first.withColumn("threat_overlap", F.col("quantum_vulnerable") & (F.col("mosca_window_years") >= horizon))
     flags = [F.col(n) for n in ("quantum_vulnerable", "threat_overlap", "confirmed_use", "capability_only")]
     scored = second.withColumn(
@@ -70,7 +72,7 @@ def assess(found: DataFrame) -> DataFrame:
             F.col("algorithm"), F.col("quantum_vulnerable"), F.col("confirmed_use"), F.col("capability_only"),
             F.col("threat_overlap"), F.col("mosca_window_years"), horizon, sensitivity, criticality, exposure, effort,
         ),
-    })
+    }).drop(*levels, "_horizon")
 
 
 def with_band(found: DataFrame) -> DataFrame:

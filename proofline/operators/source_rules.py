@@ -90,13 +90,26 @@ def folded(patterns: Sequence[str]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def any_rule(pack: Sequence[tuple] = C.RULE_PACK, java: dict = C.JAVA_HASH_RULES) -> str:
-    """One pattern that holds wherever some rule does; it decides in one pass that most lines hold none."""
-    every = [p for _, _, patterns in pack for p in patterns] + [p for patterns in java.values() for p in patterns]
-    return folded(list(dict.fromkeys(every)))
-
-
-def matched_algorithms(text: Column, is_java: Column, pack: Sequence[tuple] = C.RULE_PACK, java: dict = C.JAVA_HASH_RULES) -> Column:
+def marked(lowered: Column, marks: Sequence[str]) -> Column:
+    """Whether lower-case text holds one of the marks: plain substring tests, far cheaper than patterns."""
+    found = lowered.contains(marks[0])
+    for mark in marks[1:]:
+        found = found | lowered.contains(mark)
+    return found
+
+
+def may_match(lowered: Column, pack: Sequence[tuple] = C.RULE_PACK, marks: dict = C.RULE_MARKS) -> Column:
+    """False only where no rule can match; most lines end here. Rules without marks are always tried."""
+    names = [name for name, _, _ in pack]
+    if any(name not in marks for name in names):
+        return F.lit(True)
+    every = sorted({m for n in names for m in marks[n]}, key=lambda m: (len(m), m))
+    needed = [m for i, m in enumerate(every) if not any(shorter in m for shorter in every[:i])]
+    return marked(lowered, needed)
+
+
+def matched_algorithms(text: Column, lowered: Column, is_java: Column, pack: Sequence[tuple] = C.RULE_PACK,
+                       java: dict = C.JAVA_HASH_RULES, marks: dict = C.RULE_MARKS) -> Column:
     """Algorithms whose folded rule matches, in pack order. The patterns are literals, so no join is needed."""
     cells = []
     for name, group, patterns in pack:
@@ -104,10 +117,17 @@ def matched_algorithms(text: Column, is_java: Column, pack: Sequence[tuple] = C.
         if group == "hash":
             own = text.rlike(folded(java[name])) if name in java else F.lit(False)
             test = F.when(is_java, own).otherwise(test)
+        if name in marks:
+            test = marked(lowered, marks[name]) & test
         cells.append(F.when(test, F.lit(name)))
     return F.array_compact(F.array(*cells))
 
 
+def candidates(rows: DataFrame, text: str) -> DataFrame:
+    """Rows that some rule may match, with their lower-case text in ``_lower``."""
+    return rows.withColumn("_lower", F.lower(text)).where(may_match(F.col("_lower")))
+
+
 def first_pattern(text: Column, algorithm: Column, is_java: Column, pack: Sequence[tuple] = C.RULE_PACK,
                   java: dict = C.JAVA_HASH_RULES) -> Column:
     """The first pattern of the algorithm that matches; evaluated on hits only."""
@@ -140,9 +160,9 @@ def scan_statements(rows: DataFrame, pack: Sequence[tuple] = C.RULE_PACK) -> Dat
     """Hits per (path, line, column, algorithm) with the first matching pattern, after every guard."""
     text, algorithm = F.col("text"), F.col("algorithm")
     is_java, is_python = F.col("extension") == ".java", F.col("extension") == ".py"
-    live = rows.where(~F.col("dynamic") & text.rlike(any_rule(pack)))
+    live = rows.where(~F.col("dynamic")).withColumn("_lower", F.lower(text)).where(may_match(F.col("_lower"), pack))
     live = live.where(~(is_java & text.rlike(C.JAVA_FIELD)))
-    named = live.withColumn("algorithm", F.explode(matched_algorithms(text, is_java, pack)))
+    named = live.withColumn("algorithm", F.explode(matched_algorithms(text, F.col("_lower"), is_java, pack))).drop("_lower")
     named = named.withColumn("category", E.category(algorithm))
     is_hash = F.col("category") == "hash"
     kept = named.where(

@@ -66,8 +66,9 @@ def pack_check() -> str:
 @query("e03_rule_hits_on_lines", pack_check())
 def e03(t: Tables) -> DataFrame:
     """The whole rule pack over every line of every document."""
-    lines = t.lines().where(F.col("line").rlike(source_rules.any_rule()))
-    return lines.select("doc_id", "i", F.explode(source_rules.matched_algorithms(F.col("line"), F.lit(False))).alias("algorithm"))
+    lines = source_rules.candidates(t.lines(), "line")
+    found = source_rules.matched_algorithms(F.col("line"), F.col("_lower"), F.lit(False))
+    return lines.select("doc_id", "i", F.explode(found).alias("algorithm"))
 
 
 @query("e03_first_pattern", f"""
@@ -82,7 +83,8 @@ SELECT path, 'AES' AS algorithm FROM v_code WHERE lang_key = 2 AND snippet_key =
 def e04(t: Tables) -> DataFrame:
     """Statements left out because they assign a constant named after the algorithm."""
     rows = source_rules.statements(t.view("v_code")).where("not dynamic")
-    named = rows.withColumn("algorithm", F.explode(source_rules.matched_algorithms(F.col("text"), F.col("extension") == ".java")))
+    found = source_rules.matched_algorithms(F.col("text"), F.lower("text"), F.col("extension") == ".java")
+    named = rows.withColumn("algorithm", F.explode(found))
     names = [n for n, _, _ in C.RULE_PACK]
     return named.where(source_rules.is_named_constant(F.col("text"), F.col("algorithm"), names)).select("path", "algorithm")
 
@@ -90,9 +92,7 @@ def e04(t: Tables) -> DataFrame:
 @query("e05_language_guards", """
 SELECT path, CASE WHEN snippet_key = 2 THEN 'field' ELSE 'declaration' END AS guard FROM v_code WHERE lang_key = 1 AND snippet_key IN (2, 4)""")
 def e05(t: Tables) -> DataFrame:
-    rows = source_rules.statements(t.view("v_code")).where(
-        (F.col("extension") == ".java") & F.col("text").rlike(source_rules.any_rule())
-    )
+    rows = source_rules.candidates(source_rules.statements(t.view("v_code")), "text").where("extension = '.java'")
     guard = F.when(F.col("text").rlike(C.JAVA_FIELD), "field").when(source_rules.is_java_declaration(F.col("text")), "declaration")
     return rows.select("path", guard.alias("guard")).where("guard is not null")
 

@@ -260,7 +260,7 @@ class Tables:
         return spread(self.sql(VIEWS[name])) if name in SPREAD else self.sql(VIEWS[name])
 
     def lines(self) -> DataFrame:
-        return self.table("documents").selectExpr("doc_id", "posexplode(split(text, '\\n')) AS (i, line)")
+        return spread(self.table("documents")).selectExpr("doc_id", "posexplode(split(text, '\\n')) AS (i, line)")
 
 
 def with_views(check: str) -> str:
