@@ -19,6 +19,7 @@ from proofline.catalogs import CATEGORY_BY_USAGE, COLLECTORS
 from proofline.functions import evidence as E
 from proofline.functions import paths
 from proofline.functions.lookup import filled, lookup
+from proofline.operators.joins import lookup_join
 
 EVIDENCE_FIELDS = {
     "location": "string", "algorithm": "string", "category": "string", "source": "string",
@@ -163,7 +164,8 @@ def suppressed_pairs(keyed: DataFrame) -> DataFrame:
 
 
 def suppress_dependencies(grouped: DataFrame, keyed: DataFrame) -> DataFrame:
-    return grouped.join(suppressed_pairs(keyed), ["component", "algorithm"], "left_anti")
+    """Findings without the suppressed pairs; a few pairs per component are looked up, not shuffled to."""
+    return lookup_join(grouped, suppressed_pairs(keyed), ["component", "algorithm"], "left_anti", "finding_id")
 
 
 def operation_conflicts(keyed: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofline.functions import evidence as E
 from proofline.functions import paths
 from proofline.operators import correlate, correlate_spans, score
+from proofline.operators.joins import lookup_join
 from proofline.plans.registry import query
 from proofline.plans.views import Tables
 
@@ -60,8 +61,8 @@ SELECT f.component, f.algorithm, count(*) AS findings, sum(evidence_count) AS re
 JOIN k_suppressed s ON f.component = s.component AND f.algorithm = s.algorithm GROUP BY ALL""")
 def c05(t: Tables) -> DataFrame:
     records = keyed(t)
-    dropped = correlate.group_findings(records).join(
-        correlate.suppressed_pairs(records), ["component", "algorithm"], "left_semi"
+    dropped = lookup_join(
+        correlate.group_findings(records), correlate.suppressed_pairs(records), ["component", "algorithm"], "left_semi", "finding_id"
     )
     return dropped.groupBy("component", "algorithm").agg(
         F.count(F.lit(1)).alias("findings"), F.sum("evidence_count").alias("records")
