@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline import catalogs as C
@@ -64,14 +64,14 @@ def unexpected_pairs(status: DataFrame) -> DataFrame:
 
 def source_set_metrics(truth: DataFrame, actual: DataFrame) -> DataFrame:
     """Distinct pairs per source that are expected; ``actual`` has one row per (pair, source)."""
-    flags = truth.select(*PAIR, F.lit(None).cast("string").alias("source"), F.lit(True).alias("e")).distinct()
-    seen = actual.select(*PAIR, "source", F.lit(False).alias("e")).distinct()
-    marked = seen.join(flags.select(*PAIR, F.lit(True).alias("_expected")), PAIR, "left")
-    expected = flags.agg(F.count(F.lit(1)).alias("_total")).select(F.lit(1).alias("_one"), "_total")
-    per = marked.groupBy("source").agg(
-        F.count(F.lit(1)).alias("findings"), F.count("_expected").alias("true_positives")
-    ).withColumn("_one", F.lit(1))
-    return per.join(expected, "_one").select(
+    labels = truth.select(*PAIR).distinct()
+    seen = actual.select(*PAIR, "source").distinct()
+    marked = seen.join(labels.withColumn("_expected", F.lit(True)), PAIR, "left")
+    per = marked.groupBy("source").agg(F.count(F.lit(1)).alias("findings"), F.count("_expected").alias("true_positives"))
+    total = labels.agg(F.count(F.lit(1)).alias("_labels"))
+    # One row per source and one for the labels, so the unpartitioned window is bounded.
+    both = per.unionByName(total, allowMissingColumns=True).withColumn("_total", F.max("_labels").over(Window.partitionBy()))
+    return both.where("_labels is null").select(
         "source", "findings", "true_positives",
         F.round(ratio(F.col("true_positives"), F.col("findings"), 0.0), 4).alias("precision"),
         F.round(ratio(F.col("true_positives"), F.col("_total"), 1.0), 4).alias("recall"),

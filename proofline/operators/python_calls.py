@@ -135,12 +135,8 @@ def facts(files: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = file_facts(content)
-                if rows:
-                    yield pd.DataFrame([(path, *r) for r in rows], columns=names).astype(
-                        {n: "Int32" for n in ("line", "column", "line_end", "column_end")}
-                    )
+            rows = [(path, *fact) for path, content in zip(batch["path"], batch["content"]) for fact in file_facts(content)]
+            yield pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in ("line", "column", "line_end", "column_end")})
 
     python = files.where(paths.extension("path") == ".py").select("path", "content")
     return python.mapInPandas(extract, FACT)

@@ -11,7 +11,7 @@ from proofline.operators import manifests, report
 from proofline.plans.correlation import scored
 from proofline.plans.registry import query
 from proofline.plans.views import Tables
-from proofline.sources import corpora, files, sinks
+from proofline.sources import corpora, files, sinks, truth
 
 SCOPED = """
 (SELECT *, regexp_extract(path, '[.][a-z]+$') AS ext, length > 1000 AS big FROM v_files
@@ -137,6 +137,22 @@ def s14(t: Tables) -> DataFrame:
         "finding_id", "priority_score", "priority_label", "algorithm", "usage", "location", "operation_anchor", "pqc_candidate"))
 
 
+@query("s15_truth_checks", """
+SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'ground truth is not valid JSON' WHEN 2 THEN 'asset missing valid ''algorithm''' WHEN 3 THEN concat(chr(39), 'blind_spots', chr(39), ' must be a list')
+   WHEN 4 THEN 'ground truth is not a JSON object' END AS message FROM documents""")
+def s15(t: Tables) -> DataFrame:
+    """Truth documents that carry each text as a reason; four of five are damaged."""
+    reason = F.to_json(F.struct(F.lit("a").alias("component"), F.lit("AES").alias("algorithm"), F.col("text").alias("reason")))
+    key = F.col("doc_id") % 5
+    good = F.concat(F.lit('{"assets": [{"component": "a", "algorithm": "RSA"}], "blind_spots": ['), reason, F.lit("]}"))
+    blank = F.concat(F.lit('{"assets": [{"component": "a", "algorithm": " "}], "blind_spots": ['), reason, F.lit("]}"))
+    single = F.concat(F.lit('{"assets": [], "blind_spots": '), reason, F.lit("}"))
+    text = F.when(key == 1, F.concat(good, F.lit("}"))).when(key == 2, blank).when(key == 3, single).when(
+        key == 4, F.concat(F.lit("["), reason, F.lit("]"))).otherwise(good)
+    documents = t.table("documents").select("doc_id", F.col("n_chars").alias("length"), text.alias("text"))
+    return truth.check_truth(documents).select("doc_id", "message")
+
+
 @query("s18_corpus_drift", """
 SELECT language, CAST(count(*) AS BIGINT) AS only_manifest, CAST(count_if(doc_id % 100 = 0) AS BIGINT) AS only_stored FROM v_corpus
 WHERE doc_id % 50 = 0 GROUP BY language""")
