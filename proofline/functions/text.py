@@ -54,3 +54,14 @@ def package_name(raw: Column | str) -> Column:
     """Declared package name: last path segment, without version or marker, separators as one hyphen."""
     last = F.element_at(F.split(F.lower(F.trim(column(raw))), "/"), -1)
     return F.regexp_replace(F.element_at(F.split(last, r"[<>=!~\[;@#\s]"), 1), r"[-_.]+", "-")
+
+
+def valid_json(text: Column | str) -> Column:
+    """Whether the text is one JSON value with nothing after it.
+
+    JSON readers stop at the end of the first value; inside brackets, trailing text no longer parses or
+    shows up as a second element.
+    """
+    held = F.try_parse_json(F.concat(F.lit("["), column(text), F.lit("]")))
+    first, second = (F.try_variant_get(held, f"$[{i}]", "variant") for i in (0, 1))
+    return F.coalesce(first.isNotNull() & second.isNull(), F.lit(False))

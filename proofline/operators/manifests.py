@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from proofline import catalogs as C
 from proofline.functions import paths
 from proofline.functions.lookup import column, lookup, text_array
-from proofline.functions.text import package_name
+from proofline.functions.text import package_name, valid_json
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 PACKAGE = "array<struct<key:string,package:string,version:string,detail:string>>"
@@ -129,7 +129,7 @@ def declared_packages(files: DataFrame, catalog: Sequence[tuple] = C.PACKAGE_CAT
 def manifest_failures(files: DataFrame) -> DataFrame:
     """Manifests that cannot be read as their format."""
     name = paths.file_name("path")
-    bad_json = (name == "package-lock.json") & F.try_parse_json("content").isNull()
+    bad_json = (name == "package-lock.json") & ~valid_json("content")
     # A well-formed document repeats its root's closing tag at the end.
     root = F.regexp_extract("content", r"^\s*(?:<\?[^>]*\?>\s*|<!--[\s\S]*?-->\s*)*<([A-Za-z_][\w.:-]*)", 1)
     closed = F.when(root != "", F.rtrim(F.regexp_replace("content", r"\s+$", "")).endswith(F.concat(F.lit("</"), root, F.lit(">"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline import catalogs as C
+from proofline.functions.text import valid_json
 
 ASSET = "struct<component:string,algorithm:string,usage:string,key_size:int,line:int,file:string,confidence:double>"
 TRUTH = (
@@ -44,7 +45,7 @@ def check_truth(documents: DataFrame) -> DataFrame:
 
     problem = (
         F.when(F.col("length") > C.MAX_TRUTH_BYTES, "oversized ground truth")
-        .when(F.col("_raw").isNull(), "ground truth is not valid JSON")
+        .when(~valid_json("text"), "ground truth is not valid JSON")
         .when(F.col("_keys").isNull(), "ground truth is not a JSON object")
         .when(~F.array_contains("_keys", "assets") | not_list("assets"), "missing or invalid 'assets' list")
         .when(F.size(assets) > C.MAX_TRUTH_ASSETS, f"ground truth exceeds {C.MAX_TRUTH_ASSETS:,} assets")

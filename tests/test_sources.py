@@ -49,14 +49,15 @@ def test_ground_truth_checks(spark):
     good = {"evaluation_version": 2, "assets": [{"component": "a", "algorithm": "RSA", "key_size": 2048}],
             "alias_pairs": [{"algorithms": ["RSA", "RSA-2048"]}], "cert_expectations": [{"component": "c", "key_size": 1}]}
     documents = {
-        "good": json.dumps(good), "list": "[1]", "broken": "{", "none": "{}", "noassets": '{"assets": 3}', "blank": '{"assets": [{"component": " ", "algorithm": "x"}]}',
+        "good": json.dumps(good), "list": "[1]", "broken": "{", "trailing": '{"assets": []}}', "two": '{"assets": []}, {}', "none": "{}", "noassets": '{"assets": 3}', "blank": '{"assets": [{"component": " ", "algorithm": "x"}]}',
         "lists": '{"assets": [], "blind_spots": {}}', "missing": '{"assets": [{"component": "x"}]}',
     }
     rows = spark.createDataFrame([(k, len(v), v) for k, v in documents.items()] + [("big", 3 * 1024 * 1024, None)], "path string, length long, text string")
     checked = truth.check_truth(rows)
     messages = {r["path"]: r["message"] for r in checked.collect()}
     assert messages == {
-        "good": None, "list": "ground truth is not a JSON object", "broken": "ground truth is not valid JSON", "none": "missing or invalid 'assets' list",
+        "good": None, "list": "ground truth is not a JSON object", "broken": "ground truth is not valid JSON",
+        "trailing": "ground truth is not valid JSON", "two": "ground truth is not valid JSON", "none": "missing or invalid 'assets' list",
         "noassets": "missing or invalid 'assets' list", "blank": "asset missing valid 'component'", "lists": "'blind_spots' must be a list",
         "missing": "asset missing valid 'algorithm'", "big": "oversized ground truth"}
     assert [(r["component"], r["key_size"], r["usage_raw"]) for r in truth.truth_assets(checked).collect()] == [("a", 2048, "unknown")]
