@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.operators.joins import lookup_join
 from proofline.session import ensure_checkpoint_dir
 
 ROW_MASK = (1 << 33) - 1
@@ -47,14 +48,13 @@ def rank_in_group(frame: DataFrame, group: Sequence[str], order: Sequence[Column
                   size: str | None = None) -> DataFrame:
     """1-based position inside each group (and the group size); a hot group is sorted by many tasks."""
     ranked = global_rank(frame, [*[F.col(g) for g in group], *order], "_position")
-    spans = ranked.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(
-        F.min("_position").alias("_group_start"), F.count(F.lit(1)).alias("_group_size")
-    )
-    match = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-    joined = ranked.join(spans, match).withColumn(name, F.col("_position") - F.col("_group_start") + 1)
+    # One text per group, in which a null differs from every value.
+    named = ranked.withColumn("_group", F.concat_ws("\u0001", *[F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in group]))
+    spans = named.groupBy("_group").agg(F.min("_position").alias("_start"), F.count(F.lit(1)).alias("_rows"))
+    joined = lookup_join(named, spans, ["_group"], "left", "_position").withColumn(name, F.col("_position") - F.col("_start") + 1)
     if size:
-        joined = joined.withColumn(size, F.col("_group_size"))
-    return joined.drop("_position", "_group_start", "_group_size", *[f"_{g}" for g in group])
+        joined = joined.withColumn(size, F.col("_rows"))
+    return joined.drop("_position", "_start", "_rows", "_group")
 
 
 def page(frame: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 50) -> DataFrame:

@@ -142,30 +142,11 @@ def facts(files: DataFrame) -> DataFrame:
     return python.mapInPandas(extract, FACT)
 
 
-def _evidence(rows: DataFrame, kind: str, confidence: float, detail: Column) -> DataFrame:
-    return rows.select(
-        F.col("path").alias("location"), "algorithm", "category", F.lit("ast").alias("source"),
-        F.lit(kind).alias("evidence_kind"), "usage_raw", F.col("line").alias("line_start"),
-        F.col("column").alias("column_start"), "column_end", F.lit(None).cast("int").alias("key_size"),
-        F.lit("").alias("library"), F.lit("").alias("protocol"), F.lit(confidence).alias("confidence"),
-        F.lit("ast-v3").alias("parser_version"), detail.alias("details"),
-    )
-
-
-def import_evidence(rows: DataFrame) -> DataFrame:
-    """Imports of known modules: a declared capability, no confirmed operation."""
-    known = rows.where("kind = 'import'").withColumn("algorithm", lookup(dict(C.IMPORT_CATALOG), "name"))
-    found = known.where("algorithm is not null").withColumns({
-        "category": E.category("algorithm"), "usage_raw": F.lit(None).cast("string"),
-    })
-    details = F.create_map(F.lit("import"), F.col("name"), F.lit("node_type"), F.col("node"))
-    return _evidence(found, "declared_capability", C.IMPORT_CONFIDENCE, details)
-
-
-def classify_calls(rows: DataFrame) -> DataFrame:
-    """Calls with their algorithm, category, usage and digest; calls of no interest are dropped."""
-    name = F.col("name")
-    calls = rows.where("kind = 'call'").withColumn("_a", F.from_json("args", ARGUMENTS))
+def classify_facts(rows: DataFrame) -> DataFrame:
+    """Imports and calls with algorithm, category, usage and digest; facts of no interest are dropped."""
+    name, is_import = F.col("name"), F.col("kind") == "import"
+    imported = lookup(dict(C.IMPORT_CATALOG), name)
+    calls = rows.where("kind in ('import', 'call')").withColumn("_a", F.from_json("args", ARGUMENTS))
     digests = literal_map(C.DIGEST_NAMES)
 
     def argument(*keys: str) -> Column:
@@ -197,8 +178,9 @@ def classify_calls(rows: DataFrame) -> DataFrame:
     is_digest = hashlib_name.isNotNull() | hazmat_name.isNotNull()
 
     def pick(kdf: str, hashed: Column | str, mac: str, aes: str, field: str) -> Column:
+        known = {"algorithm": imported, "category": E.category(imported)}.get(field, F.lit(None).cast("string"))
         return (
-            F.when(pbkdf2, kdf).when(is_digest, hashed).when(is_hmac, mac)
+            F.when(is_import, known).when(pbkdf2, kdf).when(is_digest, hashed).when(is_hmac, mac)
             .when(catalog["algorithm"].isNotNull(), catalog[field]).when(is_aes, aes)
         )
 
@@ -211,12 +193,33 @@ def classify_calls(rows: DataFrame) -> DataFrame:
     return found.where("algorithm is not null").drop("_a")
 
 
-def call_evidence(rows: DataFrame) -> DataFrame:
+def evidence(rows: DataFrame) -> DataFrame:
+    """Evidence of imports (a declared capability) and of calls (an observed operation), in one pass over the facts."""
+    is_import = F.col("kind") == "import"
+    found = classify_facts(rows)
     details = F.map_filter(
-        F.create_map(F.lit("call"), F.col("name"), F.lit("digest_algorithm"), F.col("digest_algorithm")),
+        F.create_map(
+            F.when(is_import, "import").otherwise("call"), F.col("name"), F.lit("node_type"), F.when(is_import, F.col("node")),
+            F.lit("digest_algorithm"), F.col("digest_algorithm"),
+        ),
         lambda k, v: v.isNotNull(),
     )
-    return _evidence(classify_calls(rows), "observed_operation", C.CALL_CONFIDENCE, details)
+    return found.select(
+        F.col("path").alias("location"), "algorithm", "category", F.lit("ast").alias("source"),
+        F.when(is_import, "declared_capability").otherwise("observed_operation").alias("evidence_kind"), "usage_raw",
+        F.col("line").alias("line_start"), F.col("column").alias("column_start"), "column_end",
+        F.lit(None).cast("int").alias("key_size"), F.lit("").alias("library"), F.lit("").alias("protocol"),
+        F.when(is_import, C.IMPORT_CONFIDENCE).otherwise(C.CALL_CONFIDENCE).alias("confidence"),
+        F.lit("ast-v3").alias("parser_version"), details.alias("details"),
+    )
+
+
+def import_evidence(rows: DataFrame) -> DataFrame:
+    return evidence(rows.where("kind = 'import'"))
+
+
+def call_evidence(rows: DataFrame) -> DataFrame:
+    return evidence(rows.where("kind = 'call'"))
 
 
 def parse_failures(rows: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def e12(t: Tables) -> DataFrame:
 @query("e13_aes_modes", """
 SELECT path, 'MODE_GCM' AS mode FROM v_code WHERE lang_key = 0 AND snippet_key = 1""")
 def e13(t: Tables) -> DataFrame:
-    calls = python_calls.classify_calls(python_calls.facts(t.view("v_code"))).where("name like '%AES.new'")
+    calls = python_calls.classify_facts(python_calls.facts(t.view("v_code"))).where("kind = 'call' and name like '%AES.new'")
     arguments = F.from_json("args", python_calls.ARGUMENTS)
     return calls.select("path", F.try_element_at(arguments, F.lit("1"))["attr"].alias("mode"))
 

@@ -28,8 +28,7 @@ def scan(files: DataFrame, profile: str = "source", decoded_certificates: DataFr
     readable = scoped.where("in_scope and failure is null").select("path", "content")
     facts = python_calls.facts(readable)
     parts = [
-        python_calls.import_evidence(facts), python_calls.call_evidence(facts),
-        source_rules.evidence(readable), manifests.evidence(readable),
+        python_calls.evidence(facts), source_rules.evidence(readable), manifests.evidence(readable),
     ]
     if decoded_certificates is not None:
         parts.append(certificates.evidence(decoded_certificates))
