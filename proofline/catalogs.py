@@ -345,6 +345,7 @@ CATEGORY_BY_USAGE = {
     "signature": "signature", "hashing": "hash", "key_establishment": "key_exchange",
     "tls": "protocol", "encryption": "encryption",
 }
+CATEGORIES = ("encryption", "signature", "hash", "mac", "key_exchange", "kdf", "protocol", "unknown")
 NEARBY_LINES = 5
 AMBIGUITY_PENALTY = 0.1
 

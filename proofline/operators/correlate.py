@@ -15,11 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.catalogs import CATEGORY_BY_USAGE, COLLECTORS
+from proofline.catalogs import CATEGORIES, CATEGORY_BY_USAGE, COLLECTORS
 from proofline.functions import evidence as E
 from proofline.functions import paths
 from proofline.functions.lookup import filled, lookup
 from proofline.operators.joins import lookup_join
+from proofline.session import ensure_checkpoint_dir
 
 EVIDENCE_FIELDS = {
     "location": "string", "algorithm": "string", "category": "string", "source": "string",
@@ -134,7 +135,15 @@ def final_category() -> Column:
     return lookup(CATEGORY_BY_USAGE, "usage", F.coalesce("_primary", "_any"))
 
 
-def group_findings(keyed: DataFrame, collectors: Sequence[str] = COLLECTORS) -> DataFrame:
+def direct_categories(categories: Sequence[str]) -> Column:
+    """Categories of direct evidence as one bit each, a number the aggregation can hold; others stop the job."""
+    bit = F.raise_error(F.concat(F.lit("unregistered category: "), F.col("category"))).cast("long")
+    for index, name in enumerate(categories):
+        bit = F.when(F.col("category") == name, F.lit(1 << index).cast("long")).otherwise(bit)
+    return F.bit_or(F.when(F.col("source") != "dep", bit))
+
+
+def group_findings(keyed: DataFrame, collectors: Sequence[str] = COLLECTORS, categories: Sequence[str] = CATEGORIES) -> DataFrame:
     """One row per finding key, before suppression and operation conflicts.
 
     The hash in front of the key changes no group; it lets the aggregation sort compare one number
@@ -143,35 +152,38 @@ def group_findings(keyed: DataFrame, collectors: Sequence[str] = COLLECTORS) ->
     grouped = keyed.groupBy(F.xxhash64(*FINDING_KEY).alias("_hash"), *FINDING_KEY).agg(
         F.count(F.lit(1)).alias("evidence_count"),
         F.max(F.col("source") != "dep").alias("has_direct"),
+        direct_categories(categories).alias("_direct"),
         *source_columns(collectors), *context_aggregates(), *preferred_category(),
     )
     return grouped.select(
         finding_id().alias("finding_id"), *FINDING_KEY, final_category().alias("category"),
         *[v.alias(k) for k, v in {**source_summary(collectors), **context_summary()}.items()],
         "evidence_count", "has_direct",
+        F.array_compact(F.array(*[
+            F.when(F.col("_direct").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(categories)
+        ])).alias("direct_categories"),
     )
 
 
-def suppressed_pairs(keyed: DataFrame) -> DataFrame:
+def suppressed_pairs(grouped: DataFrame) -> DataFrame:
     """(component, algorithm) seen only in dependencies, in components that have direct evidence.
 
-    Reads three columns and combines on the map side; the window then sees one row per algorithm of a
-    component, never evidence rows.
+    The window sees one row per algorithm of a component, never findings.
     """
-    pairs = keyed.groupBy("component", "algorithm").agg(F.max(F.col("source") != "dep").alias("direct"))
+    pairs = grouped.groupBy("component", "algorithm").agg(F.max("has_direct").alias("direct"))
     covered = F.max("direct").over(Window.partitionBy("component"))
     return pairs.withColumn("_covered", covered).where("_covered and not direct").select("component", "algorithm")
 
 
-def suppress_dependencies(grouped: DataFrame, keyed: DataFrame) -> DataFrame:
+def suppress_dependencies(grouped: DataFrame) -> DataFrame:
     """Findings without the suppressed pairs; a few pairs per component are looked up, not shuffled to."""
-    return lookup_join(grouped, suppressed_pairs(keyed), ["component", "algorithm"], "left_anti", "finding_id")
+    return lookup_join(grouped, suppressed_pairs(grouped), ["component", "algorithm"], "left_anti", "finding_id")
 
 
-def operation_conflicts(keyed: DataFrame) -> DataFrame:
+def operation_conflicts(grouped: DataFrame) -> DataFrame:
     """Operations where direct evidence names several algorithms in one category."""
     return (
-        keyed.where(F.col("source") != "dep")
+        grouped.select("location", "operation_anchor", "algorithm", F.explode("direct_categories").alias("category"))
         .groupBy("location", "operation_anchor", "category")
         .agg(F.min("algorithm").alias("low"), F.max("algorithm").alias("high"))
         .where("low <> high")
@@ -180,11 +192,16 @@ def operation_conflicts(keyed: DataFrame) -> DataFrame:
     )
 
 
-def findings(evidence: DataFrame, collectors: Sequence[str] = COLLECTORS) -> DataFrame:
-    """Findings with suppression, operation conflicts and context conflicts."""
-    keyed = with_keys(evidence)
-    kept = suppress_dependencies(group_findings(keyed, collectors), keyed)
-    clashes = operation_conflicts(keyed).withColumn("_clash", F.lit(True))
+def findings(evidence: DataFrame, collectors: Sequence[str] = COLLECTORS, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """Findings with suppression, operation conflicts and context conflicts.
+
+    The groups are written once to the checkpoint folder: suppression and conflicts both look across
+    groups, and evidence may be the end of a whole scan that must not run again for each of them.
+    """
+    ensure_checkpoint_dir(evidence.sparkSession)
+    grouped = group_findings(with_keys(evidence), collectors, categories).checkpoint()
+    kept = suppress_dependencies(grouped)
+    clashes = operation_conflicts(grouped).withColumn("_clash", F.lit(True))
     operation = F.regexp_extract("operation_anchor", r"^id:(.*)$", 1)
     named = F.coalesce(filled(operation), F.col("operation_anchor"))
     return (
@@ -192,7 +209,7 @@ def findings(evidence: DataFrame, collectors: Sequence[str] = COLLECTORS) -> Dat
         .withColumn("operation_conflict", F.coalesce("_clash", F.lit(False)))
         .withColumn("conflicting_operation", F.when(F.col("operation_conflict"), named))
         .withColumn("conflict", F.col("operation_conflict") | F.col("context_conflict"))
-        .drop("_clash", "has_direct", "context_conflict")
+        .drop("_clash", "has_direct", "context_conflict", "direct_categories")
     )
 
 

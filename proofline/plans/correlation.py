@@ -60,10 +60,8 @@ def c04(t: Tables) -> DataFrame:
 SELECT f.component, f.algorithm, count(*) AS findings, sum(evidence_count) AS records FROM k_grouped f
 JOIN k_suppressed s ON f.component = s.component AND f.algorithm = s.algorithm GROUP BY ALL""")
 def c05(t: Tables) -> DataFrame:
-    records = keyed(t)
-    dropped = lookup_join(
-        correlate.group_findings(records), correlate.suppressed_pairs(records), ["component", "algorithm"], "left_semi", "finding_id"
-    )
+    grouped = correlate.group_findings(keyed(t))
+    dropped = lookup_join(grouped, correlate.suppressed_pairs(grouped), ["component", "algorithm"], "left_semi", "finding_id")
     return dropped.groupBy("component", "algorithm").agg(
         F.count(F.lit(1)).alias("findings"), F.sum("evidence_count").alias("records")
     )
@@ -77,7 +75,7 @@ def c06(t: Tables) -> DataFrame:
 
 @query("c07_operation_conflicts", "SELECT location, operation_anchor FROM k_clashes")
 def c07(t: Tables) -> DataFrame:
-    return correlate.operation_conflicts(keyed(t))
+    return correlate.operation_conflicts(correlate.group_findings(keyed(t)))
 
 
 @query("c08_context_conflicts", """
