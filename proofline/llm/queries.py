@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from proofline.llm import exact_dedup
+from proofline.llm import exact_dedup, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -30,6 +31,14 @@ def query(name: str, sql: str | None = None) -> Callable:
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    sized = _table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = sharding.shuffle_into_shards(sized, 24, ["doc_id", "size", "text_crc32"])
+    return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 @query("op7_exact_dedup", f"""
 WITH d AS (SELECT doc_id, {ASCII_LOWER} AS t FROM documents),
 n AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
@@ -37,3 +46,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """)
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
+
+
+@query("op9_mixing")
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    planned = mixing.mix(_table(spark, folder, "documents"))
+    return planned.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate",
+    )
