@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import exact_dedup, mixing, sharding
+from proofline.llm import bpe, exact_dedup, fingerprint, langid, minhash, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -31,6 +31,17 @@ def query(name: str, sql: str | None = None) -> Callable:
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op3_minhash")
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded_digests(_table(spark, folder, "documents"))
+
+
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
@@ -48,9 +59,19 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+@query("op8_langid")
+def op8_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(_table(spark, folder, "documents"))
+
+
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     planned = mixing.mix(_table(spark, folder, "documents"))
     return planned.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate",
     )
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.with_edits(_table(spark, folder, "documents"))
