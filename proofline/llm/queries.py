@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, exact_dedup, fingerprint, langid, minhash, mixing, sharding
+from proofline.llm import bpe, exact_dedup, fingerprint, html_extract, langid, line_dedup, minhash, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -31,6 +31,29 @@ def query(name: str, sql: str | None = None) -> Callable:
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+LOWER_KEY = ASCII_LOWER.replace("coalesce(text, '')", "trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+
+
+@query("op1_line_dedup", f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, {LOWER_KEY} AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper <> doc_id) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id
+""")
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(_table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op2_html_extract")
+def op2_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op3_minhash")
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, folder, "documents"))
