@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, exact_dedup, fingerprint, html_extract, langid, line_dedup, minhash, mixing, sharding
+from proofline.llm import bpe, exact_dedup, fingerprint, html_extract, langid, licenses, line_dedup, minhash, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -60,6 +60,11 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded_digests(_table(spark, folder, "documents"))
