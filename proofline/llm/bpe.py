@@ -30,6 +30,9 @@ WINDOW = 64
 RUN = 4
 #: Characters given to the tokenizer at once.
 CHUNK_CHARS = 1 << 20
+#: Words remembered by a task, and the longest one that is.
+KNOWN_WORDS = 200_000
+KNOWN_CHARS = 64
 
 
 def default_path() -> str:
@@ -118,26 +121,57 @@ def decode_ids(path: str, ids: list[int]) -> str:
     return tok.decode(ids, skip_special_tokens=False)
 
 
-def _digest(path: str, ids: list[int]) -> tuple[int, str, str]:
-    decoded = decode_ids(path, ids)
-    return len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+class Words:
+    """Encodes texts word by word with a bounded memory, for tokenizers that drop blanks.
+
+    If blanks give no tokens, no token and no merge reaches across one, so a text's ids are those of its words in a row.
+    """
+
+    def __init__(self, path: str):
+        self.tok, self.known, self.path = tokenizer(path), {}, path
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        return not tokenizer(path).encode(" \n ", add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as 32-bit little-endian integers."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = list({w for words in split for w in words if w not in self.known})
+        found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False))}
+        known = self.known
+        known.update((w, ids) for w, ids in found.items() if len(w) <= KNOWN_CHARS)
+        return [b"".join([known[w] if w in known else found[w] for w in words]) for words in split]
+
+
+def _encode_all(path: str, texts: list[str], words: Words | None) -> list[bytes]:
+    if words:
+        return words.encode(texts)
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _digest(path: str, ids: bytes) -> tuple[int, str, str]:
+    decoded = decode_ids(path, np.frombuffer(ids, dtype="<u4").tolist())
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, finish: Callable, kind: str) -> DataFrame:
-    """doc_id and the columns of ``kind`` that ``finish(path, ids)`` makes of each text's ids."""
+    """doc_id and the columns of ``kind`` that ``finish(path, ids)`` makes of each text's ids, given as bytes."""
     names = [c.split()[0] for c in kind.split(", ")]
     types = [{"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[c.split()[1]] for c in kind.split(", ")]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = rows.schema["doc_id"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        words = Words(path) if Words.fits(path) else None
         for batch in batches:
             texts, begin, size = batch.column(1).to_pylist(), 0, 0
             for i, one in enumerate(texts):
                 size += len(one)
                 if size >= CHUNK_CHARS or i + 1 == len(texts):
-                    found = [finish(path, e.ids) for e in tok.encode_batch_fast(texts[begin:i + 1], add_special_tokens=False)]
+                    found = [finish(path, ids) for ids in _encode_all(path, texts[begin:i + 1], words)]
                     columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), *columns], names=["doc_id", *names])
                     begin, size = i + 1, 0
@@ -160,7 +194,7 @@ def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, fini
             for p, i, s in zip(*(group.column(c).to_pylist() for c in ("piece", "ids", "spans")))
         ]
         whole = join_tree(lambda t: encode_node(tok, t), nodes)
-        return pa.table([pa.array([group.column("sha")[0].as_py()]), *[pa.array([c], t) for c, t in zip(finish(path, whole.ids), types)]], names=["sha", *names])
+        return pa.table([pa.array([group.column("sha")[0].as_py()]), *[pa.array([c], t) for c, t in zip(finish(path, np.array(whole.ids, dtype="<u4").tobytes()), types)]], names=["sha", *names])
 
     is_long = F.char_length("text") > leaf
     direct = rows.where(~is_long).mapInArrow(short, f"doc_id {own}, {kind}")
@@ -177,7 +211,7 @@ def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, fini
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF_CHARS) -> DataFrame:
     """doc_id and the token ids of each whole text."""
-    return _results(docs, doc_id, text, path or default_path(), leaf, lambda _, ids: (ids,), "ids array<int>")
+    return _results(docs, doc_id, text, path or default_path(), leaf, lambda _, ids: (np.frombuffer(ids, dtype="<u4").tolist(),), "ids array<int>")
 
 
 def encoded_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF_CHARS) -> DataFrame:

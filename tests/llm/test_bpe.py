@@ -59,3 +59,14 @@ def test_empty_table(documents):
 def test_leaves_are_a_binary_tree(documents, n):
     found = bpe.encoded_digests(documents([(1, "ab" * n)]), leaf=64).first()
     assert tuple(found)[1:] == expected("ab" * n)
+
+
+def test_words_equal_whole_texts(monkeypatch):
+    path = bpe.default_path()
+    assert bpe.Words.fits(path)
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 5)
+    words = bpe.Words(path)
+    texts = long_texts() + ["", " ", "a \u0301b", "a\n\u0301", "x\u00a0y \u2003z", "<|endoftext|> a<|startoftext|>", "it's 'll"]
+    for _ in range(2):
+        for text, ids in zip(texts, words.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == TOK.encode(text, add_special_tokens=False).ids
