@@ -144,7 +144,7 @@ def entry_errors(corpus: DataFrame) -> DataFrame:
 def family_breakdown(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("algorithm_family").agg(
         F.count_if("positive").alias("positive_count"), F.count_if(~F.col("positive")).alias("negative_count"),
-        F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("operation").isin(*C.CORPUS_OPERATIONS), F.col("operation"))))).alias("operations"),
+        F.concat_ws(",", F.array_sort(F.collect_set("operation"))).alias("operations"),
     )
 
 

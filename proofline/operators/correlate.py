@@ -20,7 +20,7 @@ from proofline.functions import evidence as E
 from proofline.functions import paths
 from proofline.functions.lookup import filled, lookup
 from proofline.operators.joins import lookup_join
-from proofline.session import ensure_checkpoint_dir
+from proofline.session import written
 
 EVIDENCE_FIELDS = {
     "location": "string", "algorithm": "string", "category": "string", "source": "string",
@@ -198,8 +198,7 @@ def findings(evidence: DataFrame, collectors: Sequence[str] = COLLECTORS, catego
     The groups are written once to the checkpoint folder: suppression and conflicts both look across
     groups, and evidence may be the end of a whole scan that must not run again for each of them.
     """
-    ensure_checkpoint_dir(evidence.sparkSession)
-    grouped = group_findings(with_keys(evidence), collectors, categories).checkpoint()
+    grouped = written(group_findings(with_keys(evidence), collectors, categories), "groups")
     kept = suppress_dependencies(grouped)
     clashes = operation_conflicts(grouped).withColumn("_clash", F.lit(True))
     operation = F.regexp_extract("operation_anchor", r"^id:(.*)$", 1)

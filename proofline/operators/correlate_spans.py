@@ -107,11 +107,13 @@ def with_ambiguity(grouped: DataFrame, nearby: int = NEARBY_LINES) -> DataFrame:
     )
 
 
-def ambiguous_candidates(found: DataFrame, spans: DataFrame, finding_ids: Sequence[str], nearby: int = NEARBY_LINES) -> DataFrame:
-    """The candidate records behind the ambiguity count of the chosen findings, one row per candidate."""
-    if len(finding_ids) > 1000:
-        raise ValueError("list candidates for at most 1000 findings at a time")
-    chosen = found.where(F.col("finding_id").isin(*finding_ids)).select(
+def ambiguous_candidates(found: DataFrame, spans: DataFrame, finding_ids: DataFrame | Sequence[str], nearby: int = NEARBY_LINES) -> DataFrame:
+    """The candidate records behind the ambiguity count of the chosen findings (a table with ``finding_id``, or a list)."""
+    if isinstance(finding_ids, DataFrame):
+        picked = found.join(finding_ids.select("finding_id").distinct(), "finding_id", "left_semi")
+    else:
+        picked = found.where(F.col("finding_id").isin(*finding_ids))
+    chosen = picked.select(
         "finding_id", F.col("location"), F.col("algorithm"),
         F.col("evidence_kind").alias("target_kind"), F.col("line_start").alias("target_line"),
     )

@@ -82,8 +82,12 @@ def source_set_metrics(truth: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def alias_table(alias_pairs: DataFrame, column: str = "algorithms") -> DataFrame:
-    """Alias to canonical name: the first name of each list with two or more; later lists win."""
-    lists = alias_pairs.where(F.size(column) >= 2).withColumn("_n", F.monotonically_increasing_id())
+    """Alias to canonical name: the first name of each list with two or more; later lists win.
+
+    ``alias_pairs`` says with ``path`` and ``position`` which list is later; without them the larger list in sort order wins.
+    """
+    places = [c for c in ("path", "position") if c in alias_pairs.columns]
+    lists = alias_pairs.where(F.size(column) >= 2).withColumn("_n", F.struct(*places, column))
     return (
         lists.select("_n", F.element_at(column, 1).alias("canonical"), F.explode(column).alias("alias"))
         .groupBy("alias").agg(F.max_by("canonical", "_n").alias("canonical"))
@@ -210,11 +214,22 @@ def is_deterministic(runs: Sequence[DataFrame]) -> bool:
 # --- certificates ---------------------------------------------------------------------------------
 
 
+GRAM = 3
+
+
+def _pieces(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct runs of characters of the given sizes."""
+    runs = [
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n)))
+        for n in sizes
+    ]
+    return F.array_distinct(F.concat(*runs))
+
+
 def certificate_matches(certificates: DataFrame, expectations: DataFrame) -> DataFrame:
     """Best certificate per expected component: same component, else same file name, else containing it.
 
-    Labels are limited in number, so those still open after the two equi-joins are folded into the
-    substring test as literals instead of joining every label with every certificate.
+    Labels still open after the two equi-joins meet only components that hold the label's rarest run of three characters.
     """
     name = F.lower(F.element_at(F.split("component", "/"), -1))
     best = F.struct("finding_order", "found_key_size", "found_not_after", "found_component")
@@ -229,18 +244,16 @@ def certificate_matches(certificates: DataFrame, expectations: DataFrame) -> Dat
 
     exact = wanted.join(nearest("component"), "component", "left")
     named = exact.where("best is null").drop("best").join(nearest("name"), "name", "left")
-    open_rows = named.where("best is null").select("name").distinct().limit(C.MAX_TRUTH_ASSETS + 1).collect()
-    if len(open_rows) > C.MAX_TRUTH_ASSETS:
-        raise ValueError(f"certificate labels are limited to {C.MAX_TRUTH_ASSETS}")
     partial = named.where("best is null").drop("best")
-    if open_rows:
-        names = F.array(*[F.lit(r["name"]) for r in open_rows])
-        held = found.select(
-            F.explode(F.filter(names, lambda n: F.lower("component").contains(n))).alias("name"), best.alias("row")
-        ).groupBy("name").agg(F.min("row").alias("best"))
-        partial = partial.join(held, "name", "left")
-    else:
-        partial = partial.withColumn("best", F.lit(None).cast(exact.schema["best"].dataType))
+    whole = F.lower("component")
+    holders = found.groupBy(whole.alias("whole")).agg(F.min(best).alias("row"))
+    pieces = holders.select("whole", "row", F.explode(_pieces(F.col("whole"), (0, 1, 2, GRAM))).alias("piece"))
+    common = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    asked = partial.select("name").distinct()
+    asked = asked.withColumn("piece", F.explode(F.when(F.length("name") < GRAM, F.array("name")).otherwise(_pieces(F.col("name"), (GRAM,)))))
+    rarest = asked.join(common, "piece").groupBy("name").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    held = rarest.join(pieces, "piece").where(F.col("whole").contains(F.col("name"))).groupBy("name").agg(F.min("row").alias("best"))
+    partial = partial.join(held, "name", "left")
     columns = [*expectations.columns, "best"]
     return (
         exact.where("best is not null").select(*columns)

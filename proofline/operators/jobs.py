@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from proofline import catalogs as C
 from proofline.operators.ordering import page, previous_by_bucket, previous_in_order
 
+#: Longest page whose ids are broadcast.
+PAGE_IDS = 100_000
+
 
 def scan_deltas(jobs: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Each completed job against the completed job before it."""
@@ -52,7 +55,9 @@ def listing(jobs: DataFrame, failures: DataFrame, offset: int = 0, limit: int =
     Failures stay rows: a job can have as many as it has files.
     """
     shown = page(jobs, [F.col("id").desc()], offset, limit)
-    child = failures.select(F.col("scan_job_id").alias("id"), F.col("path").alias("failure_path"), F.col("reason").alias("failure_reason"))
+    # The page has at most ``limit`` ids: failures of other jobs are dropped where they are read.
+    own = failures.join(F.broadcast(shown.select(F.col("id").alias("scan_job_id"))), "scan_job_id", "left_semi") if limit <= PAGE_IDS else failures
+    child = own.select(F.col("scan_job_id").alias("id"), F.col("path").alias("failure_path"), F.col("reason").alias("failure_reason"))
     return shown.join(child, "id", "left")
 
 
@@ -177,16 +182,24 @@ def progress_changes(snapshots: DataFrame, key: str, at: str, tie: str, payload:
 def trailing_hits(hits: DataFrame, key: str, at: str, window_seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
     """Hits per key and instant, and in the trailing window (both ends included).
 
-    Equal instants are summed first. Each instant joins its own time bucket and the next, so a window
-    never reaches past one bucket and a key with very many hits is split by time.
+    The window is a difference of two running counts: up to the instant, and before the window's start, which enters the
+    order as a marker of its own. Running counts are taken inside time buckets, and bucket totals are carried, so the work is
+    linear in the hits and a key with very many hits is split by time.
     """
     width = window_seconds * 1_000_000
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    counted = hits.groupBy(key, at).agg(F.count(F.lit(1)).alias("hits")).withColumn("_t", micros)
-    own = F.floor(F.col("_t") / width)
-    spread = counted.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(own, own + 1)))
-    trailing = Window.partitionBy(key, "_bucket").orderBy("_t").rangeBetween(-width, 0)
-    return (
-        spread.withColumn("hits_in_window", F.sum("hits").over(trailing))
-        .where("_bucket = _own").drop("_t", "_own", "_bucket")
-    )
+    counted = hits.groupBy(key, at).agg(F.count(F.lit(1)).alias("hits")).withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    instants = counted.select(key, "_t", F.col("_t").alias("_at"), F.lit(1).alias("_kind"), "hits")
+    starts = counted.select(key, "_t", (F.col("_t") - width).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("hits"))
+    order = instants.unionByName(starts).withColumn("_bucket", F.floor(F.col("_at") / width))
+    inside = Window.partitionBy(key, "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    # One row per bucket of a key: bounded by the time span over the window's width.
+    across = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = order.groupBy(key, "_bucket").agg(F.sum("hits").alias("_sum"))
+    carried = totals.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_base"))
+    running = order.withColumn("_run", F.sum("hits").over(inside)).join(
+        carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b"))
+    ).withColumn("_run", F.col("_run") + F.col("_base"))
+    window = running.groupBy(key, "_t").agg(
+        (F.max(F.when(F.col("_kind") == 1, F.col("_run"))) - F.max(F.when(F.col("_kind") == 0, F.col("_run")))).alias("hits_in_window")
+    ).select(F.col(key).alias("_key"), F.col("_t").alias("_time"), "hits_in_window")
+    return counted.join(window, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_time"))).drop("_key", "_time", "_t")

@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.operators.joins import lookup_join
-from proofline.session import ensure_checkpoint_dir
+from proofline.session import written
 
 ROW_MASK = (1 << 33) - 1
-PAGE_ROWS_ON_DRIVER = 10_000
 
 
 def global_rank(frame: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -25,14 +24,13 @@ def global_rank(frame: DataFrame, order: Sequence[Column], name: str = "rank") -
     Rows are range-partitioned and sorted, then written once to the shared checkpoint folder so that
     the range boundaries cannot change between the counting pass and the numbering pass.
     """
-    ensure_checkpoint_dir(frame.sparkSession)
     placed = (
         frame.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK)))
-        .checkpoint()
     )
+    placed = written(placed, "ranked")
     # One row per range partition, so this window and the broadcast are bounded by the partition count.
     counts = placed.groupBy("_range").count()
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,9 +55,9 @@ def rank_in_group(frame: DataFrame, group: Sequence[str], order: Sequence[Column
     return joined.drop("_position", "_start", "_rows", "_group")
 
 
-def page(frame: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 50) -> DataFrame:
-    """Rows ``offset+1 .. offset+limit`` in ``order``; deep pages use ranks, not a driver-side top-k."""
-    if offset + limit <= PAGE_ROWS_ON_DRIVER:
+def page(frame: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 50, by_rank: bool = False) -> DataFrame:
+    """Rows ``offset+1 .. offset+limit`` in ``order``; with ``by_rank`` from ranks, for deep pages, else as a top-k."""
+    if not by_rank:
         return frame.orderBy(*order).offset(offset).limit(limit)
     ranked = global_rank(frame, order, "_rank")
     return ranked.where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)).orderBy("_rank").drop("_rank")

@@ -155,7 +155,7 @@ def classify_facts(rows: DataFrame) -> DataFrame:
     def spelled(value: Column) -> Column:
         return F.replace(F.lower(value), F.lit("-"), F.lit(""))
 
-    hashlib_name = F.when(name.startswith("hashlib."), F.substring(name, 9, 1000))
+    hashlib_name = F.when(name.startswith("hashlib."), F.substr(name, F.lit(9)))
     selected = F.coalesce(spelled(argument("0", "name")["literal"]), hashlib_name)
     hash_name = F.when(hashlib_name == "new", selected).otherwise(hashlib_name)
     hazmat_name = F.when(
@@ -166,7 +166,7 @@ def classify_facts(rows: DataFrame) -> DataFrame:
     chosen = argument("2", "digestmod", "digest")
     hmac_digest = F.coalesce(
         F.try_element_at(digests, spelled(chosen["literal"])),
-        F.try_element_at(digests, F.when(chosen["literal"].isNull() & chosen["ref"].startswith("hashlib."), F.substring(chosen["ref"], 9, 1000))),
+        F.try_element_at(digests, F.when(chosen["literal"].isNull() & chosen["ref"].startswith("hashlib."), F.substr(chosen["ref"], F.lit(9)))),
     )
     is_aes = (name.endswith(".AES.new") | (name == "AES.new")) & (
         F.coalesce(F.try_element_at("_a", F.lit("1"))["attr"].isin(*C.AES_MODES), F.lit(False))

@@ -70,8 +70,8 @@ def rank_order(id_column: str = "finding_id") -> list[Column]:
     return [F.col("priority_score").desc(), *bill_order(id_column)]
 
 
-def list_assets(found: DataFrame, mode: str = "priority", offset: int = 0, limit: int = 50) -> DataFrame:
-    return page(found, sort_order(mode), offset, limit)
+def list_assets(found: DataFrame, mode: str = "priority", offset: int = 0, limit: int = 50, by_rank: bool = False) -> DataFrame:
+    return page(found, sort_order(mode), offset, limit, by_rank)
 
 
 def page_totals(found: DataFrame, condition: Column) -> DataFrame:

@@ -35,7 +35,9 @@ def with_context(found: DataFrame, context: DataFrame | None = None, on: Sequenc
         joined, supplied = found.withColumn("_has", F.lit(False)), []
     else:
         supplied = [f for f in CONTEXT_FIELDS if f in context.columns]
-        renamed = context.select(*on, *[F.col(f).alias(f"_{f}") for f in supplied], F.lit(True).alias("_given"))
+        # Several rows for one key would multiply findings: the largest in sort order stands for the key.
+        one = context.groupBy(*on).agg(F.max(F.struct(F.lit(True).alias("_given"), *supplied)).alias("_c"))
+        renamed = one.select(*on, *[F.col(f"_c.{f}").alias(f"_{f}") for f in supplied], "_c._given")
         joined = found.join(renamed, list(on), "left").withColumn("_has", F.coalesce("_given", F.lit(False)))
     fields: dict[str, Column] = {}
     for name, default in C.RISK_DEFAULTS.items():

@@ -23,6 +23,7 @@ from proofline.functions.lookup import literal_map, text_array
 QUOTED = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])*'"
 TOKENS = r'"""[\s\S]*?"""|`(?:\\.|[^`\\])*`|' + QUOTED + r"|//[^\n]*|/\*[\s\S]*?\*/"
 SELECTOR = re.compile(C.SELECTOR_CALLS)
+#: Characters of a call that can stand before its literal, blanks not counted.
 SELECTOR_REACH = 160
 STATEMENTS = T.ArrayType(T.StructType([
     T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()),
@@ -30,15 +31,27 @@ STATEMENTS = T.ArrayType(T.StructType([
 ]))
 
 
+def _before(characters: list[str], at: int) -> str:
+    """The last SELECTOR_REACH characters before a place, with each run of blanks (also of blanked comments) as one."""
+    found: list[str] = []
+    solid = 0
+    while at and solid < SELECTOR_REACH:
+        at -= 1
+        if not characters[at].isspace():
+            found.append(characters[at])
+            solid += 1
+        elif not found or found[-1] != " ":
+            found.append(" ")
+    return "".join(reversed(found))
+
+
 def mask(text: str, extension: str) -> str:
     """Blank out comments and literals, keeping line breaks and literals that select an algorithm."""
     tokens = TOKENS + r"|#[^\n]*" if extension == ".py" else TOKENS
     characters = list(text)
     for token in re.finditer(tokens, text):
         start, end = token.span()
-        selects = text[start] in "\"'" and not text.startswith('"""', start) and SELECTOR.search(
-            "".join(characters[max(0, start - SELECTOR_REACH):start])
-        )
+        selects = text[start] in "\"'" and not text.startswith('"""', start) and SELECTOR.search(_before(characters, start))
         if not selects:
             characters[start:end] = [c if c in "\n\r" else " " for c in characters[start:end]]
     return "".join(characters)

@@ -53,7 +53,7 @@ def q04(t: Tables) -> DataFrame:
 
 @query("q04_deep_page", "SELECT finding_id, priority_score FROM v_scored ORDER BY priority_score DESC, finding_id DESC LIMIT 200 OFFSET 10000")
 def q04_deep(t: Tables) -> DataFrame:
-    return report.list_assets(scored(t).select("finding_id", "priority_score"), offset=10_000, limit=200)
+    return report.list_assets(scored(t).select("finding_id", "priority_score"), offset=10_000, limit=200, by_rank=True)
 
 
 @query("q04_page_totals", "SELECT count(*) AS total, count_if(contains(lower(algorithm), 'rsa')) AS filtered FROM v_scored")

@@ -59,7 +59,7 @@ FROM v_files""")
 def s05(t: Tables) -> DataFrame:
     """A blank and a tilde are put into each path; English files lie outside the root."""
     root = F.lit("/srv/scan")
-    tail = F.regexp_replace(F.substring_index(F.substring("path", 14, 10_000), "/", -100), r"^([^/]*)", "$1 ~")
+    tail = F.regexp_replace(F.substr(F.col("path"), F.lit(14)), r"^([^/]*)", "$1 ~")
     full = F.concat(F.when(F.col("lang") == "en", F.lit("/srv/other/")).otherwise(F.lit("/srv/scan/")), tail)
     return t.view("v_files").select("path", paths.relative_path(full, root).alias("relative_path"))
 

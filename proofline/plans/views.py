@@ -236,9 +236,8 @@ SPREAD = ("v_evidence", "v_code")
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Spread an input with fewer splits than cores; an input with enough splits is left as it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+    """Deal the rows of a test table, a single split, to all cores."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
 
 
 class Tables:

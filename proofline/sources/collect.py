@@ -21,10 +21,10 @@ class Scan:
     failures: DataFrame
 
 
-def scan(files: DataFrame, profile: str = "source", decoded_certificates: DataFrame | None = None) -> Scan:
+def scan(files: DataFrame, profile: str = "source", decoded_certificates: DataFrame | None = None, max_bytes: int | None = None) -> Scan:
     """Evidence of all readable in-scope files. A file one collector cannot parse is a failure row, and
-    the other collectors still report on it."""
-    scoped = inventory.with_failure(inventory.inventory(files, profile))
+    the other collectors still report on it. ``max_bytes`` makes larger files failures, if given."""
+    scoped = inventory.with_failure(inventory.inventory(files, profile), max_bytes)
     readable = scoped.where("in_scope and failure is null").select("path", "content")
     facts = python_calls.facts(readable)
     parts = [

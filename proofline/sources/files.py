@@ -17,46 +17,62 @@ from pyspark.sql import functions as F
 from proofline import catalogs as C
 from proofline.functions import paths
 from proofline.functions.lookup import text_array
+from proofline.session import written
 
 
-def list_tree(root: str, profile: str = "source", max_files: int = C.MAX_FILES) -> list[tuple[str, int, bool]]:
-    """(path, length, is_link) of every file below ``root``, never entering an excluded or linked directory.
+LISTED = "path string, relative string, length long, is_link boolean, is_folder boolean"
+#: Bytes of file content in one Arrow batch that a task hands back.
+BATCH_BYTES = 16 << 20
 
-    Spark's own file readers skip names that start with ``_`` or ``.``, so the tree is listed here. A
-    tree has at most ``max_files`` files, which bounds what the driver holds; larger inputs come as a
-    files table.
+
+def list_tree(spark: SparkSession, root: str, profile: str = "source", max_files: int | None = None) -> DataFrame:
+    """(path, relative, length, is_link) of every file below ``root``, never entering an excluded or linked directory.
+
+    Spark's own file readers skip names that start with ``_`` or ``.``, so the tree is listed here, one level of folders
+    per pass, each folder a row that some task lists. Only names below the root can exclude a folder. ``max_files`` stops
+    larger trees, if given.
     """
-    system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
-    local, excluded = isinstance(system, fs.LocalFileSystem), set(excluded_dirs(profile))
-    rows: list[tuple[str, int, bool]] = []
-    folders = [base]
-    while folders:
-        for entry in system.get_file_info(fs.FileSelector(folders.pop())):
-            link = local and os.path.islink(entry.path)
-            if entry.type == fs.FileType.Directory:
-                if entry.base_name not in excluded and not link:
-                    folders.append(entry.path)
-                continue
-            rows.append((entry.path, entry.size or 0, link))
-            if len(rows) > max_files:
-                raise ValueError(f"file count exceeds the configured limit of {max_files}")
-    return rows
-
-
-def read_tree(spark: SparkSession, root: str, profile: str = "source", max_files: int = C.MAX_FILES,
-              max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
-    """Files table of a tree. Executors open only files that are in scope, not linked and not oversized."""
-    listed = spark.createDataFrame(list_tree(root, profile, max_files), "path string, length long, is_link boolean")
-    spread = listed.repartition(spark.sparkContext.defaultParallelism)
-    wanted = spread.withColumn(
-        "_read", (F.size(handlers("path")) > 0) & ~F.col("is_link") & (F.col("length") <= max_bytes)
-    )
-    remote = root.split("://")[0] + "://" if "://" in root else ""
+    excluded, remote = frozenset(excluded_dirs(profile)), "://" in root
+    base = fs.FileSystem.from_uri(root)[1] if remote else os.path.abspath(root)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = fs.FileSystem.from_uri(root)[0] if remote else fs.LocalFileSystem()
+        for batch in batches:
+            for folder, inside in zip(batch["path"], batch["relative"]):
+                rows = []
+                for entry in system.get_file_info(fs.FileSelector(folder)):
+                    link = not remote and os.path.islink(entry.path)
+                    relative = f"{inside}/{entry.base_name}" if inside else entry.base_name
+                    is_folder = entry.type == fs.FileType.Directory
+                    if not is_folder or entry.base_name not in excluded and not link:
+                        rows.append((entry.path, relative, entry.size or 0, link, is_folder))
+                yield pd.DataFrame(rows, columns=["path", "relative", "length", "is_link", "is_folder"])
+
+    folders = spark.createDataFrame([(base, "")], "path string, relative string")
+    found: DataFrame | None = None
+    while True:
+        level = written(folders.repartition(spark.sparkContext.defaultParallelism).mapInPandas(entries, LISTED), "tree")
+        own = level.where("not is_folder").drop("is_folder")
+        found = own if found is None else found.unionByName(own)
+        folders = level.where("is_folder").select("path", "relative")
+        if folders.isEmpty():
+            break
+    return found if max_files is None else require_at_most(found, max_files, "file count")
+
+
+def read_tree(spark: SparkSession, root: str, profile: str = "source", max_files: int | None = None,
+              max_bytes: int | None = None) -> DataFrame:
+    """Files table of a tree. Executors open only files that are in scope, not linked and, if a limit is given, not oversized."""
+    spread = list_tree(spark, root, profile, max_files).repartition(spark.sparkContext.defaultParallelism)
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    wanted = spread.withColumn("_read", (F.size(handlers("path")) > 0) & ~F.col("is_link") & small)
+    remote = "://" in root
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system = fs.FileSystem.from_uri(root)[0] if remote else fs.LocalFileSystem()
+        columns, rows, size = ["path", "relative", "length", "is_link", "content"], [], 0
         for batch in batches:
-            for path, length, link, read in batch.itertuples(index=False):
+            for path, relative, length, link, read in batch.itertuples(index=False):
                 text = None
                 if read:
                     try:
@@ -64,9 +80,15 @@ def read_tree(spark: SparkSession, root: str, profile: str = "source", max_files
                             text = stream.read().decode("utf-8", errors="replace")
                     except OSError:
                         pass  # stays null: an unreadable file
-                yield pd.DataFrame([(path, length, link, text)], columns=["path", "length", "is_link", "content"])
+                rows.append((path, relative, length, link, text))
+                size += len(text or "")
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
-    return wanted.mapInPandas(load, "path string, length long, is_link boolean, content string")
+    return wanted.mapInPandas(load, "path string, relative string, length long, is_link boolean, content string")
 
 
 def excluded_dirs(profile: str = "source") -> tuple[str, ...]:
@@ -101,8 +123,11 @@ def handlers(path: Column | str, filenames: Sequence[tuple] = C.FILENAME_ROUTES,
 
 
 def inventory(files: DataFrame, profile: str = "source") -> DataFrame:
-    """Files left after pruning, with their handlers and whether they are in scope."""
-    kept = files.where(in_tree("path", profile)).withColumn("handlers", handlers("path"))
+    """Files left after pruning, with their handlers and whether they are in scope.
+
+    Only names below the scan root prune: a table with full paths says where files lie below it in ``relative``.
+    """
+    kept = files.where(in_tree("relative" if "relative" in files.columns else "path", profile)).withColumn("handlers", handlers("path"))
     return kept.withColumn("in_scope", F.size("handlers") > 0)
 
 
@@ -111,10 +136,10 @@ def routes(files: DataFrame, profile: str = "source") -> DataFrame:
     return rows.select("path", F.explode("handlers").alias("h")).select("path", "h.collector", "h.parser")
 
 
-def with_failure(scoped: DataFrame, max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
-    """Adds ``failure`` for in-scope files that cannot be read: linked, oversized or unreadable."""
+def with_failure(scoped: DataFrame, max_bytes: int | None = C.MAX_FILE_BYTES) -> DataFrame:
+    """Adds ``failure`` for in-scope files that cannot be read: linked, oversized (if there is a limit) or unreadable."""
     linked = F.coalesce(F.col("is_link"), F.lit(False)) if "is_link" in scoped.columns else F.lit(False)
-    code = F.when(linked, "linked_file").when(F.col("length") > max_bytes, "oversized").when(F.col("content").isNull(), "unreadable")
+    code = F.when(linked, "linked_file").when(F.lit(False) if max_bytes is None else F.col("length") > max_bytes, "oversized").when(F.col("content").isNull(), "unreadable")
     return scoped.withColumn("failure", F.when(F.col("in_scope"), code))
 
 

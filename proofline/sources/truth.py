@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline import catalogs as C
 from proofline.functions.text import valid_json
 
 ASSET = "struct<component:string,algorithm:string,usage:string,key_size:int,line:int,file:string,confidence:double>"
@@ -17,19 +16,21 @@ TRUTH = (
 LISTS = ("alias_pairs", "cert_expectations", "blind_spots")
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ground-truth file: path, length, text."""
+def read_truth(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """One row per ground-truth file: path, length, text (null if larger than ``max_bytes``, if given)."""
     raw = spark.read.format("binaryFile").load(path)
-    small = F.when(F.col("length") <= C.MAX_TRUTH_BYTES, F.decode("content", "utf-8"))
-    return raw.select("path", "length", small.alias("text"))
+    text = F.decode("content", "utf-8")
+    return raw.select("path", "length", (text if max_bytes is None else F.when(F.col("length") <= max_bytes, text)).alias("text"))
 
 
 def _kind(raw: Column, name: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(raw, f"$.{name}", "variant"))
 
 
-def check_truth(documents: DataFrame) -> DataFrame:
-    """Adds ``truth`` (parsed), ``available`` and ``message`` (null when the document is valid)."""
+def check_truth(documents: DataFrame, max_bytes: int | None = None, max_assets: int | None = None) -> DataFrame:
+    """Adds ``truth`` (parsed), ``available`` and ``message`` (null when the document is valid).
+
+    Documents beyond the limits are rejected, if limits are given."""
     raw = F.try_parse_json("text")
     parsed = documents.withColumns({"_raw": raw, "_keys": F.json_object_keys("text")}).withColumn(
         "truth", F.from_json("text", TRUTH)
@@ -44,11 +45,11 @@ def check_truth(documents: DataFrame) -> DataFrame:
         return present & ~F.coalesce(_kind(F.col("_raw"), name).startswith("ARRAY"), F.lit(False))
 
     problem = (
-        F.when(F.col("length") > C.MAX_TRUTH_BYTES, "oversized ground truth")
+        F.when(F.lit(False) if max_bytes is None else F.col("length") > max_bytes, "oversized ground truth")
         .when(~valid_json("text"), "ground truth is not valid JSON")
         .when(F.col("_keys").isNull(), "ground truth is not a JSON object")
         .when(~F.array_contains("_keys", "assets") | not_list("assets"), "missing or invalid 'assets' list")
-        .when(F.size(assets) > C.MAX_TRUTH_ASSETS, f"ground truth exceeds {C.MAX_TRUTH_ASSETS:,} assets")
+        .when(F.lit(False) if max_assets is None else F.size(assets) > max_assets, f"ground truth exceeds {max_assets or 0:,} assets")
         .when(F.exists(assets, lambda a: a.isNull()), "asset entry is not an object")
         .when(blank("component"), "asset missing valid 'component'")
         .when(blank("algorithm"), "asset missing valid 'algorithm'")
@@ -66,7 +67,8 @@ def truth_assets(checked: DataFrame) -> DataFrame:
 
 
 def truth_aliases(checked: DataFrame) -> DataFrame:
-    return checked.where("available").select(F.explode("truth.alias_pairs").alias("p")).select("p.algorithms")
+    pairs = checked.where("available").select("path", F.posexplode("truth.alias_pairs").alias("position", "p"))
+    return pairs.select("path", "position", "p.algorithms")
 
 
 def truth_certificates(checked: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def test_large_lookup_uses_salted_join_with_equal_result(spark):
     right = spark.createDataFrame([(1,), (3,)], "k long")
     for how in ("left_anti", "left_semi"):
         small = joins.lookup_join(left, right, ["k"], how, "row")
-        salted = joins.lookup_join(left, right, ["k"], how, "row", broadcast_rows=1, salts=4)
+        salted = joins.lookup_join(left, right, ["k"], how, "row", salts=4)
         assert "_salt" in salted._jdf.queryExecution().toString()
         assert sorted(small.collect()) == sorted(salted.select(*small.columns).collect())
 

@@ -41,12 +41,11 @@ def test_a_hot_key_is_spread_over_ranges(spark):
     assert len(sizes) > 1 and max(sizes) < 13_000
 
 
-def test_shallow_and_deep_pages_agree(spark, monkeypatch):
+def test_shallow_and_deep_pages_agree(spark):
     rows = skewed(spark)
     order = [F.col("value").desc(), F.col("id").asc()]
     shallow = [r["id"] for r in ordering.page(rows, order, 100, 20).collect()]
-    monkeypatch.setattr(ordering, "PAGE_ROWS_ON_DRIVER", 10)
-    assert [r["id"] for r in ordering.page(rows, order, 100, 20).collect()] == shallow
+    assert [r["id"] for r in ordering.page(rows, order, 100, 20, by_rank=True).collect()] == shallow
 
 
 def test_previous_by_bucket_equals_lag(spark):

@@ -96,3 +96,11 @@ def test_bands(spark):
     named = rows.select(S.band("v").alias("b"), S.band_by_cutoff("v", {"low": 0.2, "top": 0.8}).alias("c")).collect()
     assert [r["b"] for r in named] == ["UNCERTAIN", "UNCERTAIN", "LOW", "MEDIUM", "HIGH", "HIGH"]
     assert [r["c"] for r in named] == ["UNCERTAIN", "low", "low", "low", "top", "top"]
+
+
+def test_repeated_context_rows_do_not_multiply_findings(spark):
+    found = spark.createDataFrame([("f1", "a"), ("f2", "b")], "finding_id string, component string")
+    context = spark.createDataFrame([("a", "low"), ("a", "high"), ("b", "low")], "component string, exposure string")
+    from proofline.operators import score as scoring
+
+    assert sorted((r["finding_id"], r["exposure"]) for r in scoring.with_context(found, context).collect()) == [("f1", "low"), ("f2", "low")]

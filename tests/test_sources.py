@@ -53,7 +53,7 @@ def test_ground_truth_checks(spark):
         "lists": '{"assets": [], "blind_spots": {}}', "missing": '{"assets": [{"component": "x"}]}',
     }
     rows = spark.createDataFrame([(k, len(v), v) for k, v in documents.items()] + [("big", 3 * 1024 * 1024, None)], "path string, length long, text string")
-    checked = truth.check_truth(rows)
+    checked = truth.check_truth(rows, max_bytes=2 * 1024 * 1024, max_assets=10_000)
     messages = {r["path"]: r["message"] for r in checked.collect()}
     assert messages == {
         "good": None, "list": "ground truth is not a JSON object", "broken": "ground truth is not valid JSON",
@@ -63,6 +63,7 @@ def test_ground_truth_checks(spark):
     assert [(r["component"], r["key_size"], r["usage_raw"]) for r in truth.truth_assets(checked).collect()] == [("a", 2048, "unknown")]
     assert truth.truth_aliases(checked).first()["algorithms"] == ["RSA", "RSA-2048"]
     assert truth.truth_certificates(checked).count() == 1
+    assert {r["path"]: r["message"] for r in truth.check_truth(rows).collect()}["big"] == "ground truth is not valid JSON"
 
 
 def test_corpus_files(spark, tmp_path):
