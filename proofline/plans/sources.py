@@ -9,9 +9,10 @@ from proofline import catalogs as C
 from proofline.functions import paths
 from proofline.operators import manifests, report
 from proofline.plans.correlation import scored
+from proofline.plans.extraction import CODE_HITS
 from proofline.plans.registry import query
 from proofline.plans.views import Tables
-from proofline.sources import corpora, files, sinks, truth
+from proofline.sources import collect, corpora, files, sinks, truth
 
 SCOPED = """
 (SELECT *, regexp_extract(path, '[.][a-z]+$') AS ext, length > 1000 AS big FROM v_files
@@ -236,3 +237,35 @@ def e21(t: Tables) -> DataFrame:
 SELECT path, 'parse_error' AS reason FROM v_manifests WHERE (format_key = 1 AND name_key = 2) OR (format_key = 2 AND name_key = 3)""")
 def e26_manifests(t: Tables) -> DataFrame:
     return manifests.manifest_failures(t.view("v_manifests"))
+
+
+def full_scan(t: Tables) -> collect.Scan:
+    """Code, manifests and certificates of the test tables as one scan."""
+    parts = [t.view(v).select("path", "content") for v in ("v_code", "v_manifests", "v_pem")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("length", F.length("content").cast("long"))
+    return collect.scan(rows, hold=True)
+
+
+def full_scan_check() -> str:
+    provided = ", ".join(f"('{e}', '{p}', '{a}')" for e, p, pairs in C.PACKAGE_CATALOG for a, _ in pairs)
+    declared = " UNION ALL ".join(f"({manifest_check(form)})" for form in ECOSYSTEMS)
+    return f"""
+SELECT location, source, algorithm, count(*) AS records FROM (
+ SELECT path AS location, 'rule' AS source, h.algorithm FROM v_code c JOIN {CODE_HITS} ON c.lang_key = h.lang_key AND c.snippet_key = h.snippet_key
+ UNION ALL SELECT path, 'ast', f.algorithm FROM v_code c JOIN (VALUES (0, 'SHA-256'), (1, 'AES'), (1, 'AES'), (2, 'HMAC'), (4, 'TLS'), (4, 'TLS')) f(snippet_key, algorithm)
+   ON c.snippet_key = f.snippet_key WHERE c.lang_key = 0
+ UNION ALL SELECT path, 'dep', p.algorithm FROM ({declared}) d JOIN (VALUES {provided}) p(ecosystem, package, algorithm) ON d.ecosystem = p.ecosystem AND d.package = p.package) found GROUP BY ALL"""
+
+
+@query("s01_full_scan", full_scan_check())
+def s01_full(t: Tables) -> DataFrame:
+    """Every collector over all files, which are opened once."""
+    return full_scan(t).evidence.groupBy("location", "source", "algorithm").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("s06_full_scan_failures", """
+SELECT path, 'parse_error' AS reason FROM v_code WHERE lang_key = 0 AND snippet_key = 5
+UNION ALL SELECT path, 'parse_error' FROM v_manifests WHERE (format_key = 1 AND name_key = 2) OR (format_key = 2 AND name_key = 3)
+UNION ALL SELECT path, 'certificate_error' FROM v_pem WHERE pem_key <> 1""")
+def s06_full(t: Tables) -> DataFrame:
+    return full_scan(t).failures.select("path", "reason")

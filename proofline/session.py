@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +40,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partitions: Sequence[str] = ()) -> DataFrame:
     """Write a table once as Parquet into the shared checkpoint folder and read it back, with prunable columns."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -205,3 +205,17 @@ def test_a_long_comment_before_the_literal_changes_nothing(spark):
     body = "Cipher.getInstance(/*" + "x" * 900 + '*/ "AES/GCM/NoPadding");'
     rows = spark.createDataFrame([("app/A.java", body, len(body))], "path string, content string, length long")
     assert {r["algorithm"] for r in collect.scan(rows).evidence.collect()} == {"AES"}
+
+
+def test_a_held_scan_opens_files_once(spark, tmp_path):
+    (tmp_path / "build").mkdir()
+    for name, body in {"a.py": "import hashlib\nhashlib.md5(x)\n", "requirements.txt": "cryptography==41\n", "c.pem": "none", "d.py": "def ("}.items():
+        (tmp_path / "build" / name).write_text(body)
+    tree = files.read_tree(spark, str(tmp_path / "build"))
+    held, plain = collect.scan(tree, hold=True), collect.scan(tree)
+    for one in (held.evidence, held.failures):
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert "_read" not in plan and "MapInPandas load" not in plan
+    rows = lambda df: sorted(map(str, df.drop("path", "details").collect()))
+    assert rows(held.evidence) == rows(plain.evidence) and rows(held.failures) == rows(plain.failures)
+    assert held.failures.count() == 2
