@@ -126,6 +126,16 @@ def declared_packages(files: DataFrame, catalog: Sequence[tuple] = C.PACKAGE_CAT
     )
 
 
+#: A line of a Cargo.lock that gives a key a value, and one whose value is well formed (arrays may go on below).
+CARGO_KEY = r"""^\s*("[^"]*"|[\w-]+)\s*="""
+CARGO_LINE = r"""^\s*("[^"]*"|[\w-]+)\s*=\s*("([^"\\]|\\.)*"|'[^']*'|\"{3}.*|'{3}.*|\[.*|\{.*|[+-]?\d[\w.:+-]*|true|false)\s*(#.*)?$"""
+
+
+def broken_cargo(content: Column) -> Column:
+    """Whether some line that sets a key has no well-formed value."""
+    return F.exists(F.split(content, r"\r?\n"), lambda line: line.rlike(CARGO_KEY) & ~line.rlike(CARGO_LINE))
+
+
 def manifest_failures(files: DataFrame) -> DataFrame:
     """Manifests that cannot be read as their format."""
     name = paths.file_name("path")
@@ -133,8 +143,12 @@ def manifest_failures(files: DataFrame) -> DataFrame:
     # A well-formed document repeats its root's closing tag at the end.
     root = F.regexp_extract("content", r"^\s*(?:<\?[^>]*\?>\s*|<!--[\s\S]*?-->\s*)*<([A-Za-z_][\w.:-]*)", 1)
     closed = F.when(root != "", F.rtrim(F.regexp_replace("content", r"\s+$", "")).endswith(F.concat(F.lit("</"), root, F.lit(">"))))
-    bad_xml = (name == "pom.xml") & (unsafe_xml(F.col("content")) | ~F.coalesce(closed, F.lit(False)))
-    bad = F.col("content").isNull() | bad_json | bad_xml
+    parsed = F.from_xml("content", "modelVersion string, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    is_pom = name == "pom.xml"
+    crossed = F.when(is_pom, parsed)["_bad"].isNotNull()
+    bad_xml = is_pom & (unsafe_xml(F.col("content")) | ~F.coalesce(closed, F.lit(False)) | crossed)
+    bad_cargo = (name == "Cargo.lock") & F.coalesce(broken_cargo(F.col("content")), F.lit(False))
+    bad = F.col("content").isNull() | bad_json | bad_xml | bad_cargo
     return files.where(name.isin(*PARSERS) & bad).select("path", F.lit("parse_error").alias("reason"))
 
 

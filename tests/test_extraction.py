@@ -219,3 +219,15 @@ def test_a_held_scan_opens_files_once(spark, tmp_path):
     rows = lambda df: sorted(map(str, df.drop("path", "details").collect()))
     assert rows(held.evidence) == rows(plain.evidence) and rows(held.failures) == rows(plain.failures)
     assert held.failures.count() == 2
+
+
+def test_broken_manifests_are_failures(spark):
+    good = '[[package]]\nname = "ring"\nversion = "0.1"\ndependencies = [\n "a 1",\n]\nn = 3 # c\n'
+    cases = {
+        "a/pom.xml": ("<project><a><b></a></b></project>", True), "b/pom.xml": ("<project><a><b/></a></project>", False),
+        "c/pom.xml": ("<project><a>x & y</a></project>", True), "d/pom.xml": ('<?xml version="1.0"?><!-- c --><project xmlns="u"><a/></project>', False),
+        "a/Cargo.lock": (good.replace('= "ring"', '= = "ring"'), True), "b/Cargo.lock": (good, False),
+        "c/Cargo.lock": (good.replace('"ring"', '"ring'), True), "d/Cargo.lock": ("", False),
+    }
+    rows = spark.createDataFrame([(p, c) for p, (c, _) in cases.items()], "path string, content string")
+    assert {r["path"] for r in manifests.manifest_failures(rows).collect()} == {p for p, (_, bad) in cases.items() if bad}
