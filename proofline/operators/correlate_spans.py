@@ -13,6 +13,7 @@ from proofline.functions import paths
 from proofline.operators.correlate import (
     context_aggregates, context_summary, final_category, preferred_category, source_columns, source_summary, with_keys,
 )
+from proofline.session import written
 
 SPAN_KEY = ["location", "algorithm", "line_start", "column_start", "semantic_anchor"]
 GROUP_KEY = [*SPAN_KEY, "evidence_kind"]
@@ -56,7 +57,7 @@ def ambiguity_counts(grouped: DataFrame, nearby: int = NEARBY_LINES) -> DataFram
     less those within ``nearby`` lines. Each histogram line is spread to its neighbours and summed, so
     the work is linear in distinct lines whatever the number of records in a file.
     """
-    lines = _line_counts(grouped)
+    lines = written(_line_counts(grouped), "lines")
     totals = lines.groupBy("location", "algorithm", "evidence_kind").agg(F.sum("records").alias("of_kind"))
     # A handful of kinds per (file, algorithm).
     in_file = Window.partitionBy("location", "algorithm")
@@ -65,13 +66,6 @@ def ambiguity_counts(grouped: DataFrame, nearby: int = NEARBY_LINES) -> DataFram
         (F.sum("of_kind").over(in_file) - F.col("of_kind")).alias("other_kinds"),
     ).where("other_kinds > 0")
     targets = lines.join(others, ["location", "algorithm", "evidence_kind"])
-    near = (
-        lines.where("line_start is not null")
-        .select("location", "algorithm", "evidence_kind", "records",
-                F.explode(F.sequence(F.col("line_start") - nearby, F.col("line_start") + nearby)).alias("line_start"))
-        .groupBy("location", "algorithm", "line_start")
-        .agg(F.sum("records").alias("near_all"))
-    )
     near_same = (
         lines.where("line_start is not null")
         .select("location", "algorithm", "evidence_kind", "records",
@@ -79,6 +73,8 @@ def ambiguity_counts(grouped: DataFrame, nearby: int = NEARBY_LINES) -> DataFram
         .groupBy("location", "algorithm", "evidence_kind", "line_start")
         .agg(F.sum("records").alias("near_same"))
     )
+    # The sums of all kinds come from those of each kind, so lines are spread once.
+    near = near_same.groupBy("location", "algorithm", "line_start").agg(F.sum("near_same").alias("near_all"))
     return (
         targets.join(near, ["location", "algorithm", "line_start"], "left")
         .join(near_same, ["location", "algorithm", "evidence_kind", "line_start"], "left")
@@ -91,7 +87,11 @@ def ambiguity_counts(grouped: DataFrame, nearby: int = NEARBY_LINES) -> DataFram
 
 
 def with_ambiguity(grouped: DataFrame, nearby: int = NEARBY_LINES) -> DataFrame:
-    """Adds ``ambiguous_matches``: candidates per record times the records in the group."""
+    """Adds ``ambiguous_matches``: candidates per record times the records in the group.
+
+    The groups are written once, since they are counted and then joined with the counts.
+    """
+    grouped = written(grouped, "spans")
     counts = ambiguity_counts(grouped, nearby).select(
         F.col("location").alias("_location"), F.col("algorithm").alias("_algorithm"),
         F.col("evidence_kind").alias("_kind"), F.col("line_start").alias("_line"), "candidates",
