@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from proofline.plans.correlation import scored
 from proofline.plans.extraction import CODE_HITS
 from proofline.plans.registry import query
 from proofline.plans.views import Tables
+from proofline.session import ensure_checkpoint_dir
 from proofline.sources import collect, corpora, files, sinks, truth
 
 SCOPED = """
@@ -269,3 +272,43 @@ UNION ALL SELECT path, 'parse_error' FROM v_manifests WHERE (format_key = 1 AND
 UNION ALL SELECT path, 'certificate_error' FROM v_pem WHERE pem_key <> 1""")
 def s06_full(t: Tables) -> DataFrame:
     return full_scan(t).failures.select("path", "reason")
+
+
+def persisted(t: Tables) -> tuple[str, int]:
+    """The full scan as job 7 and every finding of the evidence view, in a new folder of the checkpoint folder."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    sinks.persist_scan(full_scan(t), scored(t), folder, 7)
+    sinks.persist_findings(scored(t).where("priority_score > 50"), f"{folder}/findings", 8)
+    return folder, 7
+
+
+@query("s10_persisted_findings", "SELECT finding_id, priority_score, priority_label FROM v_scored")
+def s10_findings(t: Tables) -> DataFrame:
+    """Findings of one scan, written and read back from its partition."""
+    return sinks.stored(t.spark, persisted(t)[0], "findings", 7).select("finding_id", "priority_score", "priority_label")
+
+
+@query("s10_job_row", f"""
+SELECT 'completed' AS status, total_files, total_files AS in_scope_files, failed_files, total_files - failed_files AS scanned_files,
+ round(100.0::DOUBLE * (total_files - failed_files) / total_files, 2) AS coverage_pct, (SELECT count(*) FROM v_scored) AS assets_found, ast, rule, dep
+FROM (SELECT (SELECT count(*) FROM v_code) + (SELECT count(*) FROM v_manifests) + (SELECT count(*) FROM v_pem) AS total_files,
+ (SELECT count(*) FROM v_code WHERE lang_key = 0 AND snippet_key = 5) + (SELECT count(*) FROM v_manifests WHERE (format_key = 1 AND name_key = 2) OR (format_key = 2 AND name_key = 3))
+ + (SELECT count(*) FROM v_pem WHERE pem_key <> 1) AS failed_files),
+ (SELECT sum(records) FILTER (WHERE source = 'ast')::BIGINT AS ast, sum(records) FILTER (WHERE source = 'rule')::BIGINT AS rule, sum(records) FILTER (WHERE source = 'dep')::BIGINT AS dep FROM ({full_scan_check()}))""")
+def s10_job(t: Tables) -> DataFrame:
+    """The job row of a persisted scan."""
+    return sinks.stored(t.spark, persisted(t)[0], "jobs", 7).select(
+        "status", "total_files", "in_scope_files", "failed_files", "scanned_files", "coverage_pct", "assets_found", "ast", "rule", "dep"
+    )
+
+
+@query("q01_scan_report", """
+SELECT priority_label, count(*) AS findings FROM v_scored WHERE priority_score > 50 GROUP BY priority_label""")
+def q01_report(t: Tables) -> DataFrame:
+    """Priorities of the newest completed scan, whose partition alone is read."""
+    folder, _ = persisted(t)
+    jobs = t.spark.createDataFrame([(7, "completed"), (8, "completed"), (9, "failed")], "id long, status string")
+    newest = report.resolve_scan(jobs).first()["id"]
+    found = sinks.stored(t.spark, folder, "findings", newest)
+    return found.groupBy("priority_label").agg(F.count(F.lit(1)).alias("findings"))

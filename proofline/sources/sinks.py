@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline import catalogs as C
 from proofline.operators import report
+from proofline.session import written
+from proofline.sources import files
+from proofline.sources.collect import Scan
 
 
 def stored_version(spark: SparkSession, path: str, scan_job_id: int) -> int:
     """Result version of one stored scan, 0 when it is not stored. Reads that partition's footer column only."""
     try:
         stored = spark.read.parquet(path)
-    except Exception as problem:
-        if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return 0
         raise
     row = stored.where(F.col("scan_job_id") == scan_job_id).agg(F.max("result_version").alias("v")).first()
@@ -34,6 +38,39 @@ def persist_findings(findings: DataFrame, path: str, scan_job_id: int, result_ve
     return True
 
 
+def _replace(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_job_id").parquet(path)
+
+
+def persist_scan(scan: Scan, findings: DataFrame, folder: str, scan_job_id: int, result_version: int = 1,
+                 profile: str = "source", duration_ms: int = 0) -> bool:
+    """Write the whole result of one scan below ``folder``: failures, the job row (status, coverage, collector counts, blind
+    spots, totals), and last the findings, which mark the version as complete. Returns whether it wrote.
+
+    A repeated or older version changes nothing; an interrupted one is written again.
+    """
+    spark = findings.sparkSession
+    if stored_version(spark, f"{folder}/findings", scan_job_id) >= result_version:
+        return False
+    marks = {"scan_job_id": F.lit(scan_job_id), "result_version": F.lit(result_version)}
+    found = written(findings, "findings")
+    _replace(files.failures(scan.failures).withColumns(marks), f"{folder}/failures")
+    totals = found.agg(F.count(F.lit(1)).alias("assets_found"), F.coalesce(F.round(F.avg("confidence"), 4), F.lit(0.0)).alias("avg_confidence"))
+    metrics = files.blind_spots(files.coverage(scan.scoped, scan.failures), profile, duration_ms)
+    # Three rows, one each.
+    one = [part.withColumn("_one", F.lit(1)) for part in (metrics, files.collector_stats(scan.evidence), totals)]
+    job = one[0].join(one[1], "_one").join(one[2], "_one").drop("_one").withColumns({
+        **marks, "status": F.lit("completed"), "duration_ms": F.lit(duration_ms).cast("long"),
+    })
+    _replace(job, f"{folder}/jobs")
+    return persist_findings(found, f"{folder}/findings", scan_job_id, result_version)
+
+
+def stored(spark: SparkSession, folder: str, table: str, scan_job_id: int) -> DataFrame:
+    """Rows of one scan from ``findings``, ``failures`` or ``jobs``; only that scan's partition is read."""
+    return spark.read.parquet(f"{folder}/{table}").where(F.col("scan_job_id") == scan_job_id)
+
+
 def job_rollup(findings: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs with the number of findings and their mean confidence (0 when there are none)."""
     counts = findings.groupBy(F.col("scan_job_id").alias("id")).agg(
