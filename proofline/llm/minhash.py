@@ -5,11 +5,14 @@ gives each shingle a position on a circle, the second, shifted by k, gives the v
 neighbouring places of one array, a shingle contributes one contiguous slice of the second permutation. BANDS bands of ROWS coordinates
 make two documents with a Jaccard index of exactly 0.75 miss each other in all bands once in 400,000 pairs, and less above.
 
-Documents with equal sets are one class. Members of a bucket are first compared with the bucket's first and last class, which
-joins groups of near copies at a cost linear in their size. Afterwards only members of different components in a
-bucket are compared, and never two of the bucket's largest component, so no link between components is lost and a group is not
-paired with itself. Compressed signatures (one bit per coordinate, six standard deviations of tolerance) and set sizes
-discard hopeless candidates; every link is confirmed on the full sets. Components spread by their smallest class.
+Documents with equal sets are one class. Members of a bucket are first compared with the bucket's first and last class, then
+with the class that has the fewest shingles of its own, which joins groups of near copies at a cost linear in their size. Afterwards
+only members of different components in a bucket are compared, and never two of the bucket's largest component, so no link
+between components is lost and a group is not paired with itself. Compressed signatures (one bit per coordinate, six standard deviations of tolerance) and set sizes
+discard hopeless candidates. So does, after the first step, an exact bound: two sets share at
+most the smaller of their counts of shingles with one, two, up to four, up to eight ... holders, and nothing of what has one holder.
+That settles variants that lie just too far from their group without comparing them with all of it. Every link is
+confirmed on the full sets. Components spread by their smallest class.
 
 Rows: null, blank and empty texts have empty sets, are linked with nothing and are kept. Rows that repeat doc_id
 and text, and rows without doc_id, belong to the component of their text; component_id is the smallest doc_id that is not null
@@ -37,6 +40,8 @@ CIRCLE = 1 << 22
 PERCENT = 75
 #: Differing bits of 240 beyond which a pair cannot have a Jaccard index of 0.75 (mean 30, standard deviation 5.1).
 MOST_BITS = 61
+#: Classes of shingles by the number of their holders, in powers of two; the last has no upper end.
+CLASSES = 14
 CHUNK_BYTES = 1 << 21
 _SLICE_ROWS = 512
 
@@ -139,6 +144,32 @@ def _bits_fit(a: Column, b: Column) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(4)), F.lit(0)) <= MOST_BITS
 
 
+def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, shingle)."""
+    for batch in batches:
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = text_shingles([text])[0].view(np.int64)
+            yield pa.record_batch([pa.array(np.full(len(found), node, dtype=np.int64)), pa.array(found)], names=["node", "shingle"])
+
+
+def _class_counts(texts: DataFrame, among: DataFrame) -> DataFrame:
+    """(node, classes): a node's shingles counted by how many of the given nodes hold them: 1, 2, up to 4, up to 8, ...
+
+    Equal hashes of different shingles can only move a count to a higher class in both nodes.
+    """
+    each = texts.join(among, "node", "left_semi").select("node", "text").mapInArrow(_explode_shingles, "node long, shingle long").distinct()
+    holders = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
+    level = F.least(F.ceil(F.log2("holders")), F.lit(CLASSES - 1)).alias("level")
+    levels = each.join(holders, "shingle").select("node", level)
+    return levels.groupBy("node").agg(F.array(*[F.count_if(F.col("level") == k) for k in range(CLASSES)]).alias("classes"))
+
+
+def _classes_fit(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
+    """Two sets share at most the smaller count of each class, and none of what only one holds; can that be enough?"""
+    both = sum((F.least(F.get(a, F.lit(k)), F.get(b, F.lit(k))) for k in range(1, CLASSES)), F.lit(0))
+    return 100 * both >= PERCENT * (n_a + n_b - both)
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) that hold on the full sets."""
     one = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
@@ -157,6 +188,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     try:
         for k, v in options.items():
             spark.conf.set(k, v)
+        # The trivial condition makes the planner see a selective side, without which it adds no filter.
+        wanted = wanted.where("node >= 0")
         found = docs.join(wanted, (docs.text_hash == wanted._hash) & docs.id.eqNullSafe(wanted._id))
         return saved(found.select("node", "text"), "texts")
     finally:
@@ -164,6 +197,14 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             spark.conf.set(k, v)
 
 
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp, main) in the buckets with more than one component; ``main`` is the bucket's largest."""
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    shares = saved(placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")), "shares")
+    parts = shares.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    return saved(placed.join(parts.where("parts > 1").select("key", "main"), "key"), "loose")
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, text_hash, n (set size), component (a number, null for empty sets)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -191,18 +232,35 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     links = _links(stars, texts)
     first = components(links)
 
-    placed = members.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-    shares = saved(placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")), "shares")
-    open_ = shares.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = placed.join(open_.select("key", "main"), "key").join(small, "node")
-    mixed = saved(mixed.select("key", "node", "comp", (F.col("comp") == F.col("main")).alias("main"), "n", "bits"), "mixed")
-    x, y = mixed.where("not main").alias("x"), mixed.alias("y")
+    # Buckets that still hold several components: their members meet the one with the fewest shingles of its own,
+    # which lies nearest to what the group has in common, and then whatever is left meets the others.
+    loose = _open_buckets(members.select("key", "node"), first)
+    among = loose.select("node").distinct()
+    facts = saved(small.join(_class_counts(texts, among), "node"), "facts")
+    faced = saved(loose.join(facts, "node"), "faced")
+    centre = faced.groupBy("key").agg(F.min(F.struct(F.get("classes", F.lit(0)).alias("own"), "node", "comp", "n", "bits", "classes")).alias("c"))
+    near = faced.join(centre, "key").where((F.col("comp") != F.col("c.comp")) & _classes_fit(
+        F.col("n"), F.col("classes"), F.col("c.n"), F.col("c.classes")
+    ) & _bits_fit(F.col("bits"), F.col("c.bits")))
+    near = near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    tried = saved(near.join(stars, ["a", "b"], "left_anti"), "near")
+    links = links.unionByName(_links(tried, texts))
+    second = components(links)
+
+    last = _open_buckets(faced.select("key", "node"), second)
+    # At most one key per band.
+    keys = last.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    last = saved(last.withColumn("main", F.col("comp") == F.col("main")).join(facts, "node").join(keys, "node"), "last")
+    x, y = last.where("not main").alias("x"), last.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (
         F.col("y.main") | (F.col("x.node") < F.col("y.node"))
-    ) & _sizes_fit(F.col("x.n"), F.col("y.n")) & _bits_fit(F.col("x.bits"), F.col("y.bits")))
+    ) & _classes_fit(F.col("x.n"), F.col("x.classes"), F.col("y.n"), F.col("y.classes")) & _bits_fit(F.col("x.bits"), F.col("y.bits")) & (
+        # A pair is met in the first bucket that it shares, and nowhere else.
+        F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    ))
     pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = _links(pairs.join(stars, ["a", "b"], "left_anti"), texts)
-    labels = first if more.isEmpty() else components(links.unionByName(more))
+    more = _links(pairs.join(stars.unionByName(tried), ["a", "b"], "left_anti"), texts)
+    labels = second if more.isEmpty() else components(links.unionByName(more))
 
     classes = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
     return prints.select("id", "text_hash", "n", "set_key").join(classes, "set_key", "left").select("id", "text_hash", "n", "component")
