@@ -219,11 +219,11 @@ GRAM = 3
 
 def _pieces(text: Column, sizes: Sequence[int]) -> Column:
     """Distinct runs of characters of the given sizes."""
-    runs = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.substring(text, i, F.lit(n)))
-        for n in sizes
-    ]
-    return F.array_distinct(F.concat(*runs))
+    def runs(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    return F.array_distinct(F.concat(*[runs(size) for size in sizes]))
 
 
 def certificate_matches(certificates: DataFrame, expectations: DataFrame) -> DataFrame:
