@@ -1,9 +1,10 @@
 """License notices in documents by conditional compression.
 
 Words that hint at a license open a candidate block: their line, or a bounded stretch of a very long line, with
-neighbouring hints in one block. A block is compressed alone and with each template as raw zstandard dictionary; the templates that
-make it smaller most are compared with it word by word, and one is confirmed if nearly all of its words stand in the block in
-order. The exact differences (words missing from the template, words put in) are reported. What a confirmed notice covers is
+neighbouring hints in one block. A template of which too many words are missing from a block altogether cannot stand in it; for
+the others the block is compressed alone and with each template as raw zstandard dictionary. The templates that make it smaller
+most are compared with it word by word, and one is confirmed if nearly all of its words stand in the block in
+order. How much a short notice saves in a long block says little, so no saving is required. The exact differences (words missing from the template, words put in) are reported. What a confirmed notice covers is
 taken out, and the rest of the block is asked again, so a block may hold several notices.
 
 Every line of every whole text is read. A null or empty text has no notices. Repeated rows give repeated results; rows without
@@ -16,6 +17,7 @@ import bisect
 import difflib
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,8 +76,6 @@ NOTICES = (
 MARKS = ("licen", "copyright", "warrant", "redistribut", "spdx", "permission", "public domain", "creative commons", "cc by", "cc0", "free software")
 #: Words without a hint that may lie between two hints of a block, words kept around a hint on its line, and the longest block.
 GAP, AROUND, LONGEST = 40, 30, 600
-#: Share of a block's compressed size that a template must save, and the smallest saving in bytes.
-LEAST_SHARE, LEAST_BYTES = 0.05, 8
 #: Best templates that are compared word by word.
 FINALISTS = 4
 #: Share of a template's words that a block must have in order, and the most words put in between, per word of the template.
@@ -98,12 +98,14 @@ class Template:
     license: str
     text: str
     words: tuple[str, ...]
+    counts: Counter[str]
 
 
 @functools.lru_cache(maxsize=1)
 def templates() -> tuple[Template, ...]:
     named = [*NOTICES, *((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in NOTICES))]
-    return tuple(Template(name, text, tuple(_plain(w) for w in text.split())) for name, text in named)
+    words = [tuple(_plain(w) for w in text.split()) for _, text in named]
+    return tuple(Template(name, text, w, Counter(w)) for (name, text), w in zip(named, words))
 
 
 @functools.lru_cache(maxsize=1)
@@ -155,6 +157,11 @@ def _positions(text: str, mark: str) -> Iterator[int]:
         at = text.find(mark, at + 1)
 
 
+def may_stand(template: Template, counts: Counter[str]) -> bool:
+    """Whether words with these counts, in any order, could cover enough of the template: false only if ``wording`` could not."""
+    return sum(min(n, counts[w]) for w, n in template.counts.items()) / len(template.words) >= COVERED
+
+
 def wording(template: Template, words: list[str]) -> tuple[float, int, int, list[str], list[str]] | None:
     """Share of the template's words found in order, the span they take, and the words missing and put in."""
     same = [b for b in difflib.SequenceMatcher(None, template.words, words, autojunk=False).get_matching_blocks() if b.size]
@@ -180,17 +187,20 @@ def notices(text: str | None) -> list[tuple]:
     out: dict[tuple[str, int], tuple] = {}
     words, open_ = candidate_blocks(text or "")
     plain = [_plain(w) for w in words]
+    longest = max(len(t.words) for t in templates())
     while open_:
         begin, end = open_.pop()
         block = " ".join(words[begin:end])
         if end - begin < 2 or not any(m in block.lower() for m in MARKS):
             continue
+        near = Counter(plain[max(0, begin - longest):end + longest])
+        able = [i for i, t in enumerate(templates()) if may_stand(t, near)]
+        if not able:
+            continue
         alone, given = sizes(block)
         best = None
-        for i in sorted(range(len(given)), key=lambda i: (given[i], i))[:FINALISTS]:
+        for i in sorted(able, key=lambda i: (given[i], i))[:FINALISTS]:
             t = templates()[i]
-            if alone - given[i] < max(LEAST_BYTES, LEAST_SHARE * alone):
-                break
             # The notice may reach beyond the block by as many words as it has.
             start = max(0, begin - len(t.words))
             told = wording(t, plain[start:end + len(t.words)])

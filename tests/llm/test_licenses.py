@@ -54,3 +54,13 @@ def test_scan_matches_the_plain_function_on_the_test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = sorted((r.doc_id, n[0], n[2]) for r in docs.select("doc_id", "text").collect() for n in lic.notices(r.text))
     assert sorted((r.doc_id, r.license, r.first_word) for r in lic.scan(docs).collect()) == want and want
+
+
+def test_short_notices_in_long_blocks_are_found():
+    """However much else a block holds, of however many words that do not compress, a short notice in it counts."""
+    rng = random.Random(4)
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    for t in [t for t in lic.templates() if len(t.words) <= 16]:
+        for n in (30, 300):
+            before, after = ([w if i % 80 else "copyright" for i, w in enumerate(rng.choices(noise, k=n))] for _ in range(2))
+            assert names(" ".join([*before, t.text, *after])) == [t.license], (t, n)
