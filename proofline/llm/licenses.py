@@ -2,9 +2,9 @@
 
 Words that hint at a license open a candidate block: their line, or a bounded stretch of a very long line, with
 neighbouring hints in one block. A template of which too many words are missing from a block altogether cannot stand in it; for
-the others the block is compressed alone and with each template as raw zstandard dictionary. The templates that make it smaller
-most are compared with it word by word, and one is confirmed if nearly all of its words stand in the block in
-order. How much a short notice saves in a long block says little, so no saving is required. The exact differences (words missing from the template, words put in) are reported. What a confirmed notice covers is
+the others the block is compressed alone and with each template as raw zstandard dictionary. All of them are compared with it word
+by word, those that make it smaller most first, and one is confirmed if nearly all of its words stand in the block in
+order. How much a short notice saves in a long block says little, so no saving is required and no rank is too low. The exact differences (words missing from the template, words put in) are reported. What a confirmed notice covers is
 taken out, and the rest of the block is asked again, so a block may hold several notices.
 
 Every line of every whole text is read. A null or empty text has no notices. Repeated rows give repeated results; rows without
@@ -76,8 +76,6 @@ NOTICES = (
 MARKS = ("licen", "copyright", "warrant", "redistribut", "spdx", "permission", "public domain", "creative commons", "cc by", "cc0", "free software")
 #: Words without a hint that may lie between two hints of a block, words kept around a hint on its line, and the longest block.
 GAP, AROUND, LONGEST = 40, 30, 600
-#: Best templates that are compared word by word.
-FINALISTS = 4
 #: Share of a template's words that a block must have in order, and the most words put in between, per word of the template.
 COVERED, PUT_IN = 0.85, 0.3
 LEVEL = 19
@@ -182,40 +180,63 @@ def wording(template: Template, words: list[str]) -> tuple[float, int, int, list
     return len(have) / len(template.words), begin, end, missing, [words[i] for i in range(begin, end) if i not in used]
 
 
+def standing(t: Template, words: list[str], begin: int, end: int, low: int, high: int) -> tuple[float, int, int, list[str], list[str]] | None:
+    """``wording`` of a confirmed notice that shares words with begin to end and lies in low to high; None if there is none.
+
+    What is not confirmed, or lies outside, does not hide a notice before or after it.
+    """
+    # The notice may reach beyond the block by as many words as it has.
+    stretches = [(max(low, begin - len(t.words)), min(high, end + len(t.words)))]
+    while stretches:
+        start, stop = stretches.pop()
+        if stop <= begin or start >= end or not may_stand(t, Counter(words[start:stop])):
+            continue
+        told = wording(t, words[start:stop])
+        if told is None:
+            continue
+        covered, first, last, missing, put_in = told[0], start + told[1], start + told[2], *told[3:]
+        if covered >= COVERED and len(put_in) <= PUT_IN * len(t.words) and first < end and last > begin:
+            return covered, first, last, missing, put_in
+        stretches += [(last, stop), (start, first)]
+    return None
+
+
 def notices(text: str | None) -> list[tuple]:
     """The rows of RESULT, without doc_id, of a text."""
     out: dict[tuple[str, int], tuple] = {}
-    words, open_ = candidate_blocks(text or "")
+    words, asked = candidate_blocks(text or "")
     plain = [_plain(w) for w in words]
     longest = max(len(t.words) for t in templates())
-    while open_:
-        begin, end = open_.pop()
+    free = [(begin, end, 0, len(plain)) for begin, end in asked]
+    while free:
+        # Words begin to end are asked; a notice may reach from low to high.
+        begin, end, low, high = free.pop()
         block = " ".join(words[begin:end])
         if end - begin < 2 or not any(m in block.lower() for m in MARKS):
             continue
-        near = Counter(plain[max(0, begin - longest):end + longest])
+        near = Counter(plain[max(low, begin - longest):min(high, end + longest)])
         able = [i for i, t in enumerate(templates()) if may_stand(t, near)]
         if not able:
             continue
         alone, given = sizes(block)
         best = None
-        for i in sorted(able, key=lambda i: (given[i], i))[:FINALISTS]:
+        for i in sorted(able, key=lambda i: (given[i], i)):
             t = templates()[i]
-            # The notice may reach beyond the block by as many words as it has.
-            start = max(0, begin - len(t.words))
-            told = wording(t, plain[start:end + len(t.words)])
-            if told and told[0] >= COVERED and len(told[4]) <= PUT_IN * len(t.words) and start + told[1] < end and start + told[2] > begin:
+            if best is not None and best[0] >= (len(t.words), -i):
+                continue
+            told = standing(t, plain, begin, end, low, high)
+            if told:
                 rank = (told[0] * len(t.words) - len(told[4]), -i)
                 if best is None or rank > best[0]:
-                    best = (rank, i, start, told)
+                    best = (rank, i, told)
         if best is None:
             continue
-        _, i, start, (covered, first, last, missing, put_in) = best
-        name, first, last = templates()[i].license, start + first, start + last
+        _, i, (covered, first, last, missing, put_in) = best
+        name = templates()[i].license
         out.setdefault((name, first), (
             name, i, first, last - first, alone, given[i], 1 - given[i] / alone, covered, " ".join(missing), " ".join(put_in),
         ))
-        open_ += [(begin, min(first, end)), (max(last, begin), end)]
+        free += [(begin, first, low, first), (last, end, last, high)]
     return sorted(out.values(), key=lambda r: (r[2], r[1]))
 
 

@@ -64,3 +64,16 @@ def test_short_notices_in_long_blocks_are_found():
         for n in (30, 300):
             before, after = ([w if i % 80 else "copyright" for i, w in enumerate(rng.choices(noise, k=n))] for _ in range(2))
             assert names(" ".join([*before, t.text, *after])) == [t.license], (t, n)
+
+
+def test_look_alikes_do_not_crowd_a_notice_out():
+    """Words of all templates, out of order, make every template save bytes; the one that is worded there is still found."""
+    scattered = [w for t in lic.templates() for w in reversed(t.text.split())][:500]
+    for t in [t for t in lic.templates() if len(t.words) <= 16]:
+        found = [r for r in lic.notices(" ".join([*scattered[:250], "x", t.text, "x", *scattered[250:]])) if r[2] == 251]
+        assert [(r[0], r[7]) for r in found] == [(t.license, 1.0)], t
+
+
+def test_every_copy_in_a_block_is_found():
+    text = f"{lic.NOTICES[2][1]}\n" * 300
+    assert [r[2] for r in lic.notices(text)] == list(range(0, 1500, 5))
