@@ -14,6 +14,7 @@ from proofline.session import ensure_checkpoint_dir
 BLANKS = " \t\n\x0b\x0c\r"
 #: Sub-buckets of a group when rows are numbered inside it.
 RANK_BUCKETS = 256
+_A_TO_Z = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that places stay: where lower() makes a text longer (U+0130 does), only A-Z change."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_A_TO_Z)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null stays null. Pure ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofline.llm.common import lowered
+
 # Names of HTML elements, and words that site templates use in class and id.
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -173,7 +175,7 @@ def blocks(page: str) -> list[Block]:
         if tag in SKIPPED:
             if match[3].rstrip().endswith("/") and tag in ("svg", "math"):
                 continue
-            lower = lower if lower is not None else page.lower() if len(page.lower()) == len(page) else page
+            lower = lower if lower is not None else lowered(page)
             end = lower.find(f"</{tag}", at)
             close = page.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(page)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofline.llm.common import lowered
+
 # Public notices and license texts.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -127,12 +129,12 @@ def sizes(block: str) -> tuple[int, list[int]]:
 
 def candidate_blocks(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """The words of a text and the stretches of them around hints."""
-    low = text.lower()
+    low = lowered(text)
     if not any(m in low for m in MARKS):
         return [], []
     found = list(_WORD.finditer(text))
     starts = [m.start() for m in found]
-    hits = sorted({h for m in MARKS for h in _positions(low if len(low) == len(text) else text, m)})
+    hits = sorted({h for m in MARKS for h in _positions(low, m)})
     marked = sorted({max(0, bisect.bisect_right(starts, h) - 1) for h in hits})
     line = [0] * len(found)
     for i in range(1, len(found)):

@@ -76,3 +76,7 @@ def test_rows(spark):
     assert found.columns == ["page_id", "url", "text"]
     assert sorted((str(r.page_id), r.text) for r in found.collect()) == sorted((str(i), LONG if h else "") for i, _, h in rows)
     assert hx.extract(pages.limit(0)).count() == 0
+
+
+def test_letters_whose_lower_case_is_longer_hide_no_end_of_a_script():
+    assert hx.main_text(page(f"<p>{LONG} İ</p><SCRIPT>var a;</SCRIPT><STYLE>p {{}}</STYLE><p>{OTHER}</p>")) == f"{LONG} İ\n{OTHER}"

@@ -77,3 +77,8 @@ def test_look_alikes_do_not_crowd_a_notice_out():
 def test_every_copy_in_a_block_is_found():
     text = f"{lic.NOTICES[2][1]}\n" * 300
     assert [r[2] for r in lic.notices(text)] == list(range(0, 1500, 5))
+
+
+@pytest.mark.parametrize("t", lic.templates()[-25:], ids=lambda t: t.text)
+def test_letters_whose_lower_case_is_longer_hide_no_hint(t):
+    assert names(f"İstanbul İzmir\n{t.text}\nx") == [t.license]
