@@ -6,6 +6,10 @@ terminals. Neighbouring blocks, more so those in the same container, and the nex
 interruption are tied by smoothness edges. The minimum cut, found by maximum flow, is the cheapest labelling; blocks on the
 source's side are content.
 
+Elements and roles that name boilerplate count for all that is in them. What a class or id says against an element counts so too,
+but only as weak evidence if the element turns out to wrap the page: see ``believed``. Names that tell a state of the page
+(has-sidebar, comments-open) say nothing.
+
 Whole pages are read; nothing is cut or capped. A null or empty page, and one without content, has an empty text.
 Broken markup is read as a browser would, roughly: open elements end with their parents, unmatched ends are ignored,
 unclosed comments and scripts swallow the rest. Line breaks are white space. Each row is answered by itself.
@@ -58,9 +62,13 @@ LAYOUT = frozenset(
     "skip hidden meta byline".split()
 )
 CONTENT = frozenset("article content contents post entry story main body text prose maincontent articlebody".split())
+#: First and last words of a class or id that tells a state.
+STATE_FIRST, STATE_LAST = frozenset("has with no without not".split()), frozenset("open opened closed enabled disabled free active inactive supported".split())
+#: Words that leave a name of NEVER words what it is.
+PLAIN = frozenset("list section area box block container wrapper wrap item form".split())
 BLOCK_SCORES = {"p": 1.0, "pre": 1.0, "blockquote": 0.6, "h1": 1.0, "h2": 0.5, "h3": 0.5, "h4": 0.5, "li": -0.3, "figcaption": 0.3}
 #: Weights of the classifier's other features, and of the smoothness edges.
-BIAS, LINKS, LONG, MEDIUM, SHORT, SENTENCE, RIGHTS = -0.5, -5.0, 1.5, 0.7, -1.0, 0.4, -2.5
+BIAS, LINKS, LONG, MEDIUM, SHORT, SENTENCE, RIGHTS, WRAPPED = -0.5, -5.0, 1.5, 0.7, -1.0, 0.4, -2.5, -0.5
 NEAR, SAME_CONTAINER, RESUMED = 0.3, 0.9, 0.6
 SCALE = 1000
 
@@ -73,14 +81,34 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE_END = (".", "!", "?", "…", "。", "！", "？", ".\"", ".”", "”", ":")
 
 
+@dataclass(frozen=True, eq=False)
+class Mark:
+    """A container that class or id speak against (score below 0), or a content element, and the next such one around it."""
+
+    number: int
+    score: float
+    #: Whether it or one around it is named as what is never content.
+    named: bool
+    outer: Mark | None
+
+
 @dataclass
 class Block:
     tag: str
     container: int
-    structure: float
+    inside: Mark | None
+    #: Least and greatest score of the open elements by tag, role and content names, and the innermost marks against them.
+    low: float = 0.0
+    high: float = 0.0
+    hints: list[Mark] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
+    def structure(self, lows: dict[int, float]) -> float:
+        """Structural log-odds, given the least score that counts for each mark; 0 if it and all around it are weak evidence."""
+        low = min([self.low, *[lows[m.number] for m in self.hints]])
+        return low if low < 0 else self.high + (WRAPPED if self.hints else 0.0)
+
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
@@ -93,21 +121,27 @@ class _Open:
     high: float
     link: bool
     hidden: bool
+    hint: Mark | None
+    inside: Mark | None
 
 
-def _hint(tag: str, attributes: str) -> tuple[float, bool]:
-    """Structural log-odds of an element by itself, and whether it is hidden."""
-    score, hidden = TAG_SCORES.get(tag, 0.0), False
+def _hint(tag: str, attributes: str) -> tuple[float, float, bool, bool]:
+    """Structural log-odds of an element by itself: by tag, role and content names, then by names against it, whether these
+    name nothing but what is never content; and whether it is hidden."""
+    score, against, named, hidden = TAG_SCORES.get(tag, 0.0), 0.0, False, False
     if not attributes or tag in ("html", "body"):
-        return score, hidden
+        return score, against, named, hidden
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
         name, value = (name or bare).lower(), a or b or c
         if name in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
+            tokens = [[w.lower() for w in _WORDS.findall(token)] for token in value.split()]
+            tokens = [t for t in tokens if t and not (len(t) > 1 and (t[0] in STATE_FIRST or t[-1] in STATE_LAST))]
+            words = {w for t in tokens for w in t}
             if words & NEVER:
-                score = min(score, -7.0)
+                against = min(against, -7.0)
+                named = named or any(NEVER.intersection(t) and NEVER.union(PLAIN).issuperset(t) for t in tokens)
             elif words & LAYOUT:
-                score = min(score, -6.0) if not words & CONTENT else score
+                against = min(against, -6.0) if not words & CONTENT else against
             elif words & CONTENT and score >= 0:
                 score = max(score, 2.0)
         elif name == "role":
@@ -115,13 +149,13 @@ def _hint(tag: str, attributes: str) -> tuple[float, bool]:
             score = min(score, found) if found < 0 or score < 0 else max(score, found)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return score, hidden
+    return score, against, named, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that hold text, in order."""
     found: list[Block] = []
-    stack = [_Open("", 0, 0.0, 0.0, False, False)]
+    stack = [_Open("", 0, 0.0, 0.0, False, False, None, None)]
     current: Block | None = None
     number = at = 0
     lower = None
@@ -142,9 +176,11 @@ def blocks(page: str) -> list[Block]:
                 return
             inner = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK), 0)
             home = stack[inner]
-            current = Block(home.tag, stack[max(0, inner - 1)].number, 0.0)
+            current = Block(home.tag, stack[max(0, inner - 1)].number, top.inside)
             found.append(current)
-        current.structure = min(current.structure, top.low) if top.low < 0 or current.structure < 0 else max(current.structure, top.high)
+        current.low, current.high = min(current.low, top.low), max(current.high, top.high)
+        if top.hint and top.hint not in current.hints[-1:]:
+            current.hints.append(top.hint)
         current.parts.append(text)
         if top.link:
             current.linked += len(text.strip())
@@ -198,18 +234,20 @@ def blocks(page: str) -> list[Block]:
             continue
         number += 1
         top = stack[-1]
-        score, hidden = _hint(tag, match[3])
+        score, against, named, hidden = _hint(tag, match[3])
         if tag == "header" and top.high > 0 and score == TAG_SCORES["header"]:
             score = 0.0
         stack.append(_Open(
-            tag, number, min(top.low, score), 0.0 if min(top.low, score) < 0 else max(top.high, score), top.link or tag == "a", top.hidden or hidden,
+            tag, number, min(top.low, score), max(top.high, score), top.link or tag == "a", top.hidden or hidden,
+            Mark(number, against, named or top.hint is not None and top.hint.named, top.hint) if against < 0 else top.hint,
+            Mark(number, score, False, top.inside) if score > 0 and not against and tag in BLOCK else top.inside,
         ))
 
 
-def log_odds(block: Block, text: str) -> float:
-    """The classifier: log-odds that a block is content."""
+def log_odds(block: Block, text: str, lows: dict[int, float]) -> float:
+    """The classifier: log-odds that a block is content; ``lows`` as ``believed`` gives them."""
     words, letters = text.count(" ") + 1, len(text)
-    score = BIAS + block.structure + BLOCK_SCORES.get(block.tag, 0.0) + LINKS * min(1.0, block.linked / letters)
+    score = BIAS + block.structure(lows) + BLOCK_SCORES.get(block.tag, 0.0) + LINKS * min(1.0, block.linked / letters)
     score += LONG if words >= 25 else MEDIUM if words >= 10 else SHORT if words <= 3 and block.tag[0:1] != "h" else 0.0
     if text.endswith(_SENTENCE_END):
         score += SENTENCE
@@ -218,6 +256,68 @@ def log_odds(block: Block, text: str) -> float:
     return score
 
 
+def _chain(marks: list[Mark]) -> list[Mark]:
+    """These marks and all around them, outer ones first."""
+    every: dict[int, Mark] = {}
+    for mark in marks:
+        while mark and mark.number not in every:
+            every[mark.number] = mark
+            mark = mark.outer
+    return [every[n] for n in sorted(every)]
+
+
+def _held(marks: list[Mark], sizes: list[tuple[list[Mark], int]]) -> dict[int, int]:
+    """How much each mark holds, given the innermost marks of each block and its size."""
+    held = dict.fromkeys((m.number for m in marks), 0)
+    for inner, size in sizes:
+        for mark in inner[:1] if size else ():
+            held[mark.number] += size
+    for mark in reversed(marks):
+        if mark.outer:
+            held[mark.outer.number] += held[mark.number]
+    return held
+
+
+def believed(found: list[Block], texts: list[str]) -> dict[int, float]:
+    """The least score that counts for each mark against an element: its own and those around it, less those of wrappers.
+
+    Wrappers hold most of the text that would be content by everything but class and id, and either no content is left outside
+    them, or one main, article or content element in them, with no name against it, holds most of that text by itself. Names of
+    what is never content, such as comments, are believed whatever they hold.
+    """
+    marks = _chain([m for b in found for m in b.hints])
+
+    def lows(weak: set[int]) -> dict[int, float]:
+        out: dict[int, float] = {}
+        for m in marks:
+            out[m.number] = 0.0 if m.number in weak else min(m.score, out[m.outer.number] if m.outer else 0.0)
+        return out
+
+    if all(m.named for m in marks):
+        return lows(set())
+    free = lows({m.number for m in marks})
+    sizes = [len(t) if log_odds(b, t, free) > 0 else 0 for b, t in zip(found, texts)]
+    held = _held(marks, [(b.hints, s) for b, s in zip(found, sizes)])
+    contents = _chain([b.inside for b in found if b.inside])
+    weak: set[int] = set()
+    most = [m for m in marks if not m.named and 2 * held[m.number] > sum(sizes)]
+    for mark, below in zip(most, [*most[1:], None]):
+        # They lie in each other. Where an inner one holds all that this one does, nothing is kept while its name counts.
+        if below and held[below.number] == held[mark.number]:
+            continue
+        trial, inner = set(weak), mark
+        while inner:
+            trial.add(inner.number)
+            inner = inner.outer
+        now = lows(trial)
+        kept = [s if s and log_odds(b, t, now) > 0 else 0 for b, t, s in zip(found, texts, sizes)]
+        within = _held(marks, [(b.hints, k) for b, k in zip(found, kept)])[mark.number]
+        main = _held(contents, [([b.inside] if b.inside else [], k) for b, k in zip(found, kept)])
+        if within and (within == sum(kept) or any(2 * size > sum(kept) and n > mark.number for n, size in main.items())):
+            weak = trial
+    return lows(weak)
+
+
 class Flow:
     """Maximum flow by blocking flows over level graphs; arcs in pairs, an arc's partner is its reverse."""
 
@@ -282,9 +382,9 @@ class Flow:
 def label(found: list[Block], texts: list[str]) -> list[bool]:
     """Which blocks are content."""
     n = len(found)
-    flow, last = Flow(n + 2), {}
+    flow, last, lows = Flow(n + 2), {}, believed(found, texts)
     for i, (block, text) in enumerate(zip(found, texts)):
-        odds = max(-30.0, min(30.0, log_odds(block, text)))
+        odds = max(-30.0, min(30.0, log_odds(block, text, lows)))
         as_content, as_rest = math.log1p(math.exp(-odds)), math.log1p(math.exp(odds))
         # Cutting source -> block pays for calling it boilerplate, cutting block -> sink for calling it content.
         flow.tie(n, i, int(SCALE * as_rest))

@@ -80,3 +80,33 @@ def test_rows(spark):
 
 def test_letters_whose_lower_case_is_longer_hide_no_end_of_a_script():
     assert hx.main_text(page(f"<p>{LONG} İ</p><SCRIPT>var a;</SCRIPT><STYLE>p {{}}</STYLE><p>{OTHER}</p>")) == f"{LONG} İ\n{OTHER}"
+
+
+MENTIONS = ["layout has-sidebar", "post comments-open", "social-sharing-enabled", "ad-free", "no-sidebar", "page-with-sidebar", "sidebar-layout", "top", "register-page"]
+
+
+@pytest.mark.parametrize("name", MENTIONS)
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div>{}</div>"])
+def test_a_wrapper_whose_class_mentions_boilerplate_keeps_the_page(name, inner):
+    rest = f"<div class='sidebar'><p>{OTHER}</p></div><section class='comments'><article><p>{LONG}</p><p>{LONG}</p></article></section>"
+    body = inner.format(f"<p>{LONG}</p><p>{OTHER}</p>")
+    for said in (f"class='{name}'", f"id='{name.split()[-1]}'"):
+        assert hx.main_text(page(f"<nav>Home</nav><div {said}>{body}</div><footer>end</footer>")) == f"{LONG}\n{OTHER}"
+        assert hx.main_text(page(f"<div {said}>{body}{rest}</div>")) == f"{LONG}\n{OTHER}"
+        assert hx.main_text(page(f"<div class='cookie-consent'><p>{OTHER}</p></div><div class='{name}'><div {said}>{body}</div></div>")) == f"{LONG}\n{OTHER}"
+
+
+def test_boilerplate_as_such_stays_out_whatever_it_holds():
+    many = f"<p>{OTHER}</p>" * 4
+    for rest in (f"<section class='comments'><article>{many}</article></section>", f"<ul class='comment-list'><li><article>{many}</article></ul>",
+                 f"<div class='sidebar'>{many}</div>", f"<div class='related-posts'><article>{OTHER}</article></div>", f"<aside><article>{many}</article></aside>",
+                 f"<nav class='content'><main>{many}</main></nav>", f"<footer><article>{many}</article></footer>"):
+        assert hx.main_text(page(f"<article><p>{LONG}</p></article>{rest}")) == LONG, rest
+        assert hx.main_text(page(f"<div class='layout has-sidebar'><p>{LONG}</p>{rest}</div>")) == LONG, rest
+
+
+def test_many_and_deeply_nested_class_hints_end():
+    deep = "<div class='sidebar-layout'>" * 3000 + f"<p>{LONG}</p>"
+    assert hx.main_text(deep) == LONG
+    many = page("<article>" + f"<p>{LONG}</p><div class='widget-x'><p>{OTHER}</p></div>" * 3000 + "</article>")
+    assert hx.main_text(many).count("\n") == 2999
