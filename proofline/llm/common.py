@@ -44,11 +44,12 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
 
 
-def rank_in_groups(df: DataFrame, groups: list[str], spread: str, order: list[str], into: str, buckets: int | Column = RANK_BUCKETS) -> DataFrame:
+def rank_in_groups(df: DataFrame, groups: list[str], spread: str, order: list[str], into: str, buckets: int | Column = RANK_BUCKETS, few: bool = False) -> DataFrame:
     """Number the rows of each group from 0 in the order of ``spread`` (a uniform 64-bit hash), then ``order``.
 
     A group is cut into ``buckets`` ranges of the hash, so that a group of any size is sorted by many tasks; the sizes
-    of the ranges (at most groups x buckets rows) give each range its offset.
+    of the ranges (at most groups x buckets rows) give each range its offset. Where these are ``few``, they are broadcast, so that
+    the rows never move for them.
     """
     wide = buckets if isinstance(buckets, Column) else F.lit(buckets)
     unit = (F.shiftrightunsigned(F.col(spread).bitwiseXOR(F.lit(-(2**63))), 11)) / F.lit(float(2**53))
@@ -59,6 +60,7 @@ def rank_in_groups(df: DataFrame, groups: list[str], spread: str, order: list[st
         *[F.col(g).alias(f"_g_{i}") for i, g in enumerate(groups)], F.col("_range").alias("_r"),
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
+    offsets = F.broadcast(offsets) if few else offsets
     same = F.col("_range") == F.col("_r")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{i}"))

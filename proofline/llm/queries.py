@@ -82,10 +82,14 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_sharding")
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    # Whole texts are dealt, and the digests taken from what lies in the slots. The keys are digests too, so that no text goes twice.
     text = F.coalesce("text", F.lit(""))
-    sized = _table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    dealt = sharding.shuffle_into_shards(sized, 24, ["doc_id", "size", "text_crc32"])
-    return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    size, checksum = (F.octet_length(text) + 8).cast("long"), F.crc32(text)
+    docs = _table(spark, folder, "documents").select("doc_id", "text", size.alias("_size"), checksum.alias("_crc"))
+    dealt = sharding.shuffle_into_shards(docs, 24, ["doc_id", "_size", "_crc"])
+    return dealt.select(
+        "doc_id", size.alias("size"), checksum.alias("text_crc32"), "shard", "slot", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 @query("op7_exact_dedup", f"""

@@ -26,7 +26,7 @@ MIN_PARTITIONS = 64
 ROWS_PER_PARTITION = 1_000_000
 #: Rows that are put in order by one task within a shard.
 ROWS_PER_RANGE = 200_000
-#: Largest plan, in bytes, that is broadcast; a larger one is joined by partition.
+#: Largest plan, and sizes of ranges, in bytes, that are broadcast; larger ones are joined by partition.
 PLAN_BYTES = 64 << 20
 
 
@@ -93,7 +93,7 @@ def shuffle_into_shards(rows: DataFrame, shards: int, keys: list[str], seed: int
     dealt = placed.withColumn("shard", F.size(F.filter("_ends", lambda end: end <= F.col("_place"))))
     dealt = dealt.select("_row", "_second", *names, "shard")
     ranges = max(1, math.ceil(total / shards / ROWS_PER_RANGE))
-    return rank_in_groups(dealt, ["shard"], "_second", names, "slot", ranges).select("_row.*", "shard", "slot")
+    return rank_in_groups(dealt, ["shard"], "_second", names, "slot", ranges, few=shards * ranges * 64 <= PLAN_BYTES).select("_row.*", "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str, shards: int, keys: list[str], seed: int = 0) -> None:

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from proofline.llm import sharding
+from proofline.llm import queries, sharding
 
 
 def shuffled(docs, shards, seed=0):
@@ -72,3 +74,18 @@ def test_empty_table_and_fewer_rows_than_shards(documents):
 def test_written_shards(documents, spark, tmp_path):
     sharding.write_shards(documents([(i, str(i)) for i in range(50)]), f"{tmp_path}/s", 3, ["doc_id"])
     assert sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/s").groupBy("shard").count().collect()) == [16, 17, 17]
+
+
+def test_the_query_deals_whole_texts_and_takes_its_digests_from_them(documents, spark, tmp_path, monkeypatch):
+    documents([(i, f"text {i}") for i in range(60)] + [(None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op6_sharding"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in found} == {(i, len(f"text {i}") + 8, zlib.crc32(f"text {i}".encode())) for i in range(60)} | {(None, 8, 0)}
+    deal = sharding.shuffle_into_shards
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda *a: deal(*a).withColumn("text", F.concat(F.lit("dealt "), "text")))
+    found = queries.QUERIES["op6_sharding"](spark, str(tmp_path)).where("doc_id = 7").collect()
+    assert [(r.size, r.text_crc32) for r in found] == [(20, zlib.crc32(b"dealt text 7"))]
+
+
+def test_rows_move_twice(documents, spark):
+    plan = shuffled(documents([(i, str(i)) for i in range(50)]), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == plan.count("Join Inner") > 0
