@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, exact_dedup, fingerprint, html_extract, langid, licenses, line_dedup, minhash, mixing, sharding
+from proofline.llm import bpe, exact_dedup, fingerprint, html_extract, langid, licenses, line_dedup, minhash, mixing, periodic_runs, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -117,3 +117,9 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.with_edits(_table(spark, folder, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return periodic_runs.digests(periodic_runs.find_runs(docs, "doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text"))))
