@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, exact_dedup, fingerprint, html_extract, langid, licenses, line_dedup, minhash, mixing, periodic_runs, sharding
+from proofline.llm import bpe, collocations, exact_dedup, fingerprint, html_extract, langid, licenses, line_dedup, minhash, mixing, periodic_runs, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -119,6 +119,28 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.with_edits(_table(spark, folder, "documents"))
 
 
+@query("op11_collocations", f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({ASCII_LOWER}, '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM d),
+m AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS m FROM w),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS p, count(*) AS n FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM m) GROUP BY ALL),
+c AS (SELECT lang, m, p, n AS a, string_split(p, ' ') AS w FROM g WHERE m > 1 AND n >= 30),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.m, k.p, a, x.n AS l, y.n AS r, 2000000::HUGEINT * a // (x.n + y.n) AS score FROM k
+    JOIN g x ON x.lang = k.lang AND x.p = array_to_string(k.w[1:k.k], ' ') JOIN g y ON y.lang = k.lang AND y.p = array_to_string(k.w[k.k + 1:], ' ')
+    QUALIFY row_number() OVER (PARTITION BY k.lang, k.p ORDER BY 2000000::HUGEINT * a // (x.n + y.n), k.k) = 1),
+j AS (SELECT lang, w, a, m, unnest(range(2, m)) AS j FROM c),
+i AS (SELECT lang, w, a, j, unnest(range(1, m - j + 2)) AS i FROM j),
+f AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS p, max(a) AS longer FROM i GROUP BY ALL),
+o AS (SELECT lang, p, a, l, r, score FROM s ANTI JOIN f ON s.lang = f.lang AND s.p = f.p AND 100 * longer >= 80 * a),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score::BIGINT AS score
+FROM o JOIN t ON o.lang = t.lang QUALIFY rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
