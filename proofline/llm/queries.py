@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import bpe, collocations, exact_dedup, fingerprint, html_extract, langid, licenses, line_dedup, minhash, mixing, periodic_runs, sharding
+from proofline.llm import bpe, collocations, exact_dedup, fingerprint, html_extract, langid, licenses, line_dedup, minhash, mixing, periodic_runs, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -145,3 +145,8 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return periodic_runs.digests(periodic_runs.find_runs(docs, "doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text"))))
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
