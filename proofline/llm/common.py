@@ -23,7 +23,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.saved_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete saved tables that a newer one replaces. Nothing that is still to be computed may read them."""
+    for table in tables:
+        path = getattr(table, "saved_path", None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def lowered(text: str) -> str:

@@ -5,14 +5,16 @@ gives each shingle a position on a circle, the second, shifted by k, gives the v
 neighbouring places of one array, a shingle contributes one contiguous slice of the second permutation. BANDS bands of ROWS coordinates
 make two documents with a Jaccard index of exactly 0.75 miss each other in all bands once in 400,000 pairs, and less above.
 
-Documents with equal sets are one class. Members of a bucket are first compared with the bucket's first and last class, then
-with the class that has the fewest shingles of its own, which joins groups of near copies at a cost linear in their size. Afterwards
+Documents with equal sets are one class. The bands are dealt to rounds. In a round, the components that meet in a bucket are joined by a tree of pairs, one member
+speaking for each; links found are contracted before the next round, so that a group of near copies carries about one pair a member in all, and never meets
+itself again. Then the members of buckets that still hold several components meet
+the class that has the fewest shingles of its own. Afterwards
 only members of different components in a bucket are compared, and never two of the bucket's largest component, so no link
 between components is lost and a group is not paired with itself. Compressed signatures (one bit per coordinate, six standard deviations of tolerance) and set sizes
 discard hopeless candidates. So does, after the first step, an exact bound: two sets share at
 most the smaller of their counts of shingles with one, two, up to four, up to eight ... holders, and nothing of what has one holder.
 That settles variants that lie just too far from their group without comparing them with all of it. Every link is
-confirmed on the full sets. Components spread by their smallest class.
+confirmed on the full sets.
 
 Rows: null, blank and empty texts have empty sets, are linked with nothing and are kept. Rows that repeat doc_id
 and text, and rows without doc_id, belong to the component of their text; component_id is the smallest doc_id that is not null
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import packed, saved
+from proofline.llm.common import forget, packed, saved
 from proofline.llm.shingles import scrambled, shingles, text_shingles
 
 BANDS = 48
@@ -38,6 +40,10 @@ ROWS = 5
 #: Positions on the circle.
 CIRCLE = 1 << 22
 PERCENT = 75
+#: Bands of each round of linking, all bands in the end.
+ROUNDS = (2, 6, 14, 26)
+#: Shares of a bucket's components that meet each other before the bucket's do.
+SALTS = 256
 #: Differing bits of 240 beyond which a pair cannot have a Jaccard index of 0.75 (mean 30, standard deviation 5.1).
 MOST_BITS = 61
 #: Classes of shingles by the number of their holders, in powers of two; the last has no upper end.
@@ -121,18 +127,49 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(links_a, pa.int64()), pa.array(links_b, pa.int64())], names=["a", "b"])
 
 
+def _relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges between the labels of their ends, without loops and repeats."""
+    side = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
+    both = edges.join(side("a"), "a").join(side("b"), "b").where("label_a != label_b")
+    return both.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable from each node of the edges (a, b). Labels spread and take short cuts."""
-    both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        nearer = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = saved(nearer.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.where("label < old").isEmpty():
-            return labels
+    """(node, label): the smallest node reachable from each node of the edges (a, b).
+
+    Each node points to its smallest neighbour, or to itself if that is larger; pointers are followed to their roots by doubling. Edges are then contracted to
+    the roots, where most become loops and go, until none is left.
+    """
+    edges = saved(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = saved(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "roots")
+        while True:
+            onward = roots.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            moved = saved(roots.join(onward, "label").select("node", F.col("further").alias("label"), (F.col("further") < F.col("label")).alias("moved")), "roots")
+            forget(roots)
+            roots = moved.select("node", "label")
+            roots.saved_path = moved.saved_path
+            if moved.where("moved").isEmpty():
+                break
+        labels, old = (roots, None) if labels is None else (_composed(labels, roots), labels)
+        shorter = saved(_relabelled(edges, roots), "edges")
+        forget(edges, *([old, roots] if old is not None else []))
+        edges = shorter
+    return labels
+
+
+def _composed(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """Labels after their own labels moved on."""
+    onward = moved.select(F.col("node").alias("_from"), F.col("label").alias("_to"))
+    return saved(labels.join(onward, F.col("label") == F.col("_from"), "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of all nodes after the links (a, b) between them, contracted to the present labels, have joined their components."""
+    edges = saved(_relabelled(links, labels), "contracted")
+    return labels if edges.isEmpty() else _composed(labels, components(edges))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -199,12 +236,25 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, comp, main) in the buckets with more than one component; ``main`` is the bucket's largest."""
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    placed = members.join(labels, "node").select("key", "node", F.col("label").alias("comp"))
     shares = saved(placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")), "shares")
     parts = shares.groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("parts"))
     return saved(placed.join(parts.where("parts > 1").select("key", "main"), "key"), "loose")
 
 
+def _tree_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that join the components of each bucket into a tree of depth two: one member speaks for a component, the first of
+    each of SALTS shares for its share, and the first of them for the bucket. So a bucket has one pair less than components, and no member has many."""
+    placed = members.join(labels, "node").select("key", "node", F.col("label").alias("comp"))
+    speakers = placed.groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64("key", "node").alias("by"), "node"))["node"].alias("node"))
+    speakers = saved(speakers.withColumn("share", F.pmod(F.xxhash64("comp"), F.lit(SALTS))), "speakers")
+    first = speakers.groupBy("key", "share").agg(F.min("node").alias("head"))
+    top = first.groupBy("key").agg(F.min("head").alias("top"), F.count(F.lit(1)).alias("shares")).where("shares > 1").select("key", "top")
+    low = speakers.join(first, ["key", "share"]).select("node", "head")
+    high = first.join(top, "key").select(F.col("head").alias("node"), F.col("top").alias("head"))
+    return low.unionByName(high).where("node != head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, text_hash, n (set size), component (a number, null for empty sets)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -215,22 +265,25 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.first("bands").alias("bands"), F.first("bits").alias("bits"),
     )
     nodes = saved(sets.select("set_key", "first.id", "first.text_hash", "n", "bands", "bits").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    banded = nodes.select(F.explode("bands").alias("key"), "node")
-    ends = banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail")
-    members = saved(banded.join(ends, "key"), "members")
+    banded = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
+    # A round takes its bands; the bands' numbers are part of their keys.
+    deal = functools.reduce(lambda done, i: done.when(F.col("band") < sum(ROUNDS[:i + 1]), i), range(len(ROUNDS)), F.when(F.lit(False), None))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("key")
+    members = saved(banded.join(shared, "key").select("key", "node", deal.alias("round")), "members")
 
     small = nodes.select("node", "n", "bits")
     side = lambda name: small.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
-    stars = members.select(F.explode(F.array("head", "tail")).alias("end"), "node").where("end != node").select(
-        F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")
-    ).distinct()
-    likely = stars.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(F.col("n_a"), F.col("n_b")) & _bits_fit(F.col("bits_a"), F.col("bits_b")))
-    stars = saved(likely.select("a", "b"), "stars")
-
-    wanted = members.select("node").distinct().join(nodes.select("node", F.col("id").alias("_id"), F.col("text_hash").alias("_hash")), "node")
-    texts = _texts(rows, saved(wanted, "wanted"))
-    links = _links(stars, texts)
-    first = components(links)
+    among = saved(members.select("node").distinct().join(nodes.select("node", F.col("id").alias("_id"), F.col("text_hash").alias("_hash")), "node"), "wanted")
+    texts = _texts(rows, among)
+    first = saved(among.select("node", F.col("node").alias("label")), "labels")
+    stars: DataFrame | None = None
+    for i in range(len(ROUNDS)):
+        pairs = _tree_pairs(members.where(F.col("round") == i), first)
+        pairs = pairs.join(stars, ["a", "b"], "left_anti") if stars is not None else pairs
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(F.col("n_a"), F.col("n_b")) & _bits_fit(F.col("bits_a"), F.col("bits_b")))
+        likely = saved(likely.select("a", "b"), "stars")
+        first = merged(first, _links(likely, texts))
+        stars = likely if stars is None else stars.unionByName(likely)
 
     # Buckets that still hold several components: their members meet the one with the fewest shingles of its own,
     # which lies nearest to what the group has in common, and then whatever is left meets the others.
@@ -244,8 +297,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ) & _bits_fit(F.col("bits"), F.col("c.bits")))
     near = near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
     tried = saved(near.join(stars, ["a", "b"], "left_anti"), "near")
-    links = links.unionByName(_links(tried, texts))
-    second = components(links)
+    second = merged(first, _links(tried, texts))
 
     last = _open_buckets(faced.select("key", "node"), second)
     # At most one key per band.
@@ -260,7 +312,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ))
     pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = _links(pairs.join(stars.unionByName(tried), ["a", "b"], "left_anti"), texts)
-    labels = second if more.isEmpty() else components(links.unionByName(more))
+    labels = merged(second, more)
 
     classes = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
     return prints.select("id", "text_hash", "n", "set_key").join(classes, "set_key", "left").select("id", "text_hash", "n", "component")
