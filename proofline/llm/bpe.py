@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -30,9 +31,10 @@ WINDOW = 64
 RUN = 4
 #: Characters given to the tokenizer at once.
 CHUNK_CHARS = 1 << 20
-#: Words remembered by a task, and the longest one that is.
+#: Words remembered by a task (twice as many while they are replaced), the longest one that is, and words encoded at once.
 KNOWN_WORDS = 200_000
 KNOWN_CHARS = 64
+WORDS_AT_ONCE = 512
 
 
 def default_path() -> str:
@@ -121,57 +123,121 @@ def decode_ids(path: str, ids: list[int]) -> str:
     return tok.decode(ids, skip_special_tokens=False)
 
 
+#: Patterns (fixed values of public tokenizers) of which no match holds a blank; what they do not match is dropped.
+BLANK_FREE_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+def drops_blanks(declared: dict) -> bool:
+    """Whether a tokenizer, by its own declaration, makes the tokens of each word (between blanks and line feeds) from that word alone."""
+    parts = lambda x, inner: x[inner] if x and x["type"] == "Sequence" else [x] if x else []
+    first = (parts(declared.get("pre_tokenizer"), "pretokenizers") or [{"type": None}])[0]
+    splits = first["type"] == "WhitespaceSplit" or (
+        first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in BLANK_FREE_PATTERNS
+    )
+    plain = all(
+        n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ")
+        for n in parts(declared.get("normalizer"), "normalizers")
+    )
+    whole = not any(set(t["content"]) & set(" \n") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in declared.get("added_tokens") or [])
+    return splits and plain and whole and declared.get("post_processor") is None
+
+
+@functools.lru_cache(maxsize=4)
+def _declared(path: str) -> dict:
+    return json.loads(tokenizer(path).to_str())
+
+
 class Words:
-    """Encodes texts word by word with a bounded memory, for tokenizers that drop blanks.
+    """Encodes texts word by word with a bounded memory of each word's ids and decoded text, for tokenizers that drop blanks.
 
-    If blanks give no tokens, no token and no merge reaches across one, so a text's ids are those of its words in a row.
+    Such a tokenizer makes no token and no merge across a blank, so a text's ids are those of its words in a row; and if it has no decoder,
+    its tokens are decoded with blanks between, word by word too.
     """
 
     def __init__(self, path: str):
-        self.tok, self.known, self.path = tokenizer(path), {}, path
+        self.tok, self.path = tokenizer(path), path
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     @staticmethod
     def fits(path: str) -> bool:
-        return not tokenizer(path).encode(" \n ", add_special_tokens=False).ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as 32-bit little-endian integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        return drops_blanks(_declared(path)) and tokenizer(path).decoder is None
+
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[bytes, str]]:
+        """Ids and decoded text of each word; WORDS_AT_ONCE words go to the tokenizer as one text, whose tokens lie in one word each."""
+        tokens = _tokens(self.path)
+        parts = [words[i:i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        for part, e in zip(parts, self.tok.encode_batch([" ".join(part) for part in parts], add_special_tokens=False)):
+            starts = np.cumsum([0, *[len(w) + 1 for w in part]])
+            at = np.searchsorted([o[0] for o in e.offsets], starts).tolist()
+            ids, names = np.array(e.ids, dtype="<u4").tobytes(), [tokens[i] for i in e.ids]
+            for begin, end in zip(at, at[1:]):
+                yield ids[4 * begin:4 * end], " ".join(names[begin:end])
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Each text's ids as 32-bit little-endian integers, and its decoded text."""
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False))}
-        known = self.known
-        known.update((w, ids) for w, ids in found.items() if len(w) <= KNOWN_CHARS)
-        return [b"".join([known[w] if w in known else found[w] for w in words]) for words in split]
-
-
-def _encode_all(path: str, texts: list[str], words: Words | None) -> list[bytes]:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(dict.fromkeys([w for words in split for w in words if w not in known]))
+        kept = [w for w in new if w in older]
+        known.update((w, older[w]) for w in kept)
+        new = [w for w in new if w not in known]
+        found = dict(zip(new, self._encode_words(new)))
+        known.update(found)
+        out = []
+        for words in split:
+            entries = [known[w] for w in words]
+            decoded = [e[1] for e in entries]
+            # A word without tokens (none, or blanks of another kind) leaves no gap.
+            out.append((b"".join([e[0] for e in entries]), " ".join(filter(None, decoded) if "" in decoded else decoded)))
+        for w in new:
+            if len(w) > KNOWN_CHARS:
+                del known[w]
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """The words this process remembers, from task to task."""
+    return Words(path)
+
+
+def _encode_all(path: str, texts: list[str], words: Words | None) -> list[tuple[bytes, str | None]]:
+    """Ids and, where words give it on the way, the decoded text of each text; equal texts are encoded once."""
+    once = list(dict.fromkeys(texts))
     if words:
-        return words.encode(texts)
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _digest(path: str, ids: bytes) -> tuple[int, str, str]:
-    decoded = decode_ids(path, np.frombuffer(ids, dtype="<u4").tolist())
+        found = words.encode(once)
+    else:
+        found = [(np.array(e.ids, dtype="<u4").tobytes(), None) for e in tokenizer(path).encode_batch_fast(once, add_special_tokens=False)]
+    if len(once) == len(texts):
+        return found
+    by_text = dict(zip(once, found))
+    return [by_text[t] for t in texts]
+
+
+def _digest(path: str, ids: bytes, decoded: str | None = None) -> tuple[int, str, str]:
+    if decoded is None:
+        decoded = decode_ids(path, np.frombuffer(ids, dtype="<u4").tolist())
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, finish: Callable, kind: str) -> DataFrame:
-    """doc_id and the columns of ``kind`` that ``finish(path, ids)`` makes of each text's ids, given as bytes."""
+    """doc_id and the columns of ``kind`` that ``finish(path, ids, decoded)`` makes of each text's ids, given as bytes, and its decoded text where known."""
     names = [c.split()[0] for c in kind.split(", ")]
     types = [{"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[c.split()[1]] for c in kind.split(", ")]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = rows.schema["doc_id"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path) if Words.fits(path) else None
+        words = _words(path) if Words.fits(path) else None
         for batch in batches:
             texts, begin, size = batch.column(1).to_pylist(), 0, 0
             for i, one in enumerate(texts):
                 size += len(one)
                 if size >= CHUNK_CHARS or i + 1 == len(texts):
-                    found = [finish(path, ids) for ids in _encode_all(path, texts[begin:i + 1], words)]
+                    found = [finish(path, *one) for one in _encode_all(path, texts[begin:i + 1], words)]
                     columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), *columns], names=["doc_id", *names])
                     begin, size = i + 1, 0
@@ -211,7 +277,7 @@ def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, fini
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF_CHARS) -> DataFrame:
     """doc_id and the token ids of each whole text."""
-    return _results(docs, doc_id, text, path or default_path(), leaf, lambda _, ids: (np.frombuffer(ids, dtype="<u4").tolist(),), "ids array<int>")
+    return _results(docs, doc_id, text, path or default_path(), leaf, lambda _, ids, decoded=None: (np.frombuffer(ids, dtype="<u4").tolist(),), "ids array<int>")
 
 
 def encoded_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, leaf: int = LEAF_CHARS) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -68,5 +69,19 @@ def test_words_equal_whole_texts(monkeypatch):
     words = bpe.Words(path)
     texts = long_texts() + ["", " ", "a \u0301b", "a\n\u0301", "x\u00a0y \u2003z", "<|endoftext|> a<|startoftext|>", "it's 'll"]
     for _ in range(2):
-        for text, ids in zip(texts, words.encode(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == TOK.encode(text, add_special_tokens=False).ids
+        for text, (ids, decoded) in zip(texts, words.encode(texts)):
+            want = TOK.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and decoded == TOK.decode(want, skip_special_tokens=False)
+
+
+def test_word_by_word_only_where_the_declaration_allows_it():
+    declared = json.loads(TOK.to_str())
+    assert bpe.drops_blanks(declared)
+    token = declared["added_tokens"][0]
+    for change in (
+        {"added_tokens": [token | {"content": "two words"}]}, {"added_tokens": [token | {"lstrip": True}]}, {"pre_tokenizer": None},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+        {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"post_processor": {"type": "ByteLevel"}},
+    ):
+        assert not bpe.drops_blanks(declared | change)
+    assert bpe.drops_blanks(declared | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "normalizer": None})
