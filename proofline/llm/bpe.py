@@ -24,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofline.llm.shingles import _BASE, _INVERSE, _power, scrambled
+
 #: Longest text, in code points, that is encoded in one piece.
 LEAF_CHARS = 32_768
 #: First window on either side of a join, and the run of tokens that must agree.
 WINDOW = 64
 RUN = 4
-#: Characters given to the tokenizer at once.
-CHUNK_CHARS = 1 << 20
+#: Bytes of text worked on at once.
+CHUNK_BYTES = 1 << 22
 #: Words remembered by a task (twice as many while they are replaced), the longest one that is, and words encoded at once.
 KNOWN_WORDS = 200_000
-KNOWN_CHARS = 64
+KNOWN_BYTES = 64
 WORDS_AT_ONCE = 512
 
 
@@ -147,54 +149,95 @@ def _declared(path: str) -> dict:
     return json.loads(tokenizer(path).to_str())
 
 
+def _find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every word (between blanks and line feeds) of concatenated UTF-8 texts."""
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = (data != 32) & (data != 10)
+    edge = inside[1:] != inside[:-1]
+    opens, closes = edge & inside[1:], edge & inside[:-1]
+    bounds = offsets[(offsets > 0) & (offsets < len(data))]
+    split = bounds[inside[bounds] & inside[bounds + 1]]
+    opens[split] = closes[split] = True
+    return np.flatnonzero(opens), np.flatnonzero(closes)
+
+
+def _distinct(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One occurrence of each distinct word, and for each word which of these it equals. Words are found equal by hash and compared byte by byte."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(data)), out=total[1:])
+    size = end - begin
+    hashes = scrambled((total[end] - total[begin]) * _power("down", _INVERSE, len(data))[begin] + size.astype(np.uint64))
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    same = size == size[first[which]]
+    at = np.repeat(begin - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(int(size.sum()))
+    shift = np.repeat(np.where(same, begin[first[which]] - begin, 0), size)
+    differs = data[at] != data[at + shift]
+    same[np.repeat(np.arange(len(begin)), size)[differs]] = False
+    # Words whose hash clashes with another word's stand for themselves.
+    alone = np.flatnonzero(~same)
+    which[alone] = len(first) + np.arange(len(alone))
+    return np.concatenate((first, alone)), which
+
+
 class Words:
-    """Encodes texts word by word with a bounded memory of each word's ids and decoded text, for tokenizers that drop blanks.
+    """Encodes texts word by word with a bounded memory of each word's ids, decoded text and spans, for tokenizers that drop blanks.
 
     Such a tokenizer makes no token and no merge across a blank, so a text's ids are those of its words in a row; and if it has no decoder,
-    its tokens are decoded with blanks between, word by word too.
+    its tokens are decoded with blanks between, word by word too. Each distinct word of a part of the input is looked up once.
     """
 
     def __init__(self, path: str):
         self.tok, self.path = tokenizer(path), path
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[bytes, tuple[bytes, bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes, bytes]] = {}
 
     @staticmethod
     def fits(path: str) -> bool:
         return drops_blanks(_declared(path)) and tokenizer(path).decoder is None
 
-    def _encode_words(self, words: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Ids and decoded text of each word; WORDS_AT_ONCE words go to the tokenizer as one text, whose tokens lie in one word each."""
+    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        """Ids, decoded text and spans (in characters of the word); WORDS_AT_ONCE words go to the tokenizer as one text, whose tokens lie in one word each."""
         tokens = _tokens(self.path)
-        parts = [words[i:i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        parts = [[w.decode("utf-8", "surrogatepass") for w in words[i:i + WORDS_AT_ONCE]] for i in range(0, len(words), WORDS_AT_ONCE)]
         for part, e in zip(parts, self.tok.encode_batch([" ".join(part) for part in parts], add_special_tokens=False)):
             starts = np.cumsum([0, *[len(w) + 1 for w in part]])
-            at = np.searchsorted([o[0] for o in e.offsets], starts).tolist()
-            ids, names = np.array(e.ids, dtype="<u4").tobytes(), [tokens[i] for i in e.ids]
-            for begin, end in zip(at, at[1:]):
-                yield ids[4 * begin:4 * end], " ".join(names[begin:end])
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Each text's ids as 32-bit little-endian integers, and its decoded text."""
+            where = np.array(e.offsets, dtype="<i4").reshape(-1, 2)
+            at = np.searchsorted(where[:, 0], starts)
+            spans = (where - np.repeat(starts[:-1], np.diff(at))[:, None]).astype("<i4").tobytes()
+            ids, names, at = np.array(e.ids, dtype="<u4").tobytes(), [tokens[i] for i in e.ids], at.tolist()
+            for a, b in zip(at, at[1:]):
+                yield ids[4 * a:4 * b], " ".join(names[a:b]).encode(), spans[8 * a:8 * b]
+
+    def _look_up(self, words: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
+        """The entries of distinct words; what was used lately is remembered."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys([w for words in split for w in words if w not in known]))
-        kept = [w for w in new if w in older]
-        known.update((w, older[w]) for w in kept)
-        new = [w for w in new if w not in known]
-        found = dict(zip(new, self._encode_words(new)))
-        known.update(found)
-        out = []
-        for words in split:
-            entries = [known[w] for w in words]
-            decoded = [e[1] for e in entries]
-            # A word without tokens (none, or blanks of another kind) leaves no gap.
-            out.append((b"".join([e[0] for e in entries]), " ".join(filter(None, decoded) if "" in decoded else decoded)))
-        for w in new:
-            if len(w) > KNOWN_CHARS:
-                del known[w]
+        entries = [known.get(w) or older.get(w) for w in words]
+        new = [i for i, e in enumerate(entries) if e is None]
+        for i, entry in zip(new, self._encode_words([words[i] for i in new])):
+            entries[i] = entry
+        known.update((w, e) for w, e in zip(words, entries) if len(w) <= KNOWN_BYTES)
+        return entries
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> list[tuple[bytes, bytes, bytes | None]]:
+        """Of each text ``data[offsets[i]:offsets[i + 1]]`` the ids as 32-bit little-endian integers, the decoded text, and the tokens' spans if wanted."""
+        begin, end = _find_words(data, offsets)
+        first, which = _distinct(data, begin, end)
+        raw = data.tobytes()
+        entries = self._look_up([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
+        ids, decoded, silent = [e[0] for e in entries], [e[1] for e in entries], any(not e[1] for e in entries)
+        bounds, order, out = np.searchsorted(begin, offsets).tolist(), which.tolist(), []
+        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))) if spans else None
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            own, place = order[a:b], None
+            # A word without tokens (blanks of another kind) leaves no gap.
+            shown = [k for k in own if decoded[k]] if silent else own
+            if spans:
+                inner = [entries[k][2] for k in own]
+                shift = np.repeat(chars[begin[a:b]] - chars[offsets[i]], [len(x) // 8 for x in inner])
+                place = (np.frombuffer(b"".join(inner), dtype="<i4").reshape(-1, 2) + shift[:, None]).astype("<i4").tobytes()
+            out.append((b"".join([ids[k] for k in own]), b" ".join([decoded[k] for k in shown]), place))
         return out
 
 
@@ -204,23 +247,37 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def _encode_all(path: str, texts: list[str], words: Words | None) -> list[tuple[bytes, str | None]]:
-    """Ids and, where words give it on the way, the decoded text of each text; equal texts are encoded once."""
-    once = list(dict.fromkeys(texts))
-    if words:
-        found = words.encode(once)
-    else:
-        found = [(np.array(e.ids, dtype="<u4").tobytes(), None) for e in tokenizer(path).encode_batch_fast(once, add_special_tokens=False)]
-    if len(once) == len(texts):
-        return found
-    by_text = dict(zip(once, found))
-    return [by_text[t] for t in texts]
-
-
-def _digest(path: str, ids: bytes, decoded: str | None = None) -> tuple[int, str, str]:
+def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and offsets of a string column without nulls."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data if data is not None else b"", dtype=np.uint8)
+    return data[at[0]:at[-1]], at - at[0]
+
+
+def _encode_column(path: str, texts: pa.Array) -> Iterator[tuple[int, list[tuple[bytes, bytes | None]]]]:
+    """Rows at a time, and of each the ids and, where words give it on the way, the decoded text."""
+    data, offsets = _raw(texts)
+    words, begin = _words(path) if Words.fits(path) else None, 0
+    while begin < len(texts):
+        end = min(max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK_BYTES))), len(texts))
+        if words:
+            yield end - begin, [e[:2] for e in words.encode(data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin])]
+        else:
+            # Equal texts are encoded once.
+            part = texts.slice(begin, end - begin).to_pylist()
+            once = list(dict.fromkeys(part))
+            found = tokenizer(path).encode_batch_fast(once, add_special_tokens=False)
+            by_text = {t: (np.array(e.ids, dtype="<u4").tobytes(), None) for t, e in zip(once, found)}
+            yield end - begin, [by_text[t] for t in part]
+        begin = end
+
+
+def _digest(path: str, ids: bytes, decoded: bytes | None = None) -> tuple[int, str, str]:
     if decoded is None:
-        decoded = decode_ids(path, np.frombuffer(ids, dtype="<u4").tolist())
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        decoded = decode_ids(path, np.frombuffer(ids, dtype="<u4").tolist()).encode("utf-8", "surrogatepass")
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, finish: Callable, kind: str) -> DataFrame:
@@ -231,32 +288,30 @@ def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, fini
     own = rows.schema["doc_id"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path) if Words.fits(path) else None
         for batch in batches:
-            texts, begin, size = batch.column(1).to_pylist(), 0, 0
-            for i, one in enumerate(texts):
-                size += len(one)
-                if size >= CHUNK_CHARS or i + 1 == len(texts):
-                    found = [finish(path, *one) for one in _encode_all(path, texts[begin:i + 1], words)]
-                    columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), *columns], names=["doc_id", *names])
-                    begin, size = i + 1, 0
+            at = 0
+            for size, encoded in _encode_column(path, batch.column(1)):
+                columns = [pa.array(c, t) for c, t in zip(zip(*[finish(path, *one) for one in encoded]), types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), *columns], names=["doc_id", *names])
+                at += size
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        words = _words(path) if Words.fits(path) else None
         for batch in batches:
-            for sha, part, piece in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                node = encode_node(tok, piece)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([sha]), pa.array([part], pa.int32()), pa.array([piece]), pa.array([node.ids], pa.list_(pa.int32())),
-                    pa.array([[x for span in node.spans for x in span]], pa.list_(pa.int32())),
-                ], names=["sha", "part", "piece", "ids", "spans"])
+            if words:
+                found = [(ids, spans) for ids, _, spans in words.encode(*_raw(batch.column(2)), spans=True)]
+            else:
+                nodes = [encode_node(tokenizer(path), piece) for piece in batch.column(2).to_pylist()]
+                found = [(np.array(n.ids, dtype="<u4").tobytes(), np.array(n.spans, dtype="<i4").tobytes()) for n in nodes]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), batch.column(2), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()),
+            ], names=["sha", "part", "piece", "ids", "spans"])
 
     def tree(group: pa.Table) -> pa.Table:
         tok = tokenizer(path)
         group = group.sort_by("part")
         nodes = [
-            Node(p, i, list(zip(s[::2], s[1::2])))
+            Node(p, np.frombuffer(i, dtype="<u4").tolist(), list(zip(*np.frombuffer(s, dtype="<i4").reshape(-1, 2).T.tolist())))
             for p, i, s in zip(*(group.column(c).to_pylist() for c in ("piece", "ids", "spans")))
         ]
         whole = join_tree(lambda t: encode_node(tok, t), nodes)
@@ -270,7 +325,7 @@ def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, fini
     wide = F.expr(f"int(ceil(char_length(text) / pow(2, ceil(log2(char_length(text) / {leaf})))))")
     parts = F.expr("transform(sequence(0, int((char_length(text) - 1) div wide)), i -> struct(i AS part, substring(text, i * wide + 1, wide) AS piece))")
     cut = texts.withColumn("wide", wide).select("sha", F.explode(parts).alias("p")).select("sha", "p.part", "p.piece")
-    encoded = cut.repartition("sha", "part").mapInArrow(leaves, "sha string, part int, piece string, ids array<int>, spans array<int>")
+    encoded = cut.repartition("sha", "part").mapInArrow(leaves, "sha string, part int, piece string, ids binary, spans binary")
     joined = encoded.groupBy("sha").applyInArrow(tree, f"sha string, {kind}")
     return direct.unionByName(long.select("doc_id", "sha").join(joined, "sha").drop("sha"))
 

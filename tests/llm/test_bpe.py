@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from proofline.llm import bpe
@@ -68,10 +69,21 @@ def test_words_equal_whole_texts(monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 5)
     words = bpe.Words(path)
     texts = long_texts() + ["", " ", "a \u0301b", "a\n\u0301", "x\u00a0y \u2003z", "<|endoftext|> a<|startoftext|>", "it's 'll"]
+    data, offsets = bpe._raw(pa.array(texts))
     for _ in range(2):
-        for text, (ids, decoded) in zip(texts, words.encode(texts)):
-            want = TOK.encode(text, add_special_tokens=False).ids
-            assert np.frombuffer(ids, "<u4").tolist() == want and decoded == TOK.decode(want, skip_special_tokens=False)
+        for text, (ids, decoded, spans) in zip(texts, words.encode(data, offsets, spans=True)):
+            want = TOK.encode(text, add_special_tokens=False)
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids and decoded.decode() == TOK.decode(want.ids, skip_special_tokens=False)
+            assert [tuple(x) for x in np.frombuffer(spans, "<i4").reshape(-1, 2).tolist()] == want.offsets
+
+
+def test_words_with_clashing_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "scrambled", lambda x: x % np.uint64(3))
+    data, offsets = bpe._raw(pa.array(["the cat the dog cat", "", "a cat", "éa the"]))
+    begin, end = bpe._find_words(data, offsets)
+    first, which = bpe._distinct(data, begin, end)
+    raw = data.tobytes()
+    assert [raw[begin[first[k]]:end[first[k]]] for k in which] == [raw[a:b] for a, b in zip(begin, end)] == "the cat the dog cat a cat éa the".encode().split()
 
 
 def test_word_by_word_only_where_the_declaration_allows_it():
