@@ -32,9 +32,9 @@ LEAF_CHARS = 32_768
 WINDOW = 64
 RUN = 4
 #: Bytes of text worked on at once.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 #: Words remembered by a task (twice as many while they are replaced), the longest one that is, and words encoded at once.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 120_000
 KNOWN_BYTES = 64
 WORDS_AT_ONCE = 512
 
@@ -256,12 +256,20 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
+def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK_BYTES."""
+    begin, count = 0, len(offsets) - 1
+    while begin < count:
+        end = min(max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK_BYTES))), count)
+        yield begin, end
+        begin = end
+
+
 def _encode_column(path: str, texts: pa.Array) -> Iterator[tuple[int, list[tuple[bytes, bytes | None]]]]:
     """Rows at a time, and of each the ids and, where words give it on the way, the decoded text."""
     data, offsets = _raw(texts)
-    words, begin = _words(path) if Words.fits(path) else None, 0
-    while begin < len(texts):
-        end = min(max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK_BYTES))), len(texts))
+    words = _words(path) if Words.fits(path) else None
+    for begin, end in _slices(offsets):
         if words:
             yield end - begin, [e[:2] for e in words.encode(data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin])]
         else:
@@ -271,7 +279,6 @@ def _encode_column(path: str, texts: pa.Array) -> Iterator[tuple[int, list[tuple
             found = tokenizer(path).encode_batch_fast(once, add_special_tokens=False)
             by_text = {t: (np.array(e.ids, dtype="<u4").tobytes(), None) for t, e in zip(once, found)}
             yield end - begin, [by_text[t] for t in part]
-        begin = end
 
 
 def _digest(path: str, ids: bytes, decoded: bytes | None = None) -> tuple[int, str, str]:
@@ -298,14 +305,18 @@ def _results(docs: DataFrame, doc_id: str, text: str, path: str, leaf: int, fini
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path) if Words.fits(path) else None
         for batch in batches:
-            if words:
-                found = [(ids, spans) for ids, _, spans in words.encode(*_raw(batch.column(2)), spans=True)]
-            else:
-                nodes = [encode_node(tokenizer(path), piece) for piece in batch.column(2).to_pylist()]
-                found = [(np.array(n.ids, dtype="<u4").tobytes(), np.array(n.spans, dtype="<i4").tobytes()) for n in nodes]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), batch.column(2), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()),
-            ], names=["sha", "part", "piece", "ids", "spans"])
+            data, offsets = _raw(batch.column(2))
+            for begin, end in _slices(offsets):
+                rows = batch.slice(begin, end - begin)
+                if words:
+                    encoded = words.encode(data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin], spans=True)
+                    found = [(ids, spans) for ids, _, spans in encoded]
+                else:
+                    nodes = [encode_node(tokenizer(path), piece) for piece in rows.column(2).to_pylist()]
+                    found = [(np.array(n.ids, dtype="<u4").tobytes(), np.array(n.spans, dtype="<i4").tobytes()) for n in nodes]
+                yield pa.RecordBatch.from_arrays([
+                    *rows.columns, pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()),
+                ], names=["sha", "part", "piece", "ids", "spans"])
 
     def tree(group: pa.Table) -> pa.Table:
         tok = tokenizer(path)
