@@ -24,17 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.shingles import _BASE, _INVERSE, _power, scrambled
+from proofline.llm.shingles import _BASE, _INVERSE, _LOWER, _power, scrambled
 
 #: Longest text, in code points, that is encoded in one piece.
 LEAF_CHARS = 32_768
 #: First window on either side of a join, and the run of tokens that must agree.
 WINDOW = 64
 RUN = 4
+#: Bytes that are ASCII letters, and marks a word may be cut before: what is no letter, digit, blank or apostrophe.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"]] = True
 #: Bytes of text worked on at once.
 CHUNK_BYTES = 1 << 20
 #: Words remembered by a task (twice as many while they are replaced), the longest one that is, and words encoded at once.
-KNOWN_WORDS = 120_000
+KNOWN_WORDS = 250_000
 KNOWN_BYTES = 64
 WORDS_AT_ONCE = 512
 
@@ -144,6 +149,16 @@ def drops_blanks(declared: dict) -> bool:
     return splits and plain and whole and declared.get("post_processor") is None
 
 
+def cuts_finer(declared: dict) -> bool:
+    """Whether a word may also be cut before a punctuation mark (but an apostrophe) after a letter, and A-Z be lowered in words of ASCII alone."""
+    parts = lambda x, inner: x[inner] if x and x["type"] == "Sequence" else [x] if x else []
+    first = (parts(declared.get("pre_tokenizer"), "pretokenizers") or [{"type": None}])[0]
+    lowers = any(n["type"] == "Lowercase" for n in parts(declared.get("normalizer"), "normalizers"))
+    # A mark inside an added token's name must not be cut off; such names begin and end with one.
+    marked = all(t["content"][:1] == "<" and t["content"][-1:] == ">" and t["content"].lower() == t["content"] for t in declared.get("added_tokens") or [])
+    return drops_blanks(declared) and first["type"] == "Split" and lowers and marked
+
+
 @functools.lru_cache(maxsize=4)
 def _declared(path: str) -> dict:
     return json.loads(tokenizer(path).to_str())
@@ -161,6 +176,21 @@ def _find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(opens), np.flatnonzero(closes)
 
 
+def _cut_finer(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut before marks after letters, and their bytes with A-Z lowered in words of ASCII alone. What holds a ``<`` or ``>`` stays as it is."""
+    high = np.concatenate(([0], np.cumsum((data >= 128) | (data == 60) | (data == 62))))
+    plain = high[end] == high[begin]
+    change = np.zeros(len(data) + 1, dtype=np.int8)
+    change[begin[plain]] = 1
+    np.add.at(change, end[plain], -1)
+    inner = np.cumsum(change[:-1]).astype(bool)
+    low = np.where(inner, _LOWER[data], data)
+    letter = _LETTER[data]
+    cut = np.flatnonzero(letter[:-1] & _MARK[data[1:]] & inner[:-1] & inner[1:]) + 1
+    begin, end = np.sort(np.concatenate((begin, cut))), np.sort(np.concatenate((end, cut)))
+    return low, begin, end
+
+
 def _distinct(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One occurrence of each distinct word, and for each word which of these it equals. Words are found equal by hash and compared byte by byte."""
     total = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -187,7 +217,7 @@ class Words:
     """
 
     def __init__(self, path: str):
-        self.tok, self.path = tokenizer(path), path
+        self.tok, self.path, self.finer = tokenizer(path), path, cuts_finer(_declared(path))
         self.known: dict[bytes, tuple[bytes, bytes, bytes]] = {}
         self.older: dict[bytes, tuple[bytes, bytes, bytes]] = {}
 
@@ -223,8 +253,9 @@ class Words:
     def encode(self, data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> list[tuple[bytes, bytes, bytes | None]]:
         """Of each text ``data[offsets[i]:offsets[i + 1]]`` the ids as 32-bit little-endian integers, the decoded text, and the tokens' spans if wanted."""
         begin, end = _find_words(data, offsets)
-        first, which = _distinct(data, begin, end)
-        raw = data.tobytes()
+        low, begin, end = _cut_finer(data, begin, end) if self.finer else (data, begin, end)
+        first, which = _distinct(low, begin, end)
+        raw = low.tobytes()
         entries = self._look_up([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
         ids, decoded, silent = [e[0] for e in entries], [e[1] for e in entries], any(not e[1] for e in entries)
         bounds, order, out = np.searchsorted(begin, offsets).tolist(), which.tolist(), []

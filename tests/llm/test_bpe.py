@@ -69,6 +69,9 @@ def test_words_equal_whole_texts(monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 5)
     words = bpe.Words(path)
     texts = long_texts() + ["", " ", "a \u0301b", "a\n\u0301", "x\u00a0y \u2003z", "<|endoftext|> a<|startoftext|>", "it's 'll"]
+    rng = random.Random(11)
+    texts += ["".join(rng.choices("aB'sT!,.1-<|>é\u0301 \n$e", k=rng.randint(1, 60))) for _ in range(400)]
+    texts += ["a,b x<|endoftext|>y, Z!<|EndOfText|> a.<|startoftext|>", "It's, It'S !'s, a'!b", "J\u030c J,\u030c"]
     data, offsets = bpe._raw(pa.array(texts))
     for _ in range(2):
         for text, (ids, decoded, spans) in zip(texts, words.encode(data, offsets, spans=True)):
@@ -96,4 +99,6 @@ def test_word_by_word_only_where_the_declaration_allows_it():
         {"normalizer": {"type": "Prepend", "prepend": "_"}}, {"post_processor": {"type": "ByteLevel"}},
     ):
         assert not bpe.drops_blanks(declared | change)
-    assert bpe.drops_blanks(declared | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "normalizer": None})
+    plain = declared | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "normalizer": None}
+    assert bpe.drops_blanks(plain) and bpe.cuts_finer(declared) and not bpe.cuts_finer(plain)
+    assert not bpe.cuts_finer(declared | {"added_tokens": [token | {"content": "a,b"}]})
