@@ -8,6 +8,8 @@ counts; only the rest of a pool, again counts, reaches the per-pool solver.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -28,68 +30,122 @@ def class_counts(expected: DataFrame, actual: DataFrame, pool: Sequence[str]) ->
     return both.groupBy(*pool, *CLASS).agg(F.sum("e").alias("expected"), F.sum("a").alias("actual"))
 
 
-def best_flow(demand: dict, supply: dict, usage_weight: int, key_weight: int) -> list[tuple]:
-    """Pair leftover classes for the highest total score by repeated best augmenting paths.
+class Network:
+    """A flow network with costs: arcs in pairs, the reverse of arc i is i ^ 1."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+
+    def connect(self, left: int, right: int, room: int, cost: int) -> int:
+        self.out[left].append(len(self.to))
+        self.out[right].append(len(self.to) + 1)
+        self.to += [right, left]
+        self.room += [room, 0]
+        self.cost += [cost, -cost]
+        return len(self.to) - 2
+
+    def distances(self, source: int, potential: list[int]) -> list[float]:
+        """Shortest distances in reduced costs, which are never negative, by a heap."""
+        best = [math.inf] * len(self.out)
+        best[source], heap = 0, [(0, source)]
+        while heap:
+            far, node = heapq.heappop(heap)
+            if far > best[node]:
+                continue
+            for arc in self.out[node]:
+                if self.room[arc]:
+                    after = self.to[arc]
+                    reach = far + self.cost[arc] + potential[node] - potential[after]
+                    if reach < best[after]:
+                        best[after] = reach
+                        heapq.heappush(heap, (reach, after))
+        return best
+
+    def block(self, source: int, sink: int, potential: list[int]) -> bool:
+        """Push flow along arcs of no reduced cost, by levels, until no level graph reaches the sink."""
+        pushed = False
+        while True:
+            level, queue = {source: 0}, [source]
+            for node in queue:
+                for arc in self.out[node]:
+                    after = self.to[arc]
+                    if self.room[arc] and after not in level and self.cost[arc] + potential[node] == potential[after]:
+                        level[after] = level[node] + 1
+                        queue.append(after)
+            if sink not in level:
+                return pushed
+            turn, path = [0] * len(self.out), []
+            while True:
+                node = self.to[path[-1]] if path else source
+                if node == sink:
+                    amount = min(self.room[arc] for arc in path)
+                    for arc in path:
+                        self.room[arc] -= amount
+                        self.room[arc ^ 1] += amount
+                    pushed = True
+                    path = path[:next(i for i, arc in enumerate(path) if not self.room[arc])]
+                    continue
+                while turn[node] < len(self.out[node]):
+                    arc = self.out[node][turn[node]]
+                    after = self.to[arc]
+                    if self.room[arc] and level.get(after) == level[node] + 1 and self.cost[arc] + potential[node] == potential[after]:
+                        path.append(arc)
+                        break
+                    turn[node] += 1
+                else:
+                    if not path:
+                        break
+                    turn[self.to[path.pop() ^ 1]] += 1
 
-    Each class connects only to a hub for its usage and a hub for its key size, so the network has as
-    many edges as classes rather than as pairs.
-    """
-    cost: dict[tuple, int] = {}
-    room: dict[tuple, int] = {}
-    links: dict[object, set] = {}
 
-    def connect(left: object, right: object, capacity: int, price: int) -> None:
-        room[left, right], room[right, left] = capacity, 0
-        cost[left, right], cost[right, left] = price, -price
-        links.setdefault(left, set()).add(right)
-        links.setdefault(right, set()).add(left)
+def best_flow(demand: dict, supply: dict, usage_weight: int, key_weight: int) -> list[tuple]:
+    """Pair leftover classes for the highest total score.
 
+    Each class connects only to a hub for its usage and a hub for its key size, so the network has as many arcs as classes rather than as pairs.
+    Flow is pushed along all shortest paths of one length at a time; lengths are sums of few weights, so there are few rounds, each
+    a search with a heap and a blocking flow.
+    """
+    left, right = sorted(demand.items()), sorted(supply.items())
+    hubs = {h: 2 + i for i, h in enumerate(sorted({("key", k[1]) for k, _ in left + right} | {("usage", k[0]) for k, _ in left + right}, key=repr))}
+    first = 2 + len(hubs)
+    net = Network(first + len(left) + len(right))
     limit = max(sum(demand.values()), sum(supply.values()))
-    for side, classes in (("e", demand), ("a", supply)):
-        for (usage, key), count in sorted(classes.items()):
-            node = (side, usage, key)
-            for hub, price in (((side, "usage", usage), usage_weight), ((side, "key", key), key_weight)):
-                if side == "e":
-                    connect(node, ("hub",) + hub[1:], limit, 0)
-                else:
-                    connect(("hub",) + hub[1:], node, limit, -price)
-            if side == "e":
-                connect("source", node, count, 0)
-            else:
-                connect(node, "sink", count, 0)
-    order = sorted(links, key=repr)
+    entering: dict[int, list] = {h: [] for h in hubs.values()}
+    leaving: dict[int, list] = {h: [] for h in hubs.values()}
+    # Potentials are the distances of the network without flow, where every arc leads from the source to the sink.
+    potential = [0] * len(net.out)
+    for i, (key, count) in enumerate(left):
+        net.connect(0, first + i, count, 0)
+        for hub in (hubs["usage", key[0]], hubs["key", key[1]]):
+            entering[hub].append((key, net.connect(first + i, hub, limit, 0)))
+    for i, (key, count) in enumerate(right):
+        node = first + len(left) + i
+        for hub, price in ((hubs["usage", key[0]], usage_weight), (hubs["key", key[1]], key_weight)):
+            leaving[hub].append((key, net.connect(hub, node, limit, -price)))
+            if entering[hub]:
+                potential[node] = min(potential[node], -price)
+        net.connect(node, 1, count, 0)
+        potential[1] = min(potential[1], potential[node])
     while True:
-        distance, step = {"source": 0}, {}
-        for _ in order:
-            changed = False
-            for node in order:
-                if node not in distance:
-                    continue
-                for after in sorted(links[node], key=repr):
-                    if room[node, after] > 0 and distance[node] + cost[node, after] < distance.get(after, float("inf")):
-                        distance[after], step[after], changed = distance[node] + cost[node, after], node, True
-            if not changed:
-                break
-        if distance.get("sink", 0) >= 0:
+        reach = net.distances(0, potential)
+        if math.isinf(reach[1]):
+            break
+        # What lies further than the sink keeps its place behind it.
+        potential = [p + min(r, reach[1]) for p, r in zip(potential, reach)]
+        if potential[1] - potential[0] >= 0 or not net.block(0, 1, potential):
             break
-        path = ["sink"]
-        while path[-1] != "source":
-            path.append(step[path[-1]])
-        path.reverse()
-        amount = min(room[pair] for pair in zip(path, path[1:]))
-        for left, right in zip(path, path[1:]):
-            room[left, right] -= amount
-            room[right, left] += amount
     pairs = []
-    for hub in [n for n in order if isinstance(n, tuple) and n[0] == "hub"]:
-        entering = [[n[1:], room[hub, n]] for n in sorted(links[hub], key=repr) if n[0] == "e" and room[hub, n] > 0]
-        leaving = [[n[1:], room[n, hub]] for n in sorted(links[hub], key=repr) if n[0] == "a" and room[n, hub] > 0]
-        pairs += drain(entering, leaving)
-    for left, right, count in pairs:
-        demand[left] -= count
-        supply[right] -= count
-    rest = drain([[k, n] for k, n in sorted(demand.items()) if n], [[k, n] for k, n in sorted(supply.items()) if n])
-    return pairs + rest
+    for hub in hubs.values():
+        into = [[key, net.room[arc ^ 1]] for key, arc in entering[hub] if net.room[arc ^ 1]]
+        out = [[key, net.room[arc ^ 1]] for key, arc in leaving[hub] if net.room[arc ^ 1]]
+        pairs += drain(into, out)
+    for e, a, count in pairs:
+        demand[e] -= count
+        supply[a] -= count
+    return pairs + drain([[k, n] for k, n in sorted(demand.items()) if n], [[k, n] for k, n in sorted(supply.items()) if n])
 
 
 def drain(left: list[list], right: list[list]) -> list[tuple]:

@@ -1,22 +1,31 @@
-"""PEM blocks and evidence from decoded certificates."""
+"""PEM blocks, the certificates in them, and evidence from their fields."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import catalogs as C
 from proofline.functions.lookup import column, lookup
+from proofline.operators import x509
 
 BLOCK = r"(?s)-----BEGIN CERTIFICATE-----.*?-----END CERTIFICATE-----"
 
 
-def pem_blocks(files: DataFrame) -> DataFrame:
-    """One row per certificate block with its position and whether its body can be a certificate.
+#: The fields of a certificate.
+FIELDS = {
+    "key_type": "string", "key_size": "int", "subject_cn": "string", "issuer": "string", "version": "string", "not_before": "string", "not_after": "string",
+    "serial_number": "string", "signature_hash_algorithm": "string", "signature_algorithm": "string", "eku_oids": "array<string>",
+    "key_usage": "array<string>", "is_ca": "boolean", "san": "array<string>",
+}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
 
-    A body is plausible when it is base64 of a DER sequence; decoding the fields is left to the
-    caller, who supplies the decoded table.
-    """
+def pem_blocks(files: DataFrame) -> DataFrame:
+    """One row per certificate block with its position and whether its body can be a certificate at all: base64 of a DER sequence."""
     blocks = files.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(BLOCK), F.lit(0))).alias("block", "pem"))
     body = F.regexp_replace("pem", r"-----[A-Z ]+-----|\s", "")
     der = F.try_to_binary(body, F.lit("base64"))
@@ -24,16 +33,31 @@ def pem_blocks(files: DataFrame) -> DataFrame:
     return blocks.withColumn("plausible", plausible)
 
 
-def pem_failures(files: DataFrame) -> DataFrame:
-    """Files without any block, or with a block that cannot be a certificate. Decided inside each row."""
-    blocks = F.regexp_extract_all("content", F.lit(BLOCK), F.lit(0))
+def decoded_blocks(files: DataFrame) -> DataFrame:
+    """Every block of every file with the fields of its certificate; ``decoded`` is false, and the fields null, where it holds none."""
 
-    def broken(pem: Column) -> Column:
-        der = F.try_to_binary(F.regexp_replace(pem, r"-----[A-Z ]+-----|\s", ""), F.lit("base64"))
-        return ~F.coalesce(F.startswith(F.hex(der), F.lit("30")), F.lit(False))
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x509.decode_pem(pem) for pem in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([f is not None for f in found], pa.bool_()),
+                *[pa.array([f and f[name] for f in found], _ARROW[kind]) for name, kind in FIELDS.items()],
+            ], names=["path", "block", "decoded", *FIELDS])
 
-    bad = F.col("content").isNull() | (F.size(blocks) == 0) | F.exists(blocks, broken)
-    return files.where(bad).select("path", F.lit("certificate_error").alias("reason"))
+    schema = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
+    return pem_blocks(files).select("path", "block", "pem").mapInArrow(decode, f"path string, block int, decoded boolean, {schema}")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """The certificates of PEM files: one row per block that holds one."""
+    return decoded_blocks(files).where("decoded").drop("decoded")
+
+
+def pem_failures(files: DataFrame) -> DataFrame:
+    """Files without any block, or with a block that holds no certificate; the file's other blocks still count."""
+    empty = F.col("content").isNull() | (F.size(F.regexp_extract_all("content", F.lit(BLOCK), F.lit(0))) == 0)
+    broken = decoded_blocks(files).where("not decoded").select("path").distinct()
+    return files.where(empty).select("path").unionByName(broken).select("path", F.lit("certificate_error").alias("reason"))
 
 
 def usage_from_eku(oids: Column | str) -> Column:

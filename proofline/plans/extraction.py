@@ -201,6 +201,35 @@ def e22_failures(t: Tables) -> DataFrame:
     return certificates.pem_failures(t.view("v_pem"))
 
 
+#: What the certificates of v_pem hold, by (doc_id - doc_id % 4) % 12.
+CERTIFICATE_VALUES = """(VALUES (0, 'RSA', 'encryption', 'rsa', 512, 'rsa.example', 'ca.example', '2051-01-02T03:04:05+00:00', '1001', 'sha256WithRSAEncryption', '1.3.6.1.5.5.7.3.1,1.3.6.1.5.5.7.3.2', '', false, 'a.example,10.0.0.1'), (4, 'ECDSA', 'signature', 'ec', 256, 'ec.example', 'ca.example', '2051-01-02T03:04:05+00:00', '1002', 'ecdsa-with-SHA256', '', 'digitalSignature,keyEncipherment', true, ''), (8, 'Ed25519', 'signature', 'ed25519', 0, 'ed.example', 'ca.example', '2051-01-02T03:04:05+00:00', '1003', 'ed25519', '1.3.6.1.5.5.7.3.3', '', false, ''))
+ c(variant, algorithm, category, key_type, key_size, subject_cn, issuer, not_after, serial_number, signature_algorithm, eku_oids, key_usage, is_ca, san)"""
+
+
+@query("e23_decoded_certificates", f"""
+SELECT path, CAST(0 AS INT) AS block, key_type, CAST(key_size AS INT) AS key_size, subject_cn, issuer, 'v3' AS version, '2026-01-01T00:00:00+00:00' AS not_before, not_after,
+       serial_number, signature_algorithm, eku_oids, key_usage, is_ca, san
+FROM v_pem p JOIN {CERTIFICATE_VALUES} ON (p.doc_id - p.pem_key) % 12 = c.variant WHERE p.pem_key IN (1, 2)""")
+def e23_decoded(t: Tables) -> DataFrame:
+    """Every certificate of the PEM files, decoded from its block."""
+    found = certificates.decoded(t.view("v_pem"))
+    return found.select(
+        "path", "block", "key_type", "key_size", "subject_cn", "issuer", "version", "not_before", "not_after", "serial_number", "signature_algorithm",
+        *[F.concat_ws(",", name).alias(name) for name in ("eku_oids", "key_usage")], "is_ca", F.concat_ws(",", "san").alias("san"),
+    )
+
+
+@query("e23_pem_evidence", f"""
+SELECT path AS location, algorithm, category, CAST(key_size AS INT) AS key_size, CASE c.variant WHEN 0 THEN 'tls' WHEN 4 THEN 'unknown' ELSE 'signature' END AS usage_raw,
+       CASE c.variant WHEN 4 THEN 'artifact_metadata' ELSE 'configured_protocol' END AS evidence_kind, CAST(0.95 AS DOUBLE) AS confidence, subject_cn, not_after
+FROM v_pem p JOIN {CERTIFICATE_VALUES} ON (p.doc_id - p.pem_key) % 12 = c.variant WHERE p.pem_key IN (1, 2)""")
+def e23_pem(t: Tables) -> DataFrame:
+    """Evidence from PEM files, without a table of decoded certificates."""
+    found = certificates.evidence(certificates.decoded(t.view("v_pem")))
+    details = [F.try_element_at("details", F.lit(name)).alias(name) for name in ("subject_cn", "not_after")]
+    return found.select("location", "algorithm", "category", "key_size", "usage_raw", "evidence_kind", F.col("confidence").cast("double").alias("confidence"), *details)
+
+
 @query("e23_certificate_evidence", """
 SELECT path AS location, CASE key_type WHEN 'rsa' THEN 'RSA' WHEN 'ec' THEN 'ECDSA' WHEN 'ed25519' THEN 'Ed25519' WHEN 'dsa' THEN 'DSA' ELSE key_type END AS algorithm,
        CASE key_type WHEN 'rsa' THEN 'encryption' WHEN 'X448PublicKey' THEN 'unknown' ELSE 'signature' END AS category, coalesce(key_size, 0) AS key_size,

@@ -11,7 +11,7 @@ from proofline import catalogs as C
 from proofline.functions import paths
 from proofline.operators import manifests, report
 from proofline.plans.correlation import scored
-from proofline.plans.extraction import CODE_HITS
+from proofline.plans.extraction import CERTIFICATE_VALUES, CODE_HITS
 from proofline.plans.registry import query
 from proofline.plans.views import Tables
 from proofline.session import ensure_checkpoint_dir
@@ -257,6 +257,7 @@ SELECT location, source, algorithm, count(*) AS records FROM (
  SELECT path AS location, 'rule' AS source, h.algorithm FROM v_code c JOIN {CODE_HITS} ON c.lang_key = h.lang_key AND c.snippet_key = h.snippet_key
  UNION ALL SELECT path, 'ast', f.algorithm FROM v_code c JOIN (VALUES (0, 'SHA-256'), (1, 'AES'), (1, 'AES'), (2, 'HMAC'), (4, 'TLS'), (4, 'TLS')) f(snippet_key, algorithm)
    ON c.snippet_key = f.snippet_key WHERE c.lang_key = 0
+ UNION ALL SELECT path, 'cert', c.algorithm FROM v_pem p JOIN {CERTIFICATE_VALUES} ON (p.doc_id - p.pem_key) % 12 = c.variant WHERE p.pem_key IN (1, 2)
  UNION ALL SELECT path, 'dep', p.algorithm FROM ({declared}) d JOIN (VALUES {provided}) p(ecosystem, package, algorithm) ON d.ecosystem = p.ecosystem AND d.package = p.package) found GROUP BY ALL"""
 
 
@@ -291,15 +292,15 @@ def s10_findings(t: Tables) -> DataFrame:
 
 @query("s10_job_row", f"""
 SELECT 'completed' AS status, total_files, total_files AS in_scope_files, failed_files, total_files - failed_files AS scanned_files,
- round(100.0::DOUBLE * (total_files - failed_files) / total_files, 2) AS coverage_pct, (SELECT count(*) FROM v_scored) AS assets_found, ast, rule, dep
+ round(100.0::DOUBLE * (total_files - failed_files) / total_files, 2) AS coverage_pct, (SELECT count(*) FROM v_scored) AS assets_found, ast, rule, dep, cert
 FROM (SELECT (SELECT count(*) FROM v_code) + (SELECT count(*) FROM v_manifests) + (SELECT count(*) FROM v_pem) AS total_files,
  (SELECT count(*) FROM v_code WHERE lang_key = 0 AND snippet_key = 5) + (SELECT count(*) FROM v_manifests WHERE (format_key = 1 AND name_key = 2) OR (format_key = 2 AND name_key = 3))
  + (SELECT count(*) FROM v_pem WHERE pem_key <> 1) AS failed_files),
- (SELECT sum(records) FILTER (WHERE source = 'ast')::BIGINT AS ast, sum(records) FILTER (WHERE source = 'rule')::BIGINT AS rule, sum(records) FILTER (WHERE source = 'dep')::BIGINT AS dep FROM ({full_scan_check()}))""")
+ (SELECT sum(records) FILTER (WHERE source = 'ast')::BIGINT AS ast, sum(records) FILTER (WHERE source = 'rule')::BIGINT AS rule, sum(records) FILTER (WHERE source = 'dep')::BIGINT AS dep, sum(records) FILTER (WHERE source = 'cert')::BIGINT AS cert FROM ({full_scan_check()}))""")
 def s10_job(t: Tables) -> DataFrame:
     """The job row of a persisted scan."""
     return sinks.stored(t.spark, persisted(t)[0], "jobs", 7).select(
-        "status", "total_files", "in_scope_files", "failed_files", "scanned_files", "coverage_pct", "assets_found", "ast", "rule", "dep"
+        "status", "total_files", "in_scope_files", "failed_files", "scanned_files", "coverage_pct", "assets_found", "ast", "rule", "dep", "cert"
     )
 
 

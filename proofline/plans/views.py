@@ -132,8 +132,8 @@ SELECT p_partkey AS row_id, p_partkey % 6 AS format_key, p_size % 4 AS name_key,
 FROM part""",
     "v_pem": """
 SELECT doc_id, concat('certs/c', CAST(doc_id AS VARCHAR), '.pem') AS path, doc_id % 4 AS pem_key,
-       concat(text, chr(10), CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('-----BEGIN CERTIFICATE-----', chr(10), 'MIIBAAEC', chr(10), '-----END CERTIFICATE-----')
-         WHEN 2 THEN concat('-----BEGIN CERTIFICATE-----', chr(10), 'MIIBAAEC', chr(10), '-----END CERTIFICATE-----', chr(10), '-----BEGIN CERTIFICATE-----', chr(10), 'AAECAwQF', chr(10), '-----END CERTIFICATE-----')
+       concat(text, chr(10), CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('-----BEGIN CERTIFICATE-----', chr(10), CASE (doc_id - doc_id % 4) % 12 WHEN 0 THEN '@rsa' WHEN 4 THEN '@ec' ELSE '@ed' END, chr(10), '-----END CERTIFICATE-----')
+         WHEN 2 THEN concat(concat('-----BEGIN CERTIFICATE-----', chr(10), CASE (doc_id - doc_id % 4) % 12 WHEN 0 THEN '@rsa' WHEN 4 THEN '@ec' ELSE '@ed' END, chr(10), '-----END CERTIFICATE-----'), chr(10), concat('-----BEGIN CERTIFICATE-----', chr(10), 'AAECAwQF', chr(10), '-----END CERTIFICATE-----'))
          ELSE '-----BEGIN CERTIFICATE----- truncated' END) AS content
 FROM documents""",
     "v_certs": """
@@ -147,6 +147,14 @@ FROM part""",
 SELECT event_id AS id, ts AS timestamp, concat('user', CAST(user_id AS VARCHAR)) AS actor_subject, event_type AS action, props AS details FROM events""",
 }
 
+#: Certificates made for the view: RSA for servers, an elliptic curve for an authority, Ed25519 for code. Their signatures are not valid.
+for _mark, _body in (
+    ("@rsa", "MIIBRDCCASCgAwIBAgICA+kwCwYJKoZIhvcNAQELMCMxDDAKBgNVBAoTA09yZzETMBEGA1UEAwwKY2EuZXhhbXBsZTAgFw0yNjAxMDEwMDAwMDBaGA8yMDUxMDEwMjAzMDQwNVowJDEMMAoGA1UEChMDT3JnMRQwEgYDVQQDDAtyc2EuZXhhbXBsZTBcMA0GCSqGSIb3DQEBAQUAA0sAMEgCQQC85c9Dgwxxws3MaSkvReZ4MJ1reZZe2jLa5EVQggHivXOrSHZ3NNfBx/3oBeyZEI3bW1+rj00+J92hSUxzzyVtAgMBAAGjPTA7MB0GA1UdJQQWMBQGCCsGAQUFBwMBBggrBgEFBQcDAjAaBgNVHREEEzARgglhLmV4YW1wbGWHBAoAAAEwCwYJKoZIhvcNAQELAxEAWlpaWlpaWlpaWlpaWlpaWg=="),
+    ("@ec", "MIIBAjCB4KADAgECAgID6jAKBggqhkjOPQQDAjAjMQwwCgYDVQQKEwNPcmcxEzARBgNVBAMMCmNhLmV4YW1wbGUwIBcNMjYwMTAxMDAwMDAwWhgPMjA1MTAxMDIwMzA0MDVaMCMxDDAKBgNVBAoTA09yZzETMBEGA1UEAwwKZWMuZXhhbXBsZTA4MBMGByqGSM49AgEGCCqGSM49AwEHAyEA8r/HAnuiIv8R6e9f4qmHe9sEKEaMb7akWPhyz2bd0HWjIzAhMA8GA1UdEwEB/wQFMAMBAf8wDgYDVR0PAQH/BAQDAgWgMAoGCCqGSM49BAMCAxEAWlpaWlpaWlpaWlpaWlpaWg=="),
+    ("@ed", "MIHeMIHBoAMCAQICAgPrMAUGAytlcDAjMQwwCgYDVQQKEwNPcmcxEzARBgNVBAMMCmNhLmV4YW1wbGUwIBcNMjYwMTAxMDAwMDAwWhgPMjA1MTAxMDIwMzA0MDVaMCMxDDAKBgNVBAoTA09yZzETMBEGA1UEAwwKZWQuZXhhbXBsZTAqMAUGAytlcAMhAHthTkKKGG9KTBFtr0mf1+gN/h+vQi1QzS0Ybtm55NbjoxcwFTATBgNVHSUEDDAKBggrBgEFBQcDAzAFBgMrZXADEQBaWlpaWlpaWlpaWlpaWlpa"),
+):
+    VIEWS["v_pem"] = VIEWS["v_pem"].replace(_mark, _body)
+
 # Check-side only: the line view differs in text between the engines.
 LINES_CHECK = """
 SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) a FROM documents)"""

@@ -24,7 +24,8 @@ class Scan:
 
 def scan(files: DataFrame, profile: str = "source", decoded_certificates: DataFrame | None = None, max_bytes: int | None = None, hold: bool = False) -> Scan:
     """Evidence of all readable in-scope files. A file one collector cannot parse is a failure row, and
-    the other collectors still report on it. ``max_bytes`` makes larger files failures, if given.
+    the other collectors still report on it. ``max_bytes`` makes larger files failures, if given. Certificates are decoded from the files, unless
+    a table of decoded ones is given.
 
     With ``hold`` the files are opened once: what is in scope is written as Parquet, split by the kind of file, and evidence
     and failures read only the kinds they need of that. Without it each collector reads the files table itself, which suits a
@@ -43,9 +44,8 @@ def scan(files: DataFrame, profile: str = "source", decoded_certificates: DataFr
     facts = python_calls.facts(of("python"))
     parts = [
         python_calls.evidence(facts), source_rules.evidence(of("python", "source")), manifests.evidence(of("manifest")),
+        certificates.evidence(certificates.decoded(of("pem")) if decoded_certificates is None else decoded_certificates),
     ]
-    if decoded_certificates is not None:
-        parts.append(certificates.evidence(decoded_certificates))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)

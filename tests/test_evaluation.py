@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import functools
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -145,3 +148,48 @@ def test_corpus_entry_errors(spark):
     errors = [r["errors"] for r in corpus.entry_errors(rows).collect()]
     assert errors[0] == [] and set(errors[1]) == {"missing:positive", "line_range", "file_sha256", "commit_sha", "operation", "algorithm_family"}
     assert {r["gate"]: r["passed"] for r in corpus.corpus_gates(rows.fillna(False), full=False).collect()} == {"families_covered": False, "duplicate_ids": False}
+
+
+def brute_total(demand, supply, usage_weight, key_weight):
+    """The highest total of a pairing, by trying every partner for each expected operation in turn."""
+    left = [k for k, n in sorted(demand.items()) for _ in range(n)]
+
+    @functools.lru_cache(maxsize=None)
+    def best(i, rest):
+        if i == len(left):
+            return 0
+        found = best(i + 1, rest)
+        for k, n in rest:
+            if n:
+                after = tuple((q, m - (q == k)) for q, m in rest)
+                found = max(found, (left[i][0] == k[0]) * usage_weight + (left[i][1] == k[1]) * key_weight + best(i + 1, after))
+        return found
+
+    return best(0, tuple(sorted(supply.items())))
+
+
+def test_best_flow_reaches_the_highest_total():
+    rng = random.Random(8)
+    for _ in range(150):
+        sides = [collections.Counter((rng.choice("abc"), rng.choice([-1, 128, 256])) for _ in range(rng.randint(0, 6))) for _ in range(2)]
+        both = sides[0] & sides[1]
+        demand, supply = dict(sides[0] - both), dict(sides[1] - both)
+        weights = rng.choice([(101, 1), (3, 2), (8, 7)])
+        pairs = assign.best_flow(dict(demand), dict(supply), *weights)
+        total = sum(n * ((e[0] == a[0]) * weights[0] + (e[1] == a[1]) * weights[1]) for e, a, n in pairs)
+        assert total == brute_total(demand, supply, *weights)
+        assert sum(n for _, _, n in pairs) == min(sum(demand.values()), sum(supply.values()))
+        for side, counts in ((0, demand), (1, supply)):
+            used = collections.Counter()
+            for pair in pairs:
+                used[pair[side]] += pair[2]
+            assert all(used[k] <= counts[k] for k in used)
+
+
+def test_best_flow_of_thousands_of_classes():
+    rng = random.Random(9)
+    classes = [{(f"u{rng.randrange(300)}", rng.randrange(3_000)): rng.randint(1, 9) for _ in range(2_500)} for _ in range(2)]
+    started = time.time()
+    pairs = assign.best_flow(*[dict(c) for c in classes], 101, 1)
+    assert time.time() - started < 30
+    assert sum(n for _, _, n in pairs) == min(sum(c.values()) for c in classes)
