@@ -1,14 +1,19 @@
 """License notices in documents by conditional compression.
 
 Words that hint at a license open a candidate block: their line, or a bounded stretch of a very long line, with
-neighbouring hints in one block. A template of which too many words are missing from a block altogether cannot stand in it; for
-the others the block is compressed alone and with each template as raw zstandard dictionary. All of them are compared with it word
-by word, those that make it smaller most first, and one is confirmed if nearly all of its words stand in the block in
-order. How much a short notice saves in a long block says little, so no saving is required and no rank is too low. The exact differences (words missing from the template, words put in) are reported. What a confirmed notice covers is
-taken out, and the rest of the block is asked again, so a block may hold several notices.
-
-Every line of every whole text is read. A null or empty text has no notices. Repeated rows give repeated results; rows without
-doc_id are ordinary. Ties go to the template that covers more words, then to the earlier one.
+neighbouring hints in one block. Each template lays windows over the blocks, twice as wide as the longest notice of its wording
+can be and overlapping by half, so that every such notice lies whole in one of them. A window in which too many of the template's words are
+missing altogether is left out. The others are compressed alone and with the template as raw zstandard dictionary (both as
+bare lower-case words), and the number of bytes the template saves is the window's rank. The largest saving is confirmed first: a template
+stands there if nearly all of its words do, in order. Where one does, all templates are ranked once more by what they save on the very same
+words, as windows of different templates are not, and the first of them to be confirmed is the notice; the exact differences (words missing from
+it, words put in) are reported. It takes its words; windows that lose words to it are measured again without them. So a block may
+hold several notices, look-alikes of a confirmed notice have nothing left to stand on, and however little a notice saves, it
+has its turn: no saving is required and no rank is too low.
+
+Every line of every whole text is read. A null or empty text has no notices, an empty table no rows. Repeated rows give repeated results;
+rows without doc_id are ordinary. Other columns do not matter and may have any name. A very long text is read in one piece; the work
+grows with the words around its hints. Equal savings go to the longer template, then to the earlier one, then to the earlier window.
 """
 
 from __future__ import annotations
@@ -16,9 +21,11 @@ from __future__ import annotations
 import bisect
 import difflib
 import functools
+import heapq
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -115,16 +122,23 @@ def _compressors():
     alone = z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
     given = []
     for t in templates():
-        raw = z.ZstdCompressionDict(t.text.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+        raw = z.ZstdCompressionDict(_bare(t.words), dict_type=z.DICT_TYPE_RAWCONTENT)
         given.append(z.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
     return alone, given
 
 
-def sizes(block: str) -> tuple[int, list[int]]:
-    """Compressed size of a block alone, and given each template."""
-    raw = block.lower().encode("utf-8", "surrogatepass")
-    alone, given = _compressors()
-    return len(alone.compress(raw)), [len(c.compress(raw)) for c in given]
+def _bare(words: Sequence[str]) -> bytes:
+    return " ".join(words).encode("utf-8", "surrogatepass")
+
+
+def size_alone(words: Sequence[str]) -> int:
+    """Compressed size of a window's bare words."""
+    return len(_compressors()[0].compress(_bare(words)))
+
+
+def size_given(words: Sequence[str], template: int) -> int:
+    """Compressed size of a window's bare words by one who knows the template."""
+    return len(_compressors()[1][template].compress(_bare(words)))
 
 
 def candidate_blocks(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -182,64 +196,133 @@ def wording(template: Template, words: list[str]) -> tuple[float, int, int, list
     return len(have) / len(template.words), begin, end, missing, [words[i] for i in range(begin, end) if i not in used]
 
 
-def standing(t: Template, words: list[str], begin: int, end: int, low: int, high: int) -> tuple[float, int, int, list[str], list[str]] | None:
-    """``wording`` of a confirmed notice that shares words with begin to end and lies in low to high; None if there is none.
+def standing(t: Template, words: list[str], start: int, stop: int) -> tuple[float, int, int, list[str], list[str]] | None:
+    """``wording`` of a confirmed notice within start to stop; None if there is none.
 
-    What is not confirmed, or lies outside, does not hide a notice before or after it.
+    What is not confirmed does not hide a notice before or after it.
     """
-    # The notice may reach beyond the block by as many words as it has.
-    stretches = [(max(low, begin - len(t.words)), min(high, end + len(t.words)))]
+    stretches = [(start, stop)]
     while stretches:
         start, stop = stretches.pop()
-        if stop <= begin or start >= end or not may_stand(t, Counter(words[start:stop])):
+        if not may_stand(t, Counter(words[start:stop])):
             continue
         told = wording(t, words[start:stop])
         if told is None:
             continue
         covered, first, last, missing, put_in = told[0], start + told[1], start + told[2], *told[3:]
-        if covered >= COVERED and len(put_in) <= PUT_IN * len(t.words) and first < end and last > begin:
+        if covered >= COVERED and len(put_in) <= PUT_IN * len(t.words):
             return covered, first, last, missing, put_in
         stretches += [(last, stop), (start, first)]
     return None
 
 
+def reach(t: Template) -> int:
+    """The most words a confirmed notice of a template can take."""
+    return math.floor(len(t.words) * (1 + PUT_IN))
+
+
+def windows(words: list[str], asked: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(template, start, stop) of the windows over the blocks in which the template may stand.
+
+    Windows lie on a grid of the template's reach and are two steps wide: each notice of it lies whole in one.
+    """
+    longest = max(reach(t) for t in templates())
+    seen: set[tuple[int, int]] = set()
+    for begin, end in asked:
+        near = Counter(words[max(0, begin - longest):end + longest])
+        for i, t in enumerate(templates()):
+            if not may_stand(t, near):
+                continue
+            step = reach(t)
+            for k in range(max(0, (begin - step) // step), (end + step) // step + 1):
+                start, stop = k * step, min(len(words), (k + 2) * step)
+                if start < stop and (i, k) not in seen and may_stand(t, Counter(words[start:stop])):
+                    seen.add((i, k))
+                    yield i, start, stop
+
+
+class Taken:
+    """Words of confirmed notices, as stretches in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+
+    def add(self, start: int, stop: int) -> None:
+        at = bisect.bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.stops.insert(at, stop)
+
+    def left_of(self, start: int, stop: int) -> list[tuple[int, int]]:
+        """What is left of a window."""
+        out = []
+        for at in range(bisect.bisect_right(self.stops, start), len(self.starts)):
+            if self.starts[at] >= stop:
+                break
+            out.append((start, self.starts[at]))
+            start = self.stops[at]
+        return [(a, b) for a, b in [*out, (start, stop)] if a < b]
+
+
+def settled(words: list[str], template: int, told: tuple, taken: Taken) -> tuple[int, int, int, tuple]:
+    """(template, size alone, size given it, wording) of the notice on words where a template was confirmed.
+
+    The words it may reach to are compressed with every template that may stand there, and the template with those words, so that words
+    of either that the other lacks count; the first confirmed, by both sizes together, has it.
+    """
+    import zstandard as z
+
+    first, last = told[1:3]
+    room = reach(templates()[template])
+    start, stop = next(s for s in taken.left_of(max(0, last - room), min(len(words), first + room)) if s[0] <= first < s[1])
+    near, size = Counter(words[start:stop]), size_alone(words[start:stop])
+    able = {i: size_given(words[start:stop], i) for i, t in enumerate(templates()) if may_stand(t, near)}
+    seen = z.ZstdCompressionDict(_bare(words[start:stop]), dict_type=z.DICT_TYPE_RAWCONTENT)
+    back = z.ZstdCompressor(level=LEVEL, dict_data=seen, write_content_size=False, write_checksum=False, write_dict_id=False)
+    both = {i: given + len(back.compress(_bare(templates()[i].words))) for i, given in able.items()}
+    for i in sorted(both, key=lambda i: (both[i], -len(templates()[i].words), i)):
+        found = standing(templates()[i], words, start, stop)
+        if found and found[1] < last and found[2] > first:
+            return i, size, able[i], found
+    return template, size, able[template], told
+
+
 def notices(text: str | None) -> list[tuple]:
     """The rows of RESULT, without doc_id, of a text."""
-    out: dict[tuple[str, int], tuple] = {}
     words, asked = candidate_blocks(text or "")
+    if not asked:
+        return []
     plain = [_plain(w) for w in words]
-    longest = max(len(t.words) for t in templates())
-    free = [(begin, end, 0, len(plain)) for begin, end in asked]
-    while free:
-        # Words begin to end are asked; a notice may reach from low to high.
-        begin, end, low, high = free.pop()
-        block = " ".join(words[begin:end])
-        if end - begin < 2 or not any(m in block.lower() for m in MARKS):
-            continue
-        near = Counter(plain[max(low, begin - longest):min(high, end + longest)])
-        able = [i for i, t in enumerate(templates()) if may_stand(t, near)]
-        if not able:
-            continue
-        alone, given = sizes(block)
-        best = None
-        for i in sorted(able, key=lambda i: (given[i], i)):
-            t = templates()[i]
-            if best is not None and best[0] >= (len(t.words), -i):
+    heap: list[tuple] = []
+    alone: dict[tuple[int, int], int] = {}
+
+    def measure(i: int, start: int, stop: int) -> None:
+        if (start, stop) not in alone:
+            alone[start, stop] = size_alone(plain[start:stop])
+        heapq.heappush(heap, (size_given(plain[start:stop], i) - alone[start, stop], -len(templates()[i].words), i, start, stop))
+
+    for window in windows(plain, asked):
+        measure(*window)
+    begins, taken, out = [begin for begin, _ in asked], Taken(), []
+    while heap:
+        _, _, i, start, stop = heapq.heappop(heap)
+        left = taken.left_of(start, stop)
+        if left == [(start, stop)]:
+            told = standing(templates()[i], plain, start, stop)
+            if told is None:
                 continue
-            told = standing(t, plain, begin, end, low, high)
-            if told:
-                rank = (told[0] * len(t.words) - len(told[4]), -i)
-                if best is None or rank > best[0]:
-                    best = (rank, i, told)
-        if best is None:
-            continue
-        _, i, (covered, first, last, missing, put_in) = best
-        name = templates()[i].license
-        out.setdefault((name, first), (
-            name, i, first, last - first, alone, given[i], 1 - given[i] / alone, covered, " ".join(missing), " ".join(put_in),
-        ))
-        free += [(begin, first, low, first), (last, end, last, high)]
-    return sorted(out.values(), key=lambda r: (r[2], r[1]))
+            i_best, size, given, (covered, first, last, missing, put_in) = settled(plain, i, told, taken)
+            taken.add(first, last)
+            block = bisect.bisect_left(begins, last) - 1
+            if block >= 0 and asked[block][1] > first:
+                out.append((
+                    templates()[i_best].license, i_best, first, last - first, size, given, 1 - given / size, covered, " ".join(missing), " ".join(put_in),
+                ))
+            left = taken.left_of(start, stop)
+        for a, b in left:
+            if may_stand(templates()[i], Counter(plain[a:b])):
+                measure(i, a, b)
+    return sorted(out, key=lambda r: (r[2], r[1]))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -82,3 +82,70 @@ def test_every_copy_in_a_block_is_found():
 @pytest.mark.parametrize("t", lic.templates()[-25:], ids=lambda t: t.text)
 def test_letters_whose_lower_case_is_longer_hide_no_hint(t):
     assert names(f"İstanbul İzmir\n{t.text}\nx") == [t.license]
+
+
+def every_template_compared(text):
+    """The notices of a text without compression: of all templates confirmed on a stretch, the one with most words in order, fewest put in."""
+    words, asked = lic.candidate_blocks(text)
+    plain = [lic._plain(w) for w in words]
+    out, free = [], [(begin, end, 0, len(plain)) for begin, end in asked]
+    while free:
+        begin, end, low, high = free.pop()
+        best = None
+        for i, t in enumerate(lic.templates()):
+            told = lic.standing(t, plain, max(low, begin - len(t.words)), min(high, end + len(t.words)))
+            if told and told[1] < end and told[2] > begin:
+                best = max(filter(None, [best, (told[0] * len(t.words) - len(told[4]), -i, told)]), key=lambda b: b[:2])
+        if best:
+            score, i, told = best
+            out.append((told[1], told[2], lic.templates()[-i].license, score))
+            free += [(begin, told[1], low, told[1]), (told[2], end, told[2], high)]
+    return sorted(out)
+
+
+HINTED = "copyright license of the and software under permission use this terms version gpl free word any public".split()
+
+
+def random_block(rng):
+    words = []
+    for _ in range(rng.randint(1, 4)):
+        words += rng.choices(HINTED, k=rng.randint(0, 60))
+        rate = rng.choice([0, 0, 0.03, 0.06])
+        for word in rng.choice(lic.templates()).text.split():
+            words += [word] if rng.random() >= rate else rng.choice([[], ["instead"], [word, "besides"]])
+    return "".join(w + ("\n" if rng.random() < 0.05 else " ") for w in words)
+
+
+def test_compression_finds_what_comparing_every_template_finds():
+    """Same notices at the same places on random blocks with look-alikes, each worded at least as well as the compared one."""
+    rng, seen = random.Random(12), 0
+    for _ in range(150):
+        text = random_block(rng)
+        got = [(r[2], r[2] + r[3], r[0], r[7] * len(lic.templates()[r[1]].words) - len(r[9].split())) for r in lic.notices(text)]
+        want = every_template_compared(text)
+        assert len(got) == len(want), text
+        for (first, last, name, score), (first_2, last_2, name_2, score_2) in zip(got, want):
+            assert name == name_2 and first < last_2 and first_2 < last and score >= score_2 - 1e-9, text
+        seen += len(want)
+    assert seen > 200
+
+
+def test_the_ranking_by_saved_bytes_decides(monkeypatch):
+    """With sizes drawn at random look-alikes win, so the result does come from the compressed sizes."""
+    rng = random.Random(5)
+    texts = [f"x\n{t.text}\ny" for t in lic.templates()]
+    right = [names(t) for t in texts]
+    assert right == [[t.license] for t in lic.templates()]
+    monkeypatch.setattr(lic, "size_given", lambda words, template: rng.randint(1, 100_000))
+    assert sum(names(t) != r for t, r in zip(texts, right)) >= 5
+
+
+def test_a_notice_takes_its_words_from_look_alikes():
+    text = " ".join(t.text for t in lic.templates() if t.license.startswith(("GPL", "AGPL", "LGPL", "CC-BY")))
+    found = lic.notices(text)
+    assert [r[0] for r in found] == [t.license for t in lic.templates() if t.license.startswith(("GPL", "AGPL", "LGPL", "CC-BY"))]
+    assert all(a[2] + a[3] == b[2] for a, b in zip(found, found[1:])) and all(r[7] == 1 for r in found)
+
+
+def test_work_grows_with_the_text_not_with_its_square():
+    assert len(lic.notices(f"{lic.NOTICES[2][1]} {lic.NOTICES[0][1]} filler\n" * 2_000)) == 4_000
