@@ -7,7 +7,8 @@ texts are scored in batches: one gather of rows per n-gram, one sum per text, pl
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned. The score is the
 posterior probability of the predicted language. Ties go to the smaller name. Documents without lang or doc_id are not
-learned from; other columns do not matter and may have any name.
+learned from; other columns do not matter and may have any name. An empty table gives no rows, repeated rows repeated results. A very long text
+is worked on in pieces, with the n-grams across their edges.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BUCKETS = 1 << 15
 ORDERS = 3
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Code points worked on at once.
+#: Code points worked on at once; longer texts pass in pieces of this size with the same n-grams.
 CHUNK_CHARS = 1 << 19
 PREDICTION = "lang_pred string, score double"
 
@@ -38,18 +39,14 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, the text each belongs to, and whether a text has letters."""
-    points = np.frombuffer("".join(f" {t} " for t in texts).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sizes = np.array([len(f" {t} ".lower()) for t in texts])
-    letter = _letters()[points]
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    found = np.zeros(len(texts), dtype=bool)
-    found[owner[letter]] = True
-    # A blank stays only after a letter of the same text or at a text's start, so that runs of blanks are one.
-    first = np.append(True, owner[1:] != owner[:-1])[:len(owner)]
-    stay = letter | first | np.append(False, letter[:-1])[:len(letter)]
-    points, owner, letter = np.where(letter, points, 32)[stay].astype(np.uint64), owner[stay], letter[stay]
+def _points(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a lower-cased text, and which of them are letters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return points, _letters()[points]
+
+
+def _hashed(points: np.ndarray, letter: np.ndarray, owner: np.ndarray, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and owners of the n-grams of texts whose runs of blanks are one, but for those that end in the first ``lead`` points."""
     buckets, owners = [], []
     key = np.zeros(len(points), dtype=np.uint64)
     useful = np.zeros(len(points), dtype=bool)
@@ -60,25 +57,61 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key = key[:size] * np.uint64(0x110000 + 1) + points[n:] + np.uint64(1)
         useful = useful[:size] | letter[n:]
         inside = useful & (owner[:size] == owner[n:])
+        inside[:max(0, lead - n)] = False
         buckets.append((scrambled(key[inside]) >> np.uint64(40)).astype(np.int64) % BUCKETS)
         owners.append(owner[:size][inside])
-    return np.concatenate(buckets or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)]), found
+    return np.concatenate(buckets or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Texts in parts of bounded size, with their indexes; n-grams do not reach across the pieces of a very long text."""
-    part, owners, size = [], [], 0
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams, the text each belongs to, and whether a text has letters."""
+    texts = [f" {t} ".lower() for t in texts]
+    points, letter = _points("".join(texts))
+    owner = np.repeat(np.arange(len(texts)), np.array([len(t) for t in texts], dtype=np.int64))
+    found = np.zeros(len(texts), dtype=bool)
+    found[owner[letter]] = True
+    # A blank stays only after a letter of the same text or at a text's start, so that runs of blanks are one.
+    first = np.append(True, owner[1:] != owner[:-1])[:len(owner)]
+    stay = letter | first | np.append(False, letter[:-1])[:len(letter)]
+    buckets, owners = _hashed(np.where(letter, points, 32)[stay].astype(np.uint64), letter[stay], owner[stay])
+    return buckets, owners, found
+
+
+def _long_grams(text: str) -> Iterator[tuple[np.ndarray, bool]]:
+    """Buckets of the n-grams of a very long text, piece by piece: each piece is led by the end of the one before, so none is lost or met twice."""
+    text = f" {text} ".lower()
+    after_letter, points, letter = True, np.zeros(0, np.uint64), np.zeros(0, bool)
+    for at in range(0, len(text), CHUNK_CHARS):
+        new, is_letter = _points(text[at:at + CHUNK_CHARS])
+        stay = is_letter | np.append(after_letter, is_letter[:-1])
+        after_letter, lead = bool(is_letter[-1]), min(len(points), ORDERS - 1)
+        points = np.concatenate([points[len(points) - lead:], np.where(is_letter, new, 32)[stay].astype(np.uint64)])
+        letter = np.concatenate([letter[len(letter) - lead:], is_letter[stay]])
+        yield _hashed(points, letter, np.zeros(len(points), np.int64), lead)[0], bool(is_letter.any())
+
+
+def _in_parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets of the n-grams of texts, the index of the text each belongs to, and indexes of texts with letters, in parts of bounded size."""
+    part: list[int] = []
+    size = 0
     for i, text in enumerate(texts):
-        for at in range(0, len(text) or 1, CHUNK_CHARS):
-            piece = text[at:at + CHUNK_CHARS]
-            part.append(piece)
-            owners.append(i)
-            size += len(piece) + 2
-            if size >= CHUNK_CHARS:
-                yield part, np.array(owners)
-                part, owners, size = [], [], 0
+        if len(text) > CHUNK_CHARS:
+            for buckets, found in _long_grams(text):
+                yield buckets, np.full(len(buckets), i), np.array([i] if found else [], dtype=np.int64)
+            continue
+        part.append(i)
+        size += len(text) + 2
+        if size >= CHUNK_CHARS:
+            yield _of_part(texts, part)
+            part, size = [], 0
     if part:
-        yield part, np.array(owners)
+        yield _of_part(texts, part)
+
+
+def _of_part(texts: list[str], part: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    buckets, owners, found = _grams([texts[i] for i in part])
+    index = np.array(part)
+    return buckets, index[owners], index[found]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +121,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in langs:
             sums.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))[-1] += 1
-        for part, index in _parts(texts):
+        for buckets, owners, _ in _in_parts(texts):
+            index, place = np.unique(owners, return_inverse=True)
             names = sorted({langs[i] for i in index})
-            code = np.array([names.index(langs[i]) for i in index])
-            buckets, owners, _ = _grams(part)
-            counts = np.bincount(code[owners] * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+            code = np.array([names.index(langs[i]) for i in index], dtype=np.int64)
+            counts = np.bincount(code[place] * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
             for name, row in zip(names, counts):
                 sums[name][:-1] += row
     for name, total in sums.items():
@@ -114,11 +147,10 @@ class Model:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         sums, found = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts), dtype=bool)
-        for part, index in _parts(texts):
-            buckets, owners, letters = _grams(part)
+        for buckets, owners, lettered in _in_parts(texts):
             for k in range(len(self.languages)):
-                sums[:, k] += np.bincount(index[owners], weights=self.logs[k][buckets], minlength=len(texts))
-            found[index[letters]] = True
+                sums[:, k] += np.bincount(owners, weights=self.logs[k][buckets], minlength=len(texts))
+            found[lettered] = True
         best = sums.argmax(axis=1)
         share = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         return [self.languages[b] if f else UNKNOWN for b, f in zip(best, found)], np.where(found, share, 0.0).tolist()

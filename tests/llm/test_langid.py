@@ -89,3 +89,25 @@ def test_held_out_accuracy_on_the_test_tables(spark, folder):
     lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{folder}/documents.parquet'").fetchall())
     held = [r for r in langid.identify(docs).collect() if r.held_out]
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_pieces_lose_no_ngram(monkeypatch):
+    """N-grams of a text cut into pieces of any size are those of the whole: letters, runs of blanks and capitals at the cuts included."""
+    rng = random.Random(3)
+    texts = ["", "a", " ", "ΑΣ ΑΣΑ", "İx", "12", *("".join(rng.choices("abÉΣ ßİ1\n", k=rng.randint(1, 60))) for _ in range(40))]
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(langid, "CHUNK_CHARS", size)
+        sums, lettered = defaultdict(Counter), set()
+        for buckets, owners, found in langid._in_parts(texts):
+            lettered.update(found.tolist())
+            for b, o in zip(buckets.tolist(), owners.tolist()):
+                sums[o][b] += 1
+        for i, text in enumerate(texts):
+            buckets, _, found = langid._grams([text])
+            assert sums[i] == Counter(buckets.tolist()) and found[0] == (i in lettered), (size, text)
+
+
+def test_a_very_long_text_has_all_its_ngrams():
+    text = "word Über " * 80_000
+    parts = [len(b) for b, _, _ in langid._in_parts([text])]
+    assert len(parts) > 1 and sum(parts) == sum(brute_grams(text).values())
