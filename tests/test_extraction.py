@@ -10,21 +10,57 @@ from proofline.functions import text as X
 from proofline.operators import certificates, manifests, python_calls, source_rules
 from proofline.sources import collect, files
 
+DIGESTS = {"md5": "MD5", "sha1": "SHA-1", "sha256": "SHA-256", "sha512": "SHA-512", "blake2b": "BLAKE2"}
+#: How a digest function gets its name: import, name bound by it, and the function as called.
+BINDINGS = {
+    "module": ("import hashlib", "hashlib", "hashlib.{f}"),
+    "renamed_module": ("import hashlib as tools", "tools", "tools.{f}"),
+    "function": ("from hashlib import {f}", "{f}", "{f}"),
+    "renamed_function": ("from hashlib import {f} as pick", "pick", "pick"),
+}
+#: Where a call stands, and whether the bound name still means the import there.
+PLACES = {
+    "module": ("{call}(v)", True),
+    "method": ("class Store:\n    def put(self, v):\n        return {call}(v)", True),
+    "coroutine": ("async def put(v):\n    async with v:\n        return {call}(v)", True),
+    "lambda": ("run = lambda v: {call}(v)", True),
+    "comprehension": ("out = [{call}(v) for v in values if v]", True),
+    "nested": ("def outer():\n    def inner(v):\n        return {call}(v)\n    return inner", True),
+    "lambda_parameter": ("run = lambda {name}: {call}(v)", False),
+    "loop_variable": ("out = [{call}(v) for {name} in values]", False),
+    "local": ("def put(v):\n    {name} = v\n    return {call}(v)", False),
+    "other_import": ("import unrelated as {name}\n{call}(v)", False),
+    "docstring": ("def put(v):\n    \"\"\"Like {call}(v).\"\"\"\n    return v", False),
+}
+#: A provider call by language with its algorithm, and the comment marks of that language.
+SELECTORS = [
+    (".java", 'Signature.getInstance("SHA256withRSA")', "RSA", "//"),
+    (".java", 'KeyGenerator.getInstance("ChaCha20")', "ChaCha20", "//"),
+    (".js", "crypto.createHash('sha512')", "SHA-512", "//"),
+    (".go", "sha1.New()", "SHA-1", "//"),
+]
+
+
+def python_grid():
+    for f, algorithm in DIGESTS.items():
+        for bound, (imported, name, call) in BINDINGS.items():
+            for place, (text, seen) in PLACES.items():
+                name_, call_ = name.format(f=f), call.format(f=f)
+                yield f"grid_{f}_{bound}_{place}.py", f"{imported.format(f=f)}\n{text.format(name=name_, call=call_)}\n", {algorithm} if seen else set()
+
+
+def selector_grid():
+    for i, (suffix, call, algorithm, mark) in enumerate(SELECTORS):
+        yield f"code{i}{suffix}", f"begin();\nuse({call});\n", {algorithm}
+        yield f"twice{i}{suffix}", f"use({call}); use({call});", {algorithm}
+        yield f"line_note{i}{suffix}", f"begin(); {mark} {call}\n", set()
+        yield f"long_note{i}{suffix}", f"/* first\n{call}\n*/ begin();", set()
+        yield f"after_note{i}{suffix}", f"/* first */ use({call});", {algorithm}
+
+
 CASES = [
-    ("invoice.py", "import hashlib\n\n\ndef seal(total):\n    return hashlib.sha256(total).hexdigest()\n", {"SHA-256"}),
-    ("etag.py", "import hashlib\nETAG = hashlib.sha1(open(__file__, 'rb').read())\n", {"SHA-1"}),
-    ("vault.py", "from Crypto.Cipher import AES\n\nbox = AES.new(secret, AES.MODE_CBC, iv)\n", {"AES"}),
-    ("todo.py", "total = 1  # later: hashlib.sha512(total)\n", set()),
-    ("prose.py", "help_text = 'run md5 over the file, then compare'\n", set()),
-    ("words.py", "label = 'aesthetic paddings'\n", set()),
-    ("Client.java", 'var base = "http://node.local/x"; var c = Cipher.getInstance("AES/CBC/PKCS5Padding");', {"AES"}),
-    ("Notes.java", 'int n = 0; /* was: KeyGenerator.getInstance("AES") */', set()),
-    ("short.py", "import hashlib as digests\nprint(digests.md5(payload))", {"MD5"}),
-    ("named.py", "from hashlib import sha512 as tall\ntall(payload)", {"SHA-512"}),
-    ("factory.py", "import hashlib\nmaker = hashlib.new('Sha512')\n", {"SHA-512"}),
-    ("mock.py", "class Fake:\n    def sha512(self, value):\n        return value\n\n\nhashlib = Fake()\nhashlib.sha512(payload)\n", set()),
-    ("Log.java", 'logger.info("call Cipher.getInstance(\\"DES\\") first");', set()),
-    ("plugin.py", "import hashlib\nhook = getattr(module, 'run')\nhashlib.sha256(payload)\n", {"SHA-256"}),
+    *python_grid(),
+    *selector_grid(),
     ("argument.py", "import hashlib\n\n\ndef check(payload, hashlib):\n    return hashlib.sha256(payload)\n", set()),
     ("relative.py", "from .hashlib import sha256\nsha256()", set()),
     ("attribute.py", "import hashlib\nhashlib.md5 = other\nhashlib.md5()", set()),
