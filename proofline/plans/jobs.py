@@ -110,12 +110,42 @@ def t02(t: Tables) -> DataFrame:
     return jobs.trailing_hits(t.table("events"), "user_id", "ts", 6 * 3600)
 
 
-@query("t02_rate_decisions")
+def decided(name: str, source: str, key: str, threshold: int, hours: int) -> str:
+    """A recursive table ``name``: the n-th hits of all keys are decided together, each from the accepted instants its key still has."""
+    width = hours * 3_600_000_000
+    return f"""
+{name}_in AS MATERIALIZED (SELECT {key} AS k, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n, asked FROM {source}),
+{name}(k, n, event_id, allowed, wait, recent) AS (
+  SELECT DISTINCT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM {name}_in
+  UNION ALL
+  SELECT k, n, event_id, passed, CASE WHEN len(after) >= {threshold} THEN CAST(greatest(1, ceil((after[1] + {width} - t) / 1000000.0)) AS BIGINT) ELSE 0 END, after
+  FROM (SELECT *, CASE WHEN passed THEN list_append(kept, t) ELSE kept END AS after
+        FROM (SELECT *, asked AND len(kept) < {threshold} AS passed
+              FROM (SELECT i.*, [x FOR x IN r.recent IF x >= i.t - {width}] AS kept FROM {name} r JOIN {name}_in i ON i.k = r.k AND i.n = r.n + 1))))"""
+
+
+@query("t02_rate_decisions", f"""
+WITH RECURSIVE hits AS (SELECT *, true AS asked FROM events), {decided("d", "hits", "user_id", 2, 6)}
+SELECT user_id, ts, event_id, allowed, CAST(CASE WHEN allowed THEN 0 ELSE wait END AS INTEGER) AS retry_after FROM d JOIN events USING (event_id)""")
 def t02_decisions(t: Tables) -> DataFrame:
     """Accepted and rejected hits with the wait before the next try; depends on every earlier decision."""
     return rate_limit.decide(t.table("events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 2, 6 * 3600)
 
 
+@query("t02_multi_key", f"""
+WITH RECURSIVE hits AS (SELECT event_id, ts, user_id, CASE WHEN event_type <> 'error' THEN concat(event_type, user_id % 40) END AS place, true AS asked FROM events),
+{decided("d", "hits", "user_id", 2, 12)},
+later AS (SELECT h.event_id, h.ts, h.place, d.allowed AS asked FROM hits h JOIN d ON h.event_id = d.event_id WHERE place IS NOT NULL), {decided("e", "later", "place", 2, 12)}
+SELECT h.event_id, h.user_id, h.place, coalesce(e.allowed, d.allowed) AS allowed,
+       CAST(CASE WHEN coalesce(e.allowed, d.allowed) THEN 0 ELSE greatest(d.wait, coalesce(e.wait, 0)) END AS INTEGER) AS retry_after
+FROM hits h JOIN d ON h.event_id = d.event_id LEFT JOIN e ON h.event_id = e.event_id""")
+def t02_multi_key(t: Tables) -> DataFrame:
+    """Hits limited by user and, errors aside, by place; both with one threshold and window."""
+    place = F.when(F.col("event_type") != "error", F.concat("event_type", (F.col("user_id") % 40).cast("string")))
+    hits = t.table("events").select("event_id", "ts", "user_id", place.alias("place"))
+    return rate_limit.decide_keys(hits, ["user_id", "place"], "ts", "event_id", 2, 12 * 3600).drop("ts")
+
+
 @query("t03_stale_jobs", """
 SELECT id, status AS previous_status, 'failed' AS status, TIMESTAMP '2001-08-01 12:00:00' AS finished_at, 'Recovered from stale state by app lifecycle cleanup' AS note,
        round(epoch_us(TIMESTAMP '2001-08-01 12:00:00' - started_at) / 3600000000, 1) AS age_hours

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -77,6 +78,57 @@ def decide(hits: DataFrame, key: str, at: str, tie: str, threshold: int = C.RATE
     return ordered.mapInPandas(run, schema)
 
 
+def decide_keys(hits: DataFrame, keys: Sequence[str], at: str, tie: str, threshold: int = C.RATE_THRESHOLD,
+                window_seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
+    """Adds ``allowed`` and ``retry_after`` to hits that several keys limit at once, say a client and a user name.
+
+    Keys are asked in the order given. Each that has room records the hit; the first that has none rejects it, and later keys
+    do not record it. So a key depends on its own hits and on whether earlier keys let them through, never on later ones: the
+    keys are decided one after another over all hits, each spread by key and run like ``decide``, and no group joins the hits of
+    different keys. A rejected hit waits for the last of its full keys, those not asked included. Each column counts by itself, also
+    where two hold equal values; a null key does not limit a hit. Ties in time go by ``tie``, which must be unique.
+    """
+    rows = hits.withColumns({"_open": F.lit(True), "_wait": F.lit(0).cast("int")})
+    for i, key in enumerate(keys):
+        # A hit without the key stands alone, so that such hits spread like any other key.
+        own = F.when(F.col(key).isNull(), F.concat(F.lit("-"), F.col(tie).cast("string"))).otherwise(F.concat(F.lit("+"), F.col(key).cast("string")))
+        runs = sessions(rows.withColumn(f"_key{i}", own), f"_key{i}", at, window_seconds)
+        rows = runs.withColumnRenamed("_session", f"_session{i}").drop("_t")
+    rows = rows.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    width = window_seconds * MICROS
+    for i in range(len(keys)):
+        rows = _asked(rows, f"_key{i}", f"_session{i}", tie, threshold, width)
+    wait = F.when(F.col("_open"), F.lit(0)).otherwise(F.col("_wait")).cast("int")
+    return rows.select(*[F.col(f"`{c}`") for c in hits.columns], F.col("_open").alias("allowed"), wait.alias("retry_after"))
+
+
+def _asked(rows: DataFrame, key: str, session: str, tie: str, threshold: int, width: int) -> DataFrame:
+    """The rows after one key was asked: ``_open`` tells whether a hit is still let through, ``_wait`` the longest wait for a full key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, recent = None, deque()
+        for batch in batches:
+            opens, waits = [], []
+            for owner, run_of, now, is_open, wait in zip(*(batch.column(c).to_pylist() for c in (key, session, "_t", "_open", "_wait"))):
+                if (owner, run_of) != current:
+                    current, recent = (owner, run_of), deque()
+                if owner[0] == "+":
+                    if is_open:
+                        is_open, _ = decide_hit(recent, now, threshold, width)
+                    while recent and recent[0] < now - width:
+                        recent.popleft()
+                    if len(recent) >= threshold:
+                        wait = max(wait, 1, math.ceil((recent[0] + width - now) / MICROS))
+                opens.append(is_open)
+                waits.append(wait)
+            for name, values in (("_open", pa.array(opens, pa.bool_())), ("_wait", pa.array(waits, pa.int32()))):
+                batch = batch.set_column(batch.schema.get_field_index(name), name, values)
+            yield batch
+
+    ordered = rows.repartition(key, session).sortWithinPartitions(key, session, "_t", tie)
+    return ordered.mapInArrow(run, rows.schema)
+
+
 def decide_stream(hits: DataFrame, key: str, at: str, threshold: int = C.RATE_THRESHOLD,
                   window_seconds: int = C.RATE_WINDOW_SECONDS) -> DataFrame:
     """The streaming form: one decision row per hit, state kept per key and dropped after an idle window."""

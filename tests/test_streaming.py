@@ -47,6 +47,33 @@ def test_batch_decisions_equal_direct_simulation(spark):
         assert {r["id"]: (r["allowed"], r["retry_after"]) for r in found} == direct(rows, threshold, window)
 
 
+def test_several_keys_equal_direct_simulation(spark):
+    """Clients and users limit together: earlier keys record what later ones reject, nulls do not limit, equal values of two keys stay apart."""
+    chance, now, rows = random.Random(21), 0, []
+    for i in range(600):
+        now += chance.choice([0, 0, 1, 1, 3, 40])
+        rows.append((chance.choice(["x", "x", "y", None]), chance.choice(["x", "u", "v", None]), chance.choice(["p", None]), now, i))
+    frame = spark.createDataFrame(rows, "client string, user string, place string, second int, id int").select(
+        "client", "user", "place", F.timestamp_seconds("second").alias("at"), "id", F.lit(None).cast("long").alias("note"))
+    for threshold, window in ((1, 3), (2, 10), (3, 60)):
+        kept, want = {}, {}
+        for *keys, now, i in rows:
+            named = [(place, k) for place, k in enumerate(keys) if k is not None]
+            for k in named:
+                kept[k] = [t for t in kept.get(k, []) if t >= now - window]
+            allowed = True
+            for k in named:
+                allowed = allowed and len(kept[k]) < threshold
+                if allowed:
+                    kept[k].append(now)
+            want[i] = (allowed, 0 if allowed else max(max(1, kept[k][0] + window - now) for k in named if len(kept[k]) >= threshold))
+        found = rate_limit.decide_keys(frame, ["client", "user", "place"], "at", "id", threshold, window)
+        assert found.columns == [*frame.columns, "allowed", "retry_after"]
+        got = {r["id"]: (r["allowed"], r["retry_after"]) for r in found.collect()}
+        assert got == want and 50 < sum(a for a, _ in want.values()) < 550
+    assert rate_limit.decide_keys(frame.limit(0), ["client", "user"], "at", "id").count() == 0
+
+
 def test_idle_windows_split_a_key(spark):
     rows = [("a", s, i) for i, s in enumerate([0, 5, 10, 200, 205, 900])]
     found = rate_limit.sessions(table(spark, rows), "key", "at", 60)
