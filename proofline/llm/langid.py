@@ -122,10 +122,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in langs:
             sums.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))[-1] += 1
         for buckets, owners, _ in _in_parts(texts):
-            index, place = np.unique(owners, return_inverse=True)
+            index = np.flatnonzero(np.bincount(owners, minlength=len(texts)))
             names = sorted({langs[i] for i in index})
-            code = np.array([names.index(langs[i]) for i in index], dtype=np.int64)
-            counts = np.bincount(code[place] * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+            code = np.zeros(len(texts), dtype=np.int64)
+            code[index] = [names.index(langs[i]) for i in index]
+            counts = np.bincount(code[owners] * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
             for name, row in zip(names, counts):
                 sums[name][:-1] += row
     for name, total in sums.items():
