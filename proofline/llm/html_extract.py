@@ -12,7 +12,10 @@ but only as weak evidence if the element turns out to wrap the page: see ``belie
 
 Whole pages are read; nothing is cut or capped. A null or empty page, and one without content, has an empty text.
 Broken markup is read as a browser would, roughly: open elements end with their parents, unmatched ends are ignored,
-unclosed comments and scripts swallow the rest. Line breaks are white space. Each row is answered by itself.
+unclosed comments and scripts swallow the rest. A tag that never ends outside its quotes ends at the next ``>``, and so do all
+after it; without any ``>`` it is text. Line breaks are white space. Pages are read in one pass forward, with time that grows
+with their length, nested and broken ones included. Each row is answered by itself, repeated rows alike; an empty table gives no
+rows. A column ``text`` that the pages already have is replaced by the result; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import html
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -37,16 +40,20 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th img input wbr button label".split()) - {"wbr"}
-SKIPPED = frozenset("script style textarea title noscript template iframe object svg canvas noembed noframes xmp audio video math datalist".split())
+SKIPPED = frozenset("script style textarea title template iframe object svg canvas noembed noframes audio video datalist".split())
+#: Elements whose content is text as it stands.
+VERBATIM = frozenset(("xmp",))
 CLOSES_ITSELF = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}),
 }
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select menu".split())
+ROW_GROUPS = frozenset("tbody thead tfoot".split())
 TAG_SCORES = {
     "nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -6.0, "menu": -7.0, "dialog": -6.0, "button": -6.0, "select": -6.0, "search": -6.0,
-    "header": -5.0, "fieldset": -6.0, "label": -4.0, "article": 3.0, "main": 2.5,
+    "header": -5.0, "fieldset": -6.0, "label": -4.0, "noscript": -7.0, "article": 3.0, "main": 2.5,
 }
+HIDDEN = -7.0
 ROLE_SCORES = {
     "navigation": -7.0, "banner": -5.0, "contentinfo": -7.0, "complementary": -7.0, "search": -6.0, "form": -6.0, "alert": -6.0,
     "dialog": -6.0, "menu": -7.0, "menubar": -7.0, "main": 2.5, "article": 3.0,
@@ -72,11 +79,14 @@ BIAS, LINKS, LONG, MEDIUM, SHORT, SENTENCE, RIGHTS, WRAPPED = -0.5, -5.0, 1.5, 0
 NEAR, SAME_CONTAINER, RESUMED = 0.3, 0.9, 0.6
 SCALE = 1000
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S,
-)
-_ATTRIBUTE = re.compile(r"""([^\s"'=/<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<=\s)(hidden)(?=[\s/]|$)""")
+_DECLARED = r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+_TAG = r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>%s)(?P<end>>|\Z)"
+_QUOTED = re.compile(_DECLARED + _TAG % r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+""", re.S)
+_UNQUOTED = re.compile(_DECLARED + _TAG % r"[^>]*+", re.S)
+_UNTAGGED = re.compile(_DECLARED, re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+#: References by numbers of more digits than any code point has, with leading zeros apart.
+_NUMBER = re.compile(r"&#0*+([0-9]++);?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE_END = (".", "!", "?", "…", "。", "！", "？", ".\"", ".”", "”", ":")
 
@@ -110,7 +120,9 @@ class Block:
         return low if low < 0 else self.high + (WRAPPED if self.hints else 0.0)
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
+        """Decoded text, with runs of white space as one space."""
+        raw = _NUMBER.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "\ufffd", "".join(self.parts))
+        return " ".join(html.unescape(raw).split())
 
 
 @dataclass
@@ -120,19 +132,21 @@ class _Open:
     low: float
     high: float
     link: bool
-    hidden: bool
     hint: Mark | None
     inside: Mark | None
+    #: Tag of the innermost block-level element (it may be this one), and the number of the element around that.
+    home: str
+    container: int
 
 
-def _hint(tag: str, attributes: str) -> tuple[float, float, bool, bool]:
-    """Structural log-odds of an element by itself: by tag, role and content names, then by names against it, whether these
-    name nothing but what is never content; and whether it is hidden."""
+def _hint(tag: str, attributes: str) -> tuple[float, float, bool]:
+    """Structural log-odds of an element by itself: by tag, role, content names and being hidden, then by names against it, and
+    whether these name nothing but what is never content."""
     score, against, named, hidden = TAG_SCORES.get(tag, 0.0), 0.0, False, False
     if not attributes or tag in ("html", "body"):
-        return score, against, named, hidden
-    for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
-        name, value = (name or bare).lower(), a or b or c
+        return score, against, named
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             tokens = [[w.lower() for w in _WORDS.findall(token)] for token in value.split()]
             tokens = [t for t in tokens if t and not (len(t) > 1 and (t[0] in STATE_FIRST or t[-1] in STATE_LAST))]
@@ -149,34 +163,56 @@ def _hint(tag: str, attributes: str) -> tuple[float, float, bool, bool]:
             score = min(score, found) if found < 0 or score < 0 else max(score, found)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return score, against, named, hidden
+    return min(score, HIDDEN) if hidden else score, against, named
+
+
+def _next_tag(page: str) -> Callable[[int], re.Match | None]:
+    """A function from a place to the next markup. Once a tag's quotes never end, none is believed any more, so that no part of
+    the page is searched to its end for many tags."""
+    last, pattern = page.rfind(">"), _QUOTED
+
+    def find(at: int) -> re.Match | None:
+        nonlocal pattern
+        if at > last:
+            pattern = _UNTAGGED
+        match = pattern.search(page, at)
+        if match and pattern is not _UNTAGGED and match["tag"] and not match["end"]:
+            pattern = _UNTAGGED if match.start() > last else _UNQUOTED
+            match = pattern.search(page, match.start())
+        return match
+
+    return find
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that hold text, in order."""
     found: list[Block] = []
-    stack = [_Open("", 0, 0.0, 0.0, False, False, None, None)]
+    stack = [_Open("", 0, 0.0, 0.0, False, None, None, "", 0)]
+    places: dict[str, list[int]] = {}
     current: Block | None = None
     number = at = 0
     lower = None
+    find = _next_tag(page)
+
+    def innermost(tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def pop_to(index: int) -> None:
         nonlocal current
-        if any(e.tag in BLOCK for e in stack[index:]):
-            current = None
-        del stack[index:]
+        while len(stack) > index:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                current = None
 
-    def put(text: str, visible: bool = True) -> None:
+    def put(text: str) -> None:
         nonlocal current
         top = stack[-1]
-        if top.hidden:
-            return
         if current is None:
             if not text.strip():
                 return
-            inner = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK), 0)
-            home = stack[inner]
-            current = Block(home.tag, stack[max(0, inner - 1)].number, top.inside)
+            current = Block(top.home, top.container, top.inside)
             found.append(current)
         current.low, current.high = min(current.low, top.low), max(current.high, top.high)
         if top.hint and top.hint not in current.hints[-1:]:
@@ -186,21 +222,21 @@ def blocks(page: str) -> list[Block]:
             current.linked += len(text.strip())
 
     while True:
-        match = _MARKUP.search(page, at)
+        match = find(at)
         text = page[at:match.start()] if match else page[at:]
         if text:
             put(text)
         if not match:
             return [b for b in found if b.text()]
         at = match.end()
-        tag = match[2]
+        tag = match["tag"] if match.re is not _UNTAGGED else None
         if tag is None:
             if match[0].startswith("<![CDATA["):
                 put(html.escape(match[0][9:].removesuffix("]]>"), quote=False))
             continue
-        tag = tag.lower()
-        if match[1]:
-            index = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+        tag, attributes = tag.lower(), match["attributes"]
+        if match["close"]:
+            index = innermost((tag,))
             if index:
                 pop_to(index)
             elif tag == "p":
@@ -208,39 +244,41 @@ def blocks(page: str) -> list[Block]:
             if tag in SPACED and current:
                 current.parts.append(" ")
             continue
-        if tag in SKIPPED:
-            if match[3].rstrip().endswith("/") and tag in ("svg", "math"):
+        if tag in SKIPPED or tag in VERBATIM:
+            if attributes.rstrip().endswith("/") and tag == "svg":
                 continue
             lower = lower if lower is not None else lowered(page)
             end = lower.find(f"</{tag}", at)
             close = page.find(">", end) if end >= 0 else -1
+            if tag in VERBATIM:
+                current = None
+                put(html.escape(page[at:end if end >= 0 else len(page)], quote=False))
+                current = None
             at = close + 1 if close >= 0 else len(page)
             continue
         if tag in BLOCK:
-            index = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if index and tag not in ("option", "optgroup"):
-                pop_to(index)
+            if places.get("p") and tag not in ("option", "optgroup"):
+                pop_to(places["p"][-1])
             current = None
         if tag in CLOSES_ITSELF:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SCOPES and not (tag in ("tr", "td", "th") and stack[i].tag in ("tbody", "thead", "tfoot")):
-                    break
-                if stack[i].tag in CLOSES_ITSELF[tag]:
-                    pop_to(i)
-                    break
+            before = innermost(CLOSES_ITSELF[tag])
+            if before > innermost(SCOPES - ROW_GROUPS if tag in ("tr", "td", "th") else SCOPES):
+                pop_to(before)
         if tag in SPACED and current:
             current.parts.append(" ")
         if tag in VOID:
             continue
         number += 1
         top = stack[-1]
-        score, against, named, hidden = _hint(tag, match[3])
+        score, against, named = _hint(tag, attributes)
         if tag == "header" and top.high > 0 and score == TAG_SCORES["header"]:
             score = 0.0
+        places.setdefault(tag, []).append(len(stack))
         stack.append(_Open(
-            tag, number, min(top.low, score), max(top.high, score), top.link or tag == "a", top.hidden or hidden,
+            tag, number, min(top.low, score), max(top.high, score), top.link or tag == "a",
             Mark(number, against, named or top.hint is not None and top.hint.named, top.hint) if against < 0 else top.hint,
             Mark(number, score, False, top.inside) if score > 0 and not against and tag in BLOCK else top.inside,
+            *((tag, top.number) if tag in BLOCK else (top.home, top.container)),
         ))
 
 
@@ -298,24 +336,84 @@ def believed(found: list[Block], texts: list[str]) -> dict[int, float]:
     free = lows({m.number for m in marks})
     sizes = [len(t) if log_odds(b, t, free) > 0 else 0 for b, t in zip(found, texts)]
     held = _held(marks, [(b.hints, s) for b, s in zip(found, sizes)])
-    contents = _chain([b.inside for b in found if b.inside])
-    weak: set[int] = set()
-    most = [m for m in marks if not m.named and 2 * held[m.number] > sum(sizes)]
-    for mark, below in zip(most, [*most[1:], None]):
-        # They lie in each other. Where an inner one holds all that this one does, nothing is kept while its name counts.
+    # Marks that hold more than half lie in each other: all are on the path from the outermost to the innermost of them.
+    whole = sum(sizes)
+    most = [m for m in marks if not m.named and 2 * held[m.number] > whole]
+    path = _chain(most[-1:])
+    depth = {m.number: i for i, m in enumerate(path, 1)}
+    # A name that counts leaves nothing of a block. If the path's names count for nothing down to a depth, the blocks with all
+    # their marks on that part are kept; so each block comes in at one depth, and stays.
+    coming: list[list[int]] = [[] for _ in range(len(path) + 1)]
+    for i, (block, size) in enumerate(zip(found, sizes)):
+        if size and all(m.number in depth for m in block.hints):
+            coming[max((depth[m.number] for m in block.hints), default=0)].append(i)
+    kept, inside, weak = 0, _Sums([b.inside for b in found if b.inside]), 0
+    following = dict(zip((m.number for m in most), [*most[1:], None]))
+    own = [0] * (len(path) + 1)
+    for at in range(len(path) + 1):
+        for i in coming[at]:
+            kept += sizes[i]
+            if found[i].hints:
+                own[depth[found[i].hints[0].number]] += sizes[i]
+            if found[i].inside:
+                inside.add(found[i].inside, sizes[i])
+        mark = path[at - 1] if at else None
+        if mark is None or mark.number not in following:
+            continue
+        # Where an inner one holds all that this one does, nothing is kept while its name counts.
+        below = following[mark.number]
         if below and held[below.number] == held[mark.number]:
             continue
-        trial, inner = set(weak), mark
-        while inner:
-            trial.add(inner.number)
-            inner = inner.outer
-        now = lows(trial)
-        kept = [s if s and log_odds(b, t, now) > 0 else 0 for b, t, s in zip(found, texts, sizes)]
-        within = _held(marks, [(b.hints, k) for b, k in zip(found, kept)])[mark.number]
-        main = _held(contents, [([b.inside] if b.inside else [], k) for b, k in zip(found, kept)])
-        if within and (within == sum(kept) or any(2 * size > sum(kept) and n > mark.number for n, size in main.items())):
-            weak = trial
-    return lows(weak)
+        if own[at] and (own[at] == kept or 2 * inside.most(mark.number) > kept):
+            weak = at
+    return lows({m.number for m in path[:weak]})
+
+
+class _Sums:
+    """Sums over content marks and all in them, while sizes are added: marks by number stand in the order of the page, each
+    before those in it, so a sum is a range of a tree of partial sums."""
+
+    def __init__(self, marks: list[Mark]):
+        self.marks = _chain(marks)
+        self.place = {m.number: i for i, m in enumerate(self.marks)}
+        self.end = list(range(1, len(self.marks) + 1))
+        self.up = [[self.place[m.outer.number] if m.outer else i for i, m in enumerate(self.marks)]]
+        for i in reversed(range(len(self.marks))):
+            self.end[self.up[0][i]] = max(self.end[self.up[0][i]], self.end[i])
+        while len(self.marks) >> len(self.up):
+            self.up.append([self.up[-1][i] for i in self.up[-1]])
+        self.part = [0] * (len(self.marks) + 1)
+
+    def add(self, mark: Mark, size: int) -> None:
+        i = self.place[mark.number] + 1
+        while i < len(self.part):
+            self.part[i] += size
+            i += i & -i
+
+    def before(self, i: int) -> int:
+        total = 0
+        while i:
+            total += self.part[i]
+            i -= i & -i
+        return total
+
+    def most(self, number: int) -> int:
+        """The sum of the one mark of a higher number that can hold more than half of all, 0 if there is none."""
+        total, at = self.before(len(self.marks)), 0
+        if not total:
+            return 0
+        # Whatever holds more than half holds the place where the sum passes one half.
+        left = total // 2
+        for step in reversed(range(len(self.marks).bit_length())):
+            if at + (1 << step) < len(self.part) and self.part[at + (1 << step)] <= left:
+                at += 1 << step
+                left -= self.part[at]
+        if self.marks[at].number <= number:
+            return 0
+        for up in reversed(self.up):
+            if self.marks[up[at]].number > number:
+                at = up[at]
+        return self.before(self.end[at]) - self.before(at)
 
 
 class Flow:
@@ -410,11 +508,13 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """``pages`` with ``text`` in place of the html column; other columns stay."""
     kept = [c for c in pages.columns if c not in (html_column, "text")]
-    schema = pages.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias("text")).schema
+    # Columns go by place, as names may hold dots.
+    columns = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate([*kept, html_column])]
+    schema = pages.select(*columns[:-1], F.lit("").alias("text")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([main_text(p) for p in batch.column(len(kept)).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], texts], names=[*kept, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "text"])
 
-    return pages.select(*[F.col(f"`{c}`") for c in kept], F.col(html_column)).mapInArrow(read, schema)
+    return pages.select(*columns).mapInArrow(read, schema).toDF(*kept, "text")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -110,3 +111,96 @@ def test_many_and_deeply_nested_class_hints_end():
     assert hx.main_text(deep) == LONG
     many = page("<article>" + f"<p>{LONG}</p><div class='widget-x'><p>{OTHER}</p></div>" * 3000 + "</article>")
     assert hx.main_text(many).count("\n") == 2999
+
+
+def believed_by_trials(found, texts):
+    """What ``believed`` says, every wrapper tried over all blocks."""
+    marks = hx._chain([m for b in found for m in b.hints])
+
+    def lows(weak):
+        out = {}
+        for m in marks:
+            out[m.number] = 0.0 if m.number in weak else min(m.score, out[m.outer.number] if m.outer else 0.0)
+        return out
+
+    def around(mark):
+        return {mark.number} | (around(mark.outer) if mark.outer else set())
+
+    def kept(weak):
+        now = lows(weak)
+        return [len(t) if s and hx.log_odds(b, t, now) > 0 else 0 for b, t, s in zip(found, texts, sizes)]
+
+    sizes = [1] * len(found)
+    sizes = kept({m.number for m in marks})
+    first = lambda mark, sums: sum(s for b, s in zip(found, sums) if b.hints and mark.number in around(b.hints[0]))
+    most = [m for m in marks if not m.named and 2 * first(m, sizes) > sum(sizes)]
+    weak = set()
+    for mark, below in zip(most, [*most[1:], None]):
+        if below and first(below, sizes) == first(mark, sizes):
+            continue
+        now = kept(around(mark))
+        mains = {n for b in found if b.inside for n in around(b.inside) if n > mark.number}
+        held = [sum(s for b, s in zip(found, now) if b.inside and n in around(b.inside)) for n in mains]
+        if first(mark, now) and (first(mark, now) == sum(now) or any(2 * h > sum(now) for h in held)):
+            weak = around(mark)
+    return lows(weak)
+
+
+def random_page(rng, depth):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        if not depth or rng.random() < 0.35:
+            out.append(rng.choice([f"<p>{LONG}</p>", LONG[:rng.randint(5, 120)], "<p>Short.", "<br>", "<li>one", "<td>two"]))
+            continue
+        tag = rng.choice("div div div section article main aside p ul span a header table tr form".split())
+        said = rng.choice([*MENTIONS, "comments", "content", "post", "nav", "widget", "share", "x"])
+        end = "" if rng.random() < 0.1 else f"</{tag}>"
+        out.append(f"<{tag}" + (f" class='{said}'" if rng.random() < 0.5 else "") + f">{random_page(rng, depth - 1)}{end}")
+    return "".join(out)
+
+
+def test_wrappers_are_believed_as_if_each_were_tried():
+    rng, weak = random.Random(5), 0
+    for _ in range(1500):
+        found = hx.blocks(random_page(rng, rng.randint(1, 6)))
+        texts = [b.text() for b in found]
+        want = believed_by_trials(found, texts)
+        assert hx.believed(found, texts) == want
+        weak += 0.0 in want.values()
+    assert weak > 100
+
+
+HOSTILE = {
+    "open quotes": lambda n: '<a "' * n, "quoted values": lambda n: '<a href="x" ' * n, "ends in quotes": lambda n: '<a b=">" ' * n, "names": lambda n: "<a" * n,
+    "sidebars": lambda n: f'<div class="sidebar"><p>{LONG}</p>' * (n // 30), "wrappers": lambda n: "<div class='sidebar-layout'>" * (n // 7) + LONG,
+    "nested": lambda n: "<div>" * n, "long name": lambda n: "<a " + "a" * 4 * n + ">", "cells": lambda n: "<span>" * (n // 3) + "<td>x</td>" * (n // 3),
+    "articles": lambda n: f"<article><div class='widget-x'><p>{LONG}</p>" * (n // 40), "digits": lambda n: "&#" + "9" * 4 * n + ";", "comments": lambda n: "<!-" * n,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_time_grows_with_the_length_of_hostile_pages(kind):
+    def seconds(n):
+        page, begin = HOSTILE[kind](n), time.process_time()
+        hx.main_text(page)
+        return time.process_time() - begin
+
+    # Eight times the page: linear time is near 8, quadratic 64.
+    assert seconds(320_000) <= 25 * max(0.08, min(seconds(40_000) for _ in range(2)))
+
+
+@pytest.mark.parametrize("body,text", [
+    (f"<article><p>{LONG}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>{OTHER}</p></article>", f"{LONG}\nso x=1 holds\n{OTHER}"),
+    (f"<article><p>{LONG}</p><xmp><b>&amp; raw</xmp><p>{OTHER}</p></article>", f"{LONG}\n<b>&amp; raw\n{OTHER}"),
+    (f"<article><p>{LONG}</p><noscript><p>{OTHER}</p></noscript></article>", LONG),
+    (f"<article><p title=don't>{LONG}</p><p title=\"a > b\" hidden-by='x>'>{OTHER}</p></article>", f"{LONG}\n{OTHER}"),
+    (f"<article><p>{LONG}</p><p>{OTHER}</p></article><a href=\"x>", f"{LONG}\n{OTHER}"),
+    (f"<article><p>{LONG} &#{'9' * 5000}; &#{'0' * 5000}65;</p></article>", f"{LONG} \ufffd A"),
+])
+def test_what_stands_in_the_page_stays(body, text):
+    assert hx.main_text(page(body)) == text
+
+
+def test_a_text_column_of_the_pages_gives_way(spark):
+    pages = spark.createDataFrame([(1, page(f"<p>{LONG}</p>"), "before", "x")], "page_id long, html string, text string, `a.b` string")
+    assert [tuple(r) for r in hx.extract(pages).collect()] == [(1, "x", LONG)]
