@@ -6,7 +6,8 @@ reducing each task to sums before anything moves; the matrix of log probabilitie
 texts are scored in batches: one gather of rows per n-gram, one sum per text, plus the log prior.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned. The score is the
-posterior probability of the predicted language. Ties go to the smaller name. Documents without lang or doc_id are not
+posterior probability of the predicted language. The fit says how well the text looks like that language, whatever its length:
+the mean log probability of its n-grams, less that of all n-grams learned from, in standard deviations of these. Ties go to the smaller name. Documents without lang or doc_id are not
 learned from; other columns do not matter and may have any name. An empty table gives no rows, repeated rows repeated results. A very long text
 is worked on in pieces, with the n-grams across their edges.
 """
@@ -31,7 +32,9 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Code points worked on at once; longer texts pass in pieces of this size with the same n-grams.
 CHUNK_CHARS = 1 << 19
-PREDICTION = "lang_pred string, score double"
+PREDICTION = "lang_pred string, score double, fit double, n_grams long"
+#: The lowest fit of a text that is long, and what shorter ones may miss it by, over the square root of their n-grams.
+LEAST_FIT, SHORT_SLACK = -2.5, 8.0
 
 
 @functools.lru_cache(maxsize=1)
@@ -138,23 +141,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order, log P(bucket | language) as (languages, BUCKETS), and log priors."""
+    """Languages in order, log P(bucket | language) as (languages, BUCKETS), log priors, and per language the mean and standard
+    deviation of the log probability of an n-gram learned from."""
 
     languages: tuple[str, ...]
     logs: np.ndarray
     prior: np.ndarray
+    usual: np.ndarray
+    spread: np.ndarray
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """Language and posterior of each text."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """Language, posterior, fit and number of n-grams of each text."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0] * len(texts)
         sums, found = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts), dtype=bool)
+        grams = np.zeros(len(texts), dtype=np.int64)
         for buckets, owners, lettered in _in_parts(texts):
             for k in range(len(self.languages)):
                 sums[:, k] += np.bincount(owners, weights=self.logs[k][buckets], minlength=len(texts))
             found[lettered] = True
+            grams += np.bincount(owners, minlength=len(texts))
         best = sums.argmax(axis=1)
+        mean = (sums - self.prior)[np.arange(len(texts)), best] / np.maximum(grams, 1)
+        fit = (mean - self.usual[best]) / np.maximum(self.spread[best], 1e-9)
         share = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.languages[b] if f else UNKNOWN for b, f in zip(best, found)], np.where(found, share, 0.0).tolist()
+        names = [self.languages[b] if f else UNKNOWN for b, f in zip(best, found)]
+        return names, np.where(found, share, 0.0).tolist(), np.where(found, fit, 0.0).tolist(), grams.tolist()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -175,19 +191,22 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     counts[code[grams], bucket[grams]] = n[grams]
     docs_of[code[~grams]] = n[~grams]
     logs = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
-    return Model(languages, logs, np.log(docs_of / max(1.0, docs_of.sum())))
+    weights = counts / np.maximum(1.0, counts.sum(axis=1, keepdims=True))
+    usual = (weights * logs).sum(axis=1)
+    spread = np.sqrt((weights * (logs - usual[:, None]) ** 2).sum(axis=1))
+    return Model(languages, logs, np.log(docs_of / max(1.0, docs_of.sum())), usual, spread)
 
 
 def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
-    """A column function from text to (lang_pred, score), with the model broadcast."""
+    """A column function from text to (lang_pred, score, fit, n_grams), with the model broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTION)
     def predict(texts):
         import pandas as pd
 
-        names, scores = shared.value.predict([t if isinstance(t, str) else "" for t in texts])
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        names, scores, fits, grams = shared.value.judge([t if isinstance(t, str) else "" for t in texts])
+        return pd.DataFrame({"lang_pred": names, "score": scores, "fit": fits, "n_grams": grams})
 
     return predict
 
@@ -200,7 +219,10 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language could be told: not ``und``, with a posterior of at least ``least``."""
+    """The rows of ``docs`` whose language could be told: not ``und``, with a posterior of at least ``least``, and with n-grams
+    that look like that language. A long text of noise, or in a language never learned, has a high posterior for some
+    language but fits none; short ones get the benefit of the doubt."""
     predict = predictor(docs.sparkSession, train(docs, doc_id, text, lang))
     marked = docs.select(packed(docs).alias("_row"), predict(F.col(text)).alias("_p"))
-    return marked.where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least)).select("_row.*")
+    fits = F.col("_p.fit") >= LEAST_FIT - SHORT_SLACK / F.sqrt(F.greatest(F.col("_p.n_grams"), F.lit(1)))
+    return marked.where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least) & fits).select("_row.*")

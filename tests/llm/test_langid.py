@@ -75,7 +75,7 @@ def test_nothing_learned_and_empty(documents):
 
 def test_long_texts_in_pieces(monkeypatch):
     rng = np.random.default_rng(1)
-    model = langid.Model(("a", "b"), rng.normal(size=(2, langid.BUCKETS)), np.zeros(2))
+    model = langid.Model(("a", "b"), rng.normal(size=(2, langid.BUCKETS)), np.zeros(2), np.zeros(2), np.ones(2))
     texts = ["x" * 10, "ab cd" * 400, "", "12"]
     whole = model.predict(texts)
     monkeypatch.setattr(langid, "CHUNK_CHARS", 250)
@@ -111,3 +111,27 @@ def test_a_very_long_text_has_all_its_ngrams():
     text = "word Über " * 80_000
     parts = [len(b) for b, _, _ in langid._in_parts([text])]
     assert len(parts) > 1 and sum(parts) == sum(brute_grams(text).values())
+
+
+def test_noise_and_unknown_languages_fit_none(documents):
+    import random
+
+    rng = random.Random(4)
+    words = {"en": "the of and thing with that was from over under", "de": "der die und nicht sehr doch auch ich über ist"}
+    clean = [(i, " ".join(rng.choices(words[lang].split(), k=rng.randint(1, 80))), lang, "s") for i in range(200) for lang in [rng.choice(["en", "de"])]]
+    letters = lambda: "".join(rng.choices("bcdfgjklmpqvxyzжщф", k=rng.randint(2, 9)))
+    noise = [(1000 + i, " ".join(letters() for _ in range(400)), None, "s") for i in range(5)] + [(1005, "x" * 40_000, None, "s"), (1006, "x" * 700_000, None, "s")]
+    short = [(2000, "thing", None, "s"), (2001, "a", None, "s")]
+    kept = {r.doc_id for r in langid.keep_identified(documents(clean + noise + short)).collect()}
+    assert kept == {r[0] for r in clean + short}
+
+
+def test_fit_against_sums_over_all_n_grams(documents):
+    rows = [(i, t, "en", "s") for i, t in enumerate(["the one and the other", "one more of the same", "and so on and on", "all the rest of it"] * 5)]
+    model = langid.train(documents(rows))
+    learned = [r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    logs = np.concatenate([model.logs[0][langid._grams([t])[0]] for t in learned])
+    assert np.isclose(model.usual[0], logs.mean()) and np.isclose(model.spread[0], logs.std())
+    _, _, fits, grams = model.judge(["the other thing", ""])
+    own = model.logs[0][langid._grams(["the other thing"])[0]]
+    assert np.isclose(fits[0], (own.mean() - logs.mean()) / logs.std()) and grams == [len(own), 0] and fits[1] == 0.0
