@@ -1,10 +1,14 @@
 """The corpus pipeline: five stages, each written as Parquet in the shared folder and read by the next.
 
-1. language_id: documents whose language cannot be told (no text, no letters, posterior below one half) go.
+1. language_id: documents whose language cannot be told go: no text, no letters, a posterior below one half, or n-grams far
+   from any language learned (noise, unknown languages; short texts get the benefit of the doubt).
 2. exact_dedup: of equal texts (A-Z lower-cased) the largest doc_id stays.
 3. near_dedup: of each component of near duplicates the smallest doc_id stays.
 4. mixing: each document is taken as often as the mix of its source to its target weight says.
 5. bpe: each text is encoded; the result has a row per document taken.
+
+An empty table, or one of which nothing is left, gives no rows. Null and empty texts go in stage 1. Of equal rows, doc_id
+included, stage 2 leaves what ``exact_dedup`` says. Very long texts pass whole. Other columns stay in stages 1 to 4, whatever their names.
 """
 
 from __future__ import annotations
