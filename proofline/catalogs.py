@@ -322,6 +322,15 @@ USAGE_BY_CATEGORY = {
 }
 PACKAGE_CONFIDENCE = 0.70
 CERTIFICATE_CONFIDENCE = 0.95
+# Why a collector's record of a kind has its confidence.
+EVIDENCE_NOTES = {
+    ("ast", "declared_capability"): "import only; no confirmed operation",
+    ("ast", "observed_operation"): "direct call site confirmed in source",
+    ("rule", "observed_operation"): "regex match against code pattern",
+    ("dep", "declared_capability"): "dependency declared; operation not confirmed",
+    ("cert", "configured_protocol"): "artifact metadata; EKU established",
+    ("cert", "artifact_metadata"): "artifact metadata; EKU not established",
+}
 
 # --- fixed values: certificate key types and extended key usage --------------------------------
 KEY_TYPES = {

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofline.catalogs import (
-    FAMILIES, KEY_SIZE_RULES, LIBRARY_TAGS, RULE_PACK, USAGE_ALIASES, USAGE_BY_ALGORITHM, USAGE_BY_WORD, USAGES,
+    EVIDENCE_NOTES, FAMILIES, KEY_SIZE_RULES, LIBRARY_TAGS, RULE_PACK, USAGE_ALIASES, USAGE_BY_ALGORITHM, USAGE_BY_WORD, USAGES,
 )
 from proofline.functions.lookup import column, filled, literal_map, lookup
 
@@ -56,6 +56,11 @@ def protocol_from_usage(value: Column | str) -> Column:
     return F.when(column(value) == "tls", "TLS").otherwise("")
 
 
+def confidence_note(source: Column | str, kind: Column | str) -> Column:
+    """Why a record of this collector and kind has its confidence; null for others."""
+    return F.try_element_at(literal_map({f"{s}:{k}": note for (s, k), note in EVIDENCE_NOTES.items()}), F.concat_ws(":", column(source), column(kind)))
+
+
 def single_number(line: Column | str, *patterns: str) -> Column:
     """The one distinct number the patterns capture on the line, else null."""
     found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(column(line), F.lit(p), F.lit(1)) for p in patterns])))

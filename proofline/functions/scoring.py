@@ -90,6 +90,11 @@ def quantum_vulnerable(algorithm: Column | str, vulnerable: Sequence[str] = C.QU
     return base_algorithm(algorithm).isin(*vulnerable)
 
 
+def known_kind(kind: Column | str, quality: Column | str | None = None) -> Column:
+    """The evidence kind; where it is null or empty the evidence quality, else ``unknown``."""
+    return F.coalesce(*[F.nullif(column(c), F.lit("")) for c in (kind, quality) if c is not None], F.lit("unknown"))
+
+
 def confirmed_use(kind: Column | str) -> Column:
     return F.lower(column(kind)).isin("observed_operation", "configured_protocol")
 

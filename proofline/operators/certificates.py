@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import catalogs as C
+from proofline.functions import evidence as E
 from proofline.functions.lookup import column, lookup
 from proofline.operators import x509
 
@@ -90,8 +91,9 @@ def evidence(certificates: DataFrame) -> DataFrame:
         lookup({k: v[0] for k, v in C.KEY_TYPES.items()}, key, F.col("key_type")).alias("algorithm"),
         lookup({k: v[1] for k, v in C.KEY_TYPES.items()}, key, "unknown").alias("category"),
         F.lit("cert").alias("source"), kind.alias("evidence_kind"), usage.alias("usage_raw"),
-        F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("column_start"),
+        F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(None).cast("int").alias("column_start"),
         F.lit(None).cast("int").alias("column_end"), F.coalesce("key_size", F.lit(0)).cast("int").alias("key_size"),
         F.lit("").alias("library"), F.lit("").alias("protocol"), F.lit(C.CERTIFICATE_CONFIDENCE).alias("confidence"),
-        F.lit("cert-v2").alias("parser_version"), F.create_map(*cells).alias("details"),
+        F.lit("cert-v2").alias("parser_version"), E.confidence_note(F.lit("cert"), kind).alias("confidence_note"),
+        F.create_map(*cells).alias("details"),
     )

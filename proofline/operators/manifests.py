@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import catalogs as C
+from proofline.functions import evidence as E
 from proofline.functions import paths
 from proofline.functions.lookup import column, lookup, text_array
 from proofline.functions.text import package_name, valid_json
@@ -171,8 +172,9 @@ def evidence(files: DataFrame, catalog: Sequence[tuple] = C.PACKAGE_CATALOG) ->
         F.col("path").alias("location"), "algorithm", "category", F.lit("dep").alias("source"),
         F.lit("declared_capability").alias("evidence_kind"),
         lookup(C.USAGE_BY_CATEGORY, "category", F.col("category")).alias("usage_raw"),
-        F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("column_start"),
+        F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(None).cast("int").alias("column_start"),
         F.lit(None).cast("int").alias("column_end"), F.lit(None).cast("int").alias("key_size"),
         F.col("declared").alias("library"), F.lit("").alias("protocol"), F.lit(C.PACKAGE_CONFIDENCE).alias("confidence"),
-        F.lit("dep-v1").alias("parser_version"), details.alias("details"),
+        F.lit("dep-v1").alias("parser_version"), E.confidence_note(F.lit("dep"), F.lit("declared_capability")).alias("confidence_note"),
+        details.alias("details"),
     )

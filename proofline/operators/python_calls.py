@@ -196,6 +196,7 @@ def classify_facts(rows: DataFrame) -> DataFrame:
 def evidence(rows: DataFrame) -> DataFrame:
     """Evidence of imports (a declared capability) and of calls (an observed operation), in one pass over the facts."""
     is_import = F.col("kind") == "import"
+    kind = F.when(is_import, "declared_capability").otherwise("observed_operation")
     found = classify_facts(rows)
     details = F.map_filter(
         F.create_map(
@@ -206,11 +207,11 @@ def evidence(rows: DataFrame) -> DataFrame:
     )
     return found.select(
         F.col("path").alias("location"), "algorithm", "category", F.lit("ast").alias("source"),
-        F.when(is_import, "declared_capability").otherwise("observed_operation").alias("evidence_kind"), "usage_raw",
-        F.col("line").alias("line_start"), F.col("column").alias("column_start"), "column_end",
+        kind.alias("evidence_kind"), "usage_raw",
+        F.col("line").alias("line_start"), "line_end", F.col("column").alias("column_start"), "column_end",
         F.lit(None).cast("int").alias("key_size"), F.lit("").alias("library"), F.lit("").alias("protocol"),
         F.when(is_import, C.IMPORT_CONFIDENCE).otherwise(C.CALL_CONFIDENCE).alias("confidence"),
-        F.lit("ast-v3").alias("parser_version"), details.alias("details"),
+        F.lit("ast-v3").alias("parser_version"), E.confidence_note(F.lit("ast"), kind).alias("confidence_note"), details.alias("details"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofline import catalogs as C
 from proofline.functions import scoring as S
+from proofline.functions.evidence import confidence_note
 
 CONTEXT_FIELDS = tuple(C.RISK_DEFAULTS)
 
@@ -50,13 +51,13 @@ def with_context(found: DataFrame, context: DataFrame | None = None, on: Sequenc
 def assess(found: DataFrame) -> DataFrame:
     """Vulnerability, overlap, priority, label, advice and explanation; expects the context fields."""
     defaults = C.RISK_DEFAULTS
+    kind = S.known_kind("evidence_kind", "evidence_quality" if "evidence_quality" in found.columns else None)
     levels = {f"_{n}": S.level(n, defaults[n]) for n in ("data_sensitivity", "business_criticality", "exposure", "migration_effort")}
     first = found.withColumns({
         **levels, "_horizon": S.horizon_years("threat_horizon_years"),
         "quantum_vulnerable": S.quantum_vulnerable("algorithm"),
         "mosca_window_years": S.mosca_window("data_lifetime_years", "migration_time_years"),
-        "confirmed_use": S.confirmed_use("evidence_kind"),
-        "capability_only": S.capability_only("evidence_kind"),
+        "confirmed_use": S.confirmed_use(kind), "capability_only": S.capability_only(kind),
     })
     sensitivity, criticality, exposure, effort = (F.col(n) for n in levels)
     horizon = F.col("_horizon")
@@ -119,8 +120,9 @@ def finding_provenance(records: DataFrame) -> DataFrame:
     )
 
 
-def reason_rows(records: DataFrame, note: Column) -> DataFrame:
-    """Original confidence reasons of each distinct evidence record, one row each."""
+def reason_rows(records: DataFrame, note: Column | None = None) -> DataFrame:
+    """Original confidence reasons of each distinct evidence record, one row each; by default with its collector's note."""
+    note = confidence_note("source", "evidence_kind") if note is None else note
     return records.select(
         "finding_id", "source", "evidence_kind", F.col("confidence").alias("base"),
         F.lit(0.0).alias("bonus"), F.lit(0.0).alias("penalty"), note.alias("note"),

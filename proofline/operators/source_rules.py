@@ -23,7 +23,7 @@ from proofline.functions.lookup import literal_map, text_array
 QUOTED = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])*'"
 TOKENS = r'"""[\s\S]*?"""|`(?:\\.|[^`\\])*`|' + QUOTED + r"|//[^\n]*|/\*[\s\S]*?\*/"
 SELECTOR = re.compile(C.SELECTOR_CALLS)
-#: Characters of a call that can stand before its literal, blanks not counted.
+#: More characters than any call of SELECTOR_CALLS can have before its literal, blanks not counted: the longest has 29.
 SELECTOR_REACH = 160
 STATEMENTS = T.ArrayType(T.StructType([
     T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()),
@@ -195,10 +195,10 @@ def evidence(files: DataFrame) -> DataFrame:
     return hits.select(
         F.col("path").alias("location"), "algorithm", "category", F.lit("rule").alias("source"),
         F.lit("observed_operation").alias("evidence_kind"), usage.alias("usage_raw"),
-        F.col("line").alias("line_start"), F.col("column").alias("column_start"),
+        F.col("line").alias("line_start"), F.col("line").alias("line_end"), F.col("column").alias("column_start"),
         (F.col("column") + F.length(matched)).alias("column_end"),
         E.key_size_from_line("text", "algorithm").alias("key_size"), E.library_from_line("text").alias("library"),
         E.protocol_from_usage(usage).alias("protocol"), F.lit(C.RULE_CONFIDENCE).alias("confidence"),
-        F.lit("rule-v1").alias("parser_version"),
+        F.lit("rule-v1").alias("parser_version"), E.confidence_note(F.lit("rule"), F.lit("observed_operation")).alias("confidence_note"),
         F.create_map(F.lit("rule_id"), rule_id, F.lit("pattern"), F.col("pattern")).alias("details"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from proofline.operators import calibrate
 from proofline.plans.correlation import scored
 from proofline.plans.registry import query
 from proofline.plans.views import Tables
+from proofline.session import ensure_checkpoint_dir
+from proofline.sources import calibration as store
 
 BAND = "CASE WHEN confidence >= 0.85 THEN 'HIGH' WHEN confidence >= 0.6 THEN 'MEDIUM' WHEN confidence >= 0.4 THEN 'LOW' ELSE 'UNCERTAIN' END"
 BANDED = f"(SELECT *, {BAND} AS band, least(CAST(floor(confidence * 10) AS INT), 9) AS bin FROM v_pred)"
@@ -32,6 +36,24 @@ def k02(t: Tables) -> DataFrame:
     return calibrate.with_cutoff_band(t.view("v_pred"), {"weak": 0.1, "strong": 0.9, "fair": 0.5}).select("doc_id", "band")
 
 
+@query("s17_calibration_store", f"""
+SELECT doc_id % 7 AS context_hash, {BAND} AS band, 2 * count(*) AS records, 2 * sum(outcome)::BIGINT AS positives FROM v_pred GROUP BY ALL""")
+def s17(t: Tables) -> DataFrame:
+    """Records appended twice to a store, with the bands of stored parameters, and read back."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/calibration-{uuid.uuid4().hex}"
+    store.save_params(store.default_params(t.spark), f"{folder}/params")
+    bands = store.bands_of(store.load_params(t.spark, f"{folder}/params"))
+    records = t.view("v_pred").select(
+        "confidence", F.col("outcome").cast("int").alias("outcome"), "algorithm", F.lit("rule").alias("source"), F.lit("observed_operation").alias("evidence_kind"),
+        S.band("confidence", bands).alias("band"), (F.col("doc_id") % 7).cast("string").alias("context_hash"),
+    )
+    for _ in range(2):
+        store.save_records(records, f"{folder}/records")
+    found = store.load_records(t.spark, f"{folder}/records").groupBy(F.col("context_hash").cast("long").alias("context_hash"), "band")
+    return found.agg(F.count(F.lit(1)).alias("records"), F.sum("outcome").alias("positives"))
+
+
 @query("k03_brier", "SELECT algorithm, count(*) AS count, round(avg((confidence - outcome) * (confidence - outcome)), 6) AS brier_score FROM v_pred GROUP BY algorithm")
 def k03(t: Tables) -> DataFrame:
     return calibrate.brier(t.view("v_pred"), ["algorithm"]).withColumn("brier_score", F.round("brier_score", 6))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofline import catalogs as C
 from proofline.functions import scoring as S
 from proofline.operators import correlate, score
 from proofline.plans.correlation import keyed, scored
@@ -110,6 +111,29 @@ def r11_reasons(t: Tables) -> DataFrame:
     )
 
 
+@query("r10_quality_fallback", """
+SELECT finding_id, evidence_kind IN ('observed_operation', 'configured_protocol') AS confirmed_use, evidence_kind IN ('declared_capability', 'artifact_metadata') AS capability_only FROM v_scored""")
+def r10_fallback(t: Tables) -> DataFrame:
+    """Findings of one usage tell their kind as quality only, those of another have a null kind; a kind goes before a quality."""
+    own, usage = F.col("evidence_kind"), F.col("usage")
+    found = correlate.findings(t.view("v_evidence")).withColumns({
+        "evidence_quality": F.when(usage.isin("signature", "hashing"), F.upper(own)).otherwise("configured_protocol"),
+        "evidence_kind": F.when(usage == "signature", "").when(usage != "hashing", own),
+    })
+    return score.assess(score.with_context(found)).select("finding_id", "confirmed_use", "capability_only")
+
+
+NOTES = ", ".join(f"('{s}', '{k}', '{note}')" for (s, k), note in C.EVIDENCE_NOTES.items())
+
+
+@query("r11_reason_notes", f"""
+SELECT DISTINCT {KEYED_ID} AS finding_id, k_keyed.source, k_keyed.evidence_kind, confidence AS base, 0.0::DOUBLE AS bonus, 0.0::DOUBLE AS penalty, coalesce(note, '') AS note
+FROM k_keyed LEFT JOIN (VALUES {NOTES}) n(source, kind, note) ON k_keyed.source = n.source AND k_keyed.evidence_kind = n.kind""")
+def r11_notes(t: Tables) -> DataFrame:
+    """Why the records of each finding have their confidence."""
+    return score.reason_rows(correlate.evidence_records(keyed(t))).fillna("", ["note"]).distinct()
+
+
 @query("r12_rescore", """
 SELECT finding_id, exposure, data_sensitivity, priority_score FROM (
   SELECT finding_id, CASE WHEN usage = 'signature' THEN 'internet' ELSE exposure END AS exposure, CASE WHEN usage = 'signature' AND conflict THEN 'critical' ELSE data_sensitivity END AS data_sensitivity,

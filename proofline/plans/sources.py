@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofline import catalogs as C
 from proofline.functions import paths
-from proofline.operators import manifests, report
+from proofline.operators import correlate, manifests, report, score
 from proofline.plans.correlation import scored
 from proofline.plans.extraction import CERTIFICATE_VALUES, CODE_HITS
 from proofline.plans.registry import query
@@ -36,6 +36,12 @@ def s02(t: Tables) -> DataFrame:
     return files.routes(t.view("v_files"))
 
 
+def new_folder(t: Tables) -> str:
+    """A new folder of the shared checkpoint folder."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+
+
 def scoped(t: Tables) -> DataFrame:
     """Scope with a byte limit low enough that some test texts pass it."""
     return files.with_failure(files.inventory(t.view("v_files")), 1000)
@@ -116,6 +122,16 @@ def s12(t: Tables) -> DataFrame:
     )).alias("line"))
 
 
+@query("s12_stored_evidence_json", """
+SELECT algorithm, category, source, location, evidence_kind, line_start, column_start, key_size, confidence FROM v_evidence""")
+def s12_stored(t: Tables) -> DataFrame:
+    """Evidence written by the JSON sink and read back."""
+    columns = ["algorithm", "category", "source", "location", "evidence_kind", "line_start", "column_start", "key_size", "confidence"]
+    rows, folder = t.view("v_evidence").select(*columns), new_folder(t)
+    sinks.write_evidence_json(rows, f"{folder}/evidence")
+    return t.spark.read.schema(rows.schema).json(f"{folder}/evidence")
+
+
 @query("s13_asset_csv", """
 SELECT finding_id AS id, algorithm, key_size, category, priority_label, priority_score, confidence, quantum_vulnerable, location, usage, library, protocol, evidence_kind, pqc_candidate FROM v_scored""")
 def s13(t: Tables) -> DataFrame:
@@ -277,8 +293,7 @@ def s06_full(t: Tables) -> DataFrame:
 
 def persisted(t: Tables) -> tuple[str, int]:
     """The full scan as job 7 and every finding of the evidence view, in a new folder of the checkpoint folder."""
-    ensure_checkpoint_dir(t.spark)
-    folder = f"{t.spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    folder = new_folder(t)
     sinks.persist_scan(full_scan(t), scored(t), folder, 7)
     sinks.persist_findings(scored(t).where("priority_score > 50"), f"{folder}/findings", 8)
     return folder, 7
@@ -304,6 +319,25 @@ def s10_job(t: Tables) -> DataFrame:
     )
 
 
+@query("s10_scan_findings", f"""
+SELECT DISTINCT location, algorithm FROM ({full_scan_check()})""")
+def s10_scan(t: Tables) -> DataFrame:
+    """Files to evidence to findings to risk: what a scan found, stored with the same scan's failures and job row, and read back."""
+    folder, scan = new_folder(t), full_scan(t)
+    sinks.persist_scan(scan, score.score_findings(correlate.findings(scan.evidence)), folder, 7)
+    return sinks.stored(t.spark, folder, "findings", 7).select("location", "algorithm").distinct()
+
+
+@query("s06_notes_and_spans", f"""
+SELECT path AS location, 'rule' AS source, h.algorithm, line_start, line_start AS line_end, 'regex match against code pattern' AS note FROM v_code c JOIN {CODE_HITS} ON c.lang_key = h.lang_key AND c.snippet_key = h.snippet_key
+UNION ALL SELECT path, 'cert', c.algorithm, NULL, NULL, CASE WHEN eku_oids = '' THEN 'artifact metadata; EKU not established' ELSE 'artifact metadata; EKU established' END
+FROM v_pem p JOIN {CERTIFICATE_VALUES} ON (p.doc_id - p.pem_key) % 12 = c.variant WHERE p.pem_key IN (1, 2)""")
+def s06_notes(t: Tables) -> DataFrame:
+    """Line spans and confidence notes of the rule and certificate records of a scan."""
+    found = full_scan(t).evidence.where("source in ('rule', 'cert')")
+    return found.select("location", "source", "algorithm", "line_start", "line_end", F.col("confidence_note").alias("note"))
+
+
 @query("q01_scan_report", """
 SELECT priority_label, count(*) AS findings FROM v_scored WHERE priority_score > 50 GROUP BY priority_label""")
 def q01_report(t: Tables) -> DataFrame:

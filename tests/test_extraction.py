@@ -267,3 +267,20 @@ def test_broken_manifests_are_failures(spark):
     }
     rows = spark.createDataFrame([(p, c) for p, (c, _) in cases.items()], "path string, content string")
     assert {r["path"] for r in manifests.manifest_failures(rows).collect()} == {p for p, (_, bad) in cases.items() if bad}
+
+
+def test_records_carry_the_lines_of_their_call_and_why_they_are_believed(spark):
+    content = "import hashlib\n\ndigest = hashlib.sha256(\n    b'one'\n    + join(\n        b'two',\n    )\n)\n"
+    found = python_calls.evidence(python_calls.facts(spark.createDataFrame([("a.py", content)], "path string, content string")))
+    calls = {(r["evidence_kind"], r["line_start"], r["line_end"], r["confidence_note"]) for r in found.collect()}
+    assert ("observed_operation", 3, 6, "direct call site confirmed in source") in calls
+    assert {(start, end, note) for kind, start, end, note in calls if kind == "declared_capability"} <= {(1, 1, "import only; no confirmed operation")}
+    rows = spark.createDataFrame([("x/requirements.txt", "cryptography==1\n")], "path string, content string")
+    assert {(r["line_end"], r["confidence_note"]) for r in manifests.evidence(rows).collect()} == {(None, "dependency declared; operation not confirmed")}
+
+
+def test_calls_that_select_an_algorithm_are_found_behind_any_number_of_blanks():
+    assert len("KeyPairGenerator.getInstance(") < source_rules.SELECTOR_REACH
+    gap = " " * 500 + "/* why */\n" * 50
+    masked = source_rules.mask(f'Cipher{gap}.{gap}getInstance{gap}({gap}"AES/GCM")', ".java")
+    assert '"AES/GCM"' in masked and "why" not in masked

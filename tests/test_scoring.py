@@ -104,3 +104,13 @@ def test_repeated_context_rows_do_not_multiply_findings(spark):
     from proofline.operators import score as scoring
 
     assert sorted((r["finding_id"], r["exposure"]) for r in scoring.with_context(found, context).collect()) == [("f1", "low"), ("f2", "low")]
+
+
+@pytest.mark.parametrize("kind, quality, confirmed, capability", [
+    ("observed_operation", "artifact_metadata", True, False), (None, "configured_protocol", True, False), ("", "Declared_Capability", False, True),
+    (None, "high", False, False), (None, None, False, False), ("", "", False, False), ("declared_capability", None, False, True),
+])
+def test_quality_stands_in_for_a_missing_kind(spark, kind, quality, confirmed, capability):
+    row = spark.createDataFrame([(kind, quality)], "kind string, quality string").select(
+        S.confirmed_use(S.known_kind("kind", "quality")).alias("used"), S.capability_only(S.known_kind("kind", "quality")).alias("capable")).first()
+    assert (row["used"], row["capable"]) == (confirmed, capability)
