@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -240,12 +241,13 @@ FROM (SELECT s.*, data_lifetime_years + migration_time_years AS mosca_window_yea
 _TABLE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
 
 
-SPREAD = ("v_evidence", "v_code")
-
-
-def spread(frame: DataFrame) -> DataFrame:
-    """Deal the rows of a test table, a single split, to all cores."""
-    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
+#: Views whose rows are dealt out before they are derived: table, unique key, and rows for one task. So many rows are some seconds
+#: of work and some tens of MB in one task, however large the table is.
+SPREAD = {
+    "v_evidence": ("lineitem", ("l_orderkey", "l_linenumber"), 250_000),
+    "v_code": ("documents", ("doc_id",), 20_000),
+    "v_manifests": ("part", ("p_partkey",), 50_000),
+}
 
 
 class Tables:
@@ -258,16 +260,33 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def tasks(self, view: str) -> int:
+        """Over how many tasks the rows of a view are dealt: one per core, more in proportion to the rows (a count of Parquet footers)."""
+        name, _, rows = SPREAD[view]
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.table(name).count() // rows))
+
+    def dealt(self, view: str) -> DataFrame:
+        """The table under a view, dealt by its key: a few splits can hold any number of rows. By key, since dealing in turn would sort first."""
+        name, key, _ = SPREAD[view]
+        return self.table(name).repartition(self.tasks(view), *key)
+
     def sql(self, text: str) -> DataFrame:
         """Run view text against the parquet files of this folder."""
         text = _TABLE.sub(lambda m: f"{m[1]} parquet.`{self.folder}/{m[2]}.parquet`", text)
         return self.spark.sql(text.replace("VARCHAR", "STRING"))
 
     def view(self, name: str) -> DataFrame:
-        return spread(self.sql(VIEWS[name])) if name in SPREAD else self.sql(VIEWS[name])
+        if name not in SPREAD:
+            return self.sql(VIEWS[name])
+        source = f"dealt_{uuid.uuid4().hex}"
+        self.dealt(name).createTempView(source)
+        try:
+            return self.sql(_TABLE.sub(lambda m: f"{m[1]} {source}", VIEWS[name]))
+        finally:
+            self.spark.catalog.dropTempView(source)
 
     def lines(self) -> DataFrame:
-        return spread(self.table("documents")).selectExpr("doc_id", "posexplode(split(text, '\\n')) AS (i, line)")
+        return self.dealt("v_code").selectExpr("doc_id", "posexplode(split(text, '\\n')) AS (i, line)")
 
 
 def with_views(check: str) -> str:
