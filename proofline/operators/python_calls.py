@@ -10,6 +10,7 @@ import ast
 import json
 from collections import ChainMap
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ from proofline.functions import paths
 from proofline.functions.lookup import literal_map, lookup
 
 FACT = "path string, kind string, name string, args string, line int, column int, line_end int, column_end int, node string"
+#: Facts a task holds before it hands them back.
+PART_ROWS = 10_000
 ARGUMENTS = "map<string,struct<literal:string,ref:string,attr:string>>"
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
@@ -135,8 +138,9 @@ def facts(files: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(path, *fact) for path, content in zip(batch["path"], batch["content"]) for fact in file_facts(content)]
-            yield pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in ("line", "column", "line_end", "column_end")})
+            rows = ((path, *fact) for path, content in zip(batch["path"], batch["content"]) for fact in file_facts(content))
+            while part := list(islice(rows, PART_ROWS)):
+                yield pd.DataFrame(part, columns=names).astype({n: "Int32" for n in ("line", "column", "line_end", "column_end")})
 
     python = files.where(paths.extension("path") == ".py").select("path", "content")
     return python.mapInPandas(extract, FACT)

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,10 @@ TOKENS = r'"""[\s\S]*?"""|`(?:\\.|[^`\\])*`|' + QUOTED + r"|//[^\n]*|/\*[\s\S]*?
 SELECTOR = re.compile(C.SELECTOR_CALLS)
 #: More characters than any call of SELECTOR_CALLS can have before its literal, blanks not counted: the longest has 29.
 SELECTOR_REACH = 160
-STATEMENTS = T.ArrayType(T.StructType([
-    T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()),
-    T.StructField("text", T.StringType()), T.StructField("dynamic", T.BooleanType()),
-]))
+STATEMENT = "path string, extension string, line int, column int, text string, dynamic boolean"
+STATEMENT_TYPES = {"line": pa.int32(), "column": pa.int32(), "text": pa.string(), "dynamic": pa.bool_()}
+#: Bytes of statements a task holds before it hands them back, and what one statement weighs beside its text.
+PART_BYTES, ROW_BYTES = 4 << 20, 256
 
 
 def _before(characters: list[str], at: int) -> str:
@@ -66,20 +67,37 @@ def split_statements(text: str) -> Iterator[tuple[int, int, str]]:
             yield number, start, line[start:stop]
 
 
-def marked_statements(content: str | None, extension: str) -> list[dict]:
+def marked_statements(content: str | None, extension: str) -> Iterator[dict]:
     """Statements with a flag for those inside a dynamic region, where calls are resolved at run time."""
-    rows, depth = [], 0
+    depth = 0
     for line, column, text in split_statements(mask(content or "", extension)):
         dynamic = depth > 0 or any(marker in text for marker in C.DYNAMIC_MARKERS)
         if dynamic:
             depth = max(0, depth + text.count("(") - text.count(")"))
-        rows.append({"line": line, "column": column, "text": text, "dynamic": dynamic})
-    return rows
+        yield {"line": line, "column": column, "text": text, "dynamic": dynamic}
 
 
-@F.pandas_udf(STATEMENTS)
-def _statements(content: pd.Series, extension: pd.Series) -> pd.Series:
-    return pd.Series([marked_statements(c, e) for c, e in zip(content, extension)], dtype=object)
+def _split_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The statements of files (path, extension, content), handed back in parts of bounded size, within a file too."""
+    for batch in batches:
+        files, rows, size = [], [], 0
+
+        def part() -> pa.RecordBatch:
+            place = pa.array(files, pa.int32())
+            columns = [pa.array([row[name] for row in rows], kind) for name, kind in STATEMENT_TYPES.items()]
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(place), batch.column(1).take(place), *columns], names=["path", "extension", *STATEMENT_TYPES])
+
+        for place in range(batch.num_rows):
+            for row in marked_statements(batch.column(2)[place].as_py(), batch.column(1)[place].as_py()):
+                files.append(place)
+                rows.append(row)
+                size += len(row["text"]) + ROW_BYTES
+                if size >= PART_BYTES:
+                    yield part()
+                    files, rows, size = [], [], 0
+        if rows:
+            yield part()
 
 
 @F.pandas_udf(T.StringType())
@@ -94,9 +112,7 @@ def statements(files: DataFrame) -> DataFrame:
     sources = files.select("path", "content", paths.extension("path").alias("extension")).where(
         F.col("extension").isin(*extensions)
     )
-    return sources.select(
-        "path", "extension", F.explode(_statements("content", "extension")).alias("s")
-    ).select("path", "extension", "s.line", "s.column", "s.text", "s.dynamic")
+    return sources.select("path", "extension", "content").mapInArrow(_split_files, STATEMENT)
 
 
 def folded(patterns: Sequence[str]) -> str:

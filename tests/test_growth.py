@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 import pytest
 
+from proofline.operators import python_calls, source_rules
 from proofline.plans import views
+from proofline.sources import collect
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -22,3 +25,25 @@ def test_views_are_dealt_in_proportion_to_their_rows(spark, monkeypatch):
         assert few.tasks(name) == max(spark.sparkContext.defaultParallelism, -(-rows // 10))
         assert few.view(name).rdd.getNumPartitions() == few.tasks(name)
         assert few.view(name).count() == rows
+
+
+def test_statements_come_in_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(source_rules, "PART_BYTES", 2000)
+    files = {"a.py": "x = getattr(\no)\ny = 1; z = 2\n" * 40, "empty.go": None, "b.java": "int a;\nint b;", "c.py": "k = 1\n" * 100}
+    batch = pa.RecordBatch.from_pydict({"path": list(files), "extension": ["." + p.split(".")[1] for p in files], "content": list(files.values())})
+    parts = list(source_rules._split_files(iter([batch])))
+    assert len(parts) > 10
+    assert all(sum(len(text) + source_rules.ROW_BYTES for text in part.column("text").to_pylist()) < 2000 + 300 for part in parts)
+    found = [tuple(row.values()) for part in parts for row in part.to_pylist()]
+    wanted = [
+        (path, "." + path.split(".")[1], *row.values())
+        for path, text in files.items() for row in source_rules.marked_statements(text, "." + path.split(".")[1])
+    ]
+    assert found == wanted
+
+
+def test_facts_come_in_parts(spark):
+    calls = python_calls.PART_ROWS + 50
+    rows = spark.createDataFrame([("a.py", "import hashlib\n" + "hashlib.md5(b)\n" * calls), ("b.py", "def broken(:")], "path string, content string")
+    kinds = {r["kind"]: r["count"] for r in python_calls.facts(rows).groupBy("kind").count().collect()}
+    assert kinds == {"import": 1, "call": calls, "error": 1}
