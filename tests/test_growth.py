@@ -6,15 +6,22 @@ import os
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from proofline.operators import python_calls, source_rules
-from proofline.plans import views
+from proofline.plans import evaluation, views
 from proofline.sources import collect
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
+def largest_share(frame):
+    """Rows of the fullest partition over all rows."""
+    sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
 @needs_tables
 def test_views_are_dealt_in_proportion_to_their_rows(spark, monkeypatch):
     few = views.Tables(spark, FOLDER)
@@ -27,6 +34,16 @@ def test_views_are_dealt_in_proportion_to_their_rows(spark, monkeypatch):
         assert few.view(name).count() == rows
 
 
+@needs_tables
+def test_reordered_evidence_is_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(views, "SPREAD", {name: (table, key, 100) for name, (table, key, _) in views.SPREAD.items()})
+    tables = views.Tables(spark, FOLDER)
+    given = tables.view("v_evidence").drop("location").collect()
+    for moved in evaluation.evidence_runs(tables)[1:]:
+        assert largest_share(moved) < 0.1
+        assert sorted(map(str, moved.drop("location").collect())) == sorted(map(str, given))
+
+
 def test_statements_come_in_parts_of_bounded_size(monkeypatch):
     monkeypatch.setattr(source_rules, "PART_BYTES", 2000)
     files = {"a.py": "x = getattr(\no)\ny = 1; z = 2\n" * 40, "empty.go": None, "b.java": "int a;\nint b;", "c.py": "k = 1\n" * 100}
