@@ -21,6 +21,10 @@ class Scan:
     evidence: DataFrame
     failures: DataFrame
 
+    def held(self) -> Scan:
+        """The same results written once, for callers that read them more than once: every read of a lazy one scans again."""
+        return Scan(self.scoped, written(self.evidence, "evidence"), written(self.failures, "failed"))
+
 
 def scan(files: DataFrame, profile: str = "source", decoded_certificates: DataFrame | None = None, max_bytes: int | None = None, hold: bool = False) -> Scan:
     """Evidence of all readable in-scope files. A file one collector cannot parse is a failure row, and

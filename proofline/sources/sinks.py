@@ -54,9 +54,10 @@ def persist_scan(scan: Scan, findings: DataFrame, folder: str, scan_job_id: int,
         return False
     marks = {"scan_job_id": F.lit(scan_job_id), "result_version": F.lit(result_version)}
     found = written(findings, "findings")
-    _replace(files.failures(scan.failures).withColumns(marks), f"{folder}/failures")
+    failed = written(scan.failures, "failed")
+    _replace(files.failures(failed).withColumns(marks), f"{folder}/failures")
     totals = found.agg(F.count(F.lit(1)).alias("assets_found"), F.coalesce(F.round(F.avg("confidence"), 4), F.lit(0.0)).alias("avg_confidence"))
-    metrics = files.blind_spots(files.coverage(scan.scoped, scan.failures), profile, duration_ms)
+    metrics = files.blind_spots(files.coverage(scan.scoped, failed), profile, duration_ms)
     # Three rows, one each.
     one = [part.withColumn("_one", F.lit(1)) for part in (metrics, files.collector_stats(scan.evidence), totals)]
     job = one[0].join(one[1], "_one").join(one[2], "_one").drop("_one").withColumns({

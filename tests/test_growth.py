@@ -64,3 +64,23 @@ def test_facts_come_in_parts(spark):
     rows = spark.createDataFrame([("a.py", "import hashlib\n" + "hashlib.md5(b)\n" * calls), ("b.py", "def broken(:")], "path string, content string")
     kinds = {r["kind"]: r["count"] for r in python_calls.facts(rows).groupBy("kind").count().collect()}
     assert kinds == {"import": 1, "call": calls, "error": 1}
+
+
+def test_blank_statements_are_no_candidates(spark):
+    rows = spark.createDataFrame([("      ",), ("",), ("x = rsa.generate()",)], "text string")
+    assert [r["text"] for r in source_rules.candidates(rows, "text").collect()] == ["x = rsa.generate()"]
+
+
+def test_held_scan_runs_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    rows = spark.range(10).mapInPandas(counted, "id long")
+    held = collect.Scan(rows, rows, rows).held()
+    assert runs.value == 20
+    assert [held.evidence.count(), held.evidence.count(), held.failures.count()] == [10, 10, 10]
+    assert runs.value == 20
