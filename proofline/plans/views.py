@@ -245,7 +245,7 @@ _TABLE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
 #: of work and some tens of MB in one task, however large the table is.
 SPREAD = {
     "v_evidence": ("lineitem", ("l_orderkey", "l_linenumber"), 250_000),
-    "v_code": ("documents", ("doc_id",), 20_000),
+    "v_code": ("documents", ("doc_id",), 5_000),
     "v_manifests": ("part", ("p_partkey",), 50_000),
 }
 

@@ -66,6 +66,11 @@ def test_facts_come_in_parts(spark):
     assert kinds == {"import": 1, "call": calls, "error": 1}
 
 
+def test_a_task_is_dealt_few_files():
+    """An Arrow batch has up to 10,000 rows: fewer files to a task keep its batch, and so its Python worker, of one size from 0.1 GB on."""
+    assert views.SPREAD["v_code"][2] <= 5_000
+
+
 def test_blank_statements_are_no_candidates(spark):
     rows = spark.createDataFrame([("      ",), ("",), ("x = rsa.generate()",)], "text string")
     assert [r["text"] for r in source_rules.candidates(rows, "text").collect()] == ["x = rsa.generate()"]
