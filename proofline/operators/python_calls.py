@@ -12,7 +12,7 @@ from collections import ChainMap
 from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ from proofline.functions import paths
 from proofline.functions.lookup import literal_map, lookup
 
 FACT = "path string, kind string, name string, args string, line int, column int, line_end int, column_end int, node string"
+FACT_TYPES = {field.split()[0]: pa.int32() if field.endswith(" int") else pa.string() for field in FACT.split(", ")}
 #: Facts a task holds before it hands them back.
 PART_ROWS = 10_000
 ARGUMENTS = "map<string,struct<literal:string,ref:string,attr:string>>"
@@ -132,18 +133,20 @@ def file_facts(source: str | None) -> list[tuple]:
         return [("error", type(problem).__name__, "", None, None, None, None, "")]
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """Import, call and error facts of every Python file in (path, content)."""
-    names = [part.split()[0] for part in FACT.split(", ")]
+def _facts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts of files (path, content) in parts of PART_ROWS. One file's text is taken out of a batch at a time."""
+    for batch in batches:
+        names, contents = batch.columns
+        rows = ((names[i].as_py(), *fact) for i in range(batch.num_rows) for fact in file_facts(contents[i].as_py()))
+        while part := list(islice(rows, PART_ROWS)):
+            columns = [pa.array(cells, kind) for cells, kind in zip(zip(*part), FACT_TYPES.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=list(FACT_TYPES))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = ((path, *fact) for path, content in zip(batch["path"], batch["content"]) for fact in file_facts(content))
-            while part := list(islice(rows, PART_ROWS)):
-                yield pd.DataFrame(part, columns=names).astype({n: "Int32" for n in ("line", "column", "line_end", "column_end")})
 
+def facts(files: DataFrame) -> DataFrame:
+    """Import, call and error facts of every Python file in (path, content)."""
     python = files.where(paths.extension("path") == ".py").select("path", "content")
-    return python.mapInPandas(extract, FACT)
+    return python.mapInArrow(_facts_of, FACT)
 
 
 def classify_facts(rows: DataFrame) -> DataFrame:

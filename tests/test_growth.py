@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -66,6 +67,18 @@ def test_facts_come_in_parts(spark):
     assert kinds == {"import": 1, "call": calls, "error": 1}
 
 
+def test_texts_leave_a_batch_one_at_a_time():
+    """Facts of a batch cost the memory of one file's text and one part, not of all texts at once."""
+    filler = "# " + "x" * 20_000 + "\n"
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{i}.py" for i in range(500)], "content": [f"import hashlib\n{filler}k = {i}\n" for i in range(500)]})
+    tracemalloc.start()
+    found = sum(part.num_rows for part in python_calls._facts_of(iter([batch])))
+    highest = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 500
+    assert highest < 2_000_000 < batch.nbytes
+
+
 def test_a_task_is_dealt_few_files():
     """An Arrow batch has up to 10,000 rows: fewer files to a task keep its batch, and so its Python worker, of one size from 0.1 GB on."""
     assert views.SPREAD["v_code"][2] <= 5_000
